@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +30,7 @@ NONE = -1
 
 
 class Bpe:
-    def __init__(self, path: str, pattern: str, memo: int = 300_000):
+    def __init__(self, path: str, pattern: str, memo: int = 400_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.count = max(ranks.values()) + 1
@@ -57,8 +58,8 @@ class Bpe:
             self._undo(r)
         self.fits.clear()
         self.ids = Memo(self._packed, memo)
-        self.chunk = Memo(self._chunk, memo)
-        self.later = Memo(lambda s: self._chunk(" " + s), memo)
+        self.chunk = Memo(self._chunk, memo // 8)
+        self.later = Memo(lambda s: self._chunk(" " + s), 2 * memo)
 
     def _undo(self, r: int) -> None:
         """Find the merge that made an entry: the split whose halves may stand side by side until then."""
@@ -128,8 +129,8 @@ class Bpe:
         return b"".join(map(self.ids.__getitem__, self.pattern.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. The pattern always breaks before a lone space between
-        two characters that aren't space, so the text is cut there and each cut is looked up."""
+        """Ids as little-endian unsigned 32-bit integers. The pattern always breaks before a space that has no other
+        white space beside it, so the text is cut there and each cut is looked up."""
         first, *rest = cuts(text)
         return (self.chunk[first] if first else b"") + b"".join(map(self.later.__getitem__, rest))
 
@@ -137,22 +138,22 @@ class Bpe:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+#: Where cuts aren't made: white space beside white space.
+RUN = re.compile(r"\s{2,}")
+
+
 def cuts(text: str) -> list[str]:
-    """The text cut at each lone space between two characters that aren't space; those spaces are left out."""
-    pieces = text.split(" ")
-    if "  " not in text and "\n " not in text and " \n" not in text and not any(p[:1].isspace() or p[-1:].isspace() for p in pieces) and "" not in pieces:
-        return pieces
+    """The text cut at each space that has no other white space beside it; those spaces are left out."""
     out: list[str] = []
-    run: list[str] = [pieces[0]]
-    for p in pieces[1:]:
-        before = run[-1]
-        if p and before and not p[0].isspace() and not before[-1].isspace():
-            out.append(run[0] if len(run) == 1 else " ".join(run))
-            run = [p]
-        else:
-            run.append(p)
-    out.append(run[0] if len(run) == 1 else " ".join(run))
-    return out
+    before, at = "", 0
+    for run in RUN.finditer(text):
+        pieces = text[at : run.start()].split(" ")
+        pieces[0] = before + pieces[0]
+        before, at = pieces.pop() + run[0], run.end()
+        out += pieces
+    pieces = (text[at:] if at else text).split(" ")
+    pieces[0] = before + pieces[0]
+    return out + pieces if out else pieces
 
 
 @functools.lru_cache(maxsize=2)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import cuts
+from .bpe import RUN, cuts
 from .common import by_bytes, texts
 
 CAPACITY = 1024
@@ -32,35 +32,105 @@ BLOCK = 1 << 20
 END = b"\0\0\0\0"
 
 
+#: Marks a cut that has no space before it.
+BARE = "\2"
+
+
+def lines_cut(text: str) -> list[str]:
+    """The text cut at each space and around each newline with no other white space beside it."""
+    if BARE in text:
+        return [BARE + text]
+    if "\n" not in text:
+        return [BARE + x if i == 0 else x for i, x in enumerate(cuts(text))]
+    out = [BARE]
+    at, joined = 0, False
+    for run in [*RUN.finditer(text), None]:
+        end = run.start() if run else len(text)
+        pieces = text[at:end].replace("\n", " \n " + BARE).split(" ")
+        if joined or at == 0:
+            out[-1] += pieces.pop(0)
+        out += pieces
+        if run:
+            out[-1] += run[0]
+            at, joined = run.end(), True
+    return out
+
+
 class Tokens:
-    """Ids by a tokenizers file whose pre-tokenizer breaks before a lone space, so that cuts can be remembered."""
+    """Ids by a byte-level tokenizers file whose pre-tokenizer breaks before a space, and on both sides of a newline,
+    with no other white space beside it. So cuts can be looked up, and new ones encoded many in one string: the bytes
+    of the tokens tell them apart."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo, self.known = memo, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a character is a byte
+            self.lengths[i] = len(token)
+        self.memo = memo
+        self.marks = {x: self.ids([x])[0].tobytes() for x in ".,"}
+        self.always = {"\n": self.ids(["\n"])[0].tobytes(), BARE: b""}
+        self.known = dict(self.always)
+
+    def ids(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def learn(self, new: list[str], joint: str, bare: bool) -> None:
+        """Encode cuts; the joint goes before each if it's a space, else after each."""
+        groups: list[list[str]] = [[]]
+        size = 0
+        for cut in new:
+            groups[-1].append(cut)
+            size += len(cut)
+            if size > 1 << 15:
+                groups.append([])
+                size = 0
+        for group, ids in zip(groups, self.ids([joint + joint.join(g) if not bare else joint.join(g) for g in groups])):
+            ends = np.cumsum([len(x.encode()) + 1 for x in group])
+            at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            raw, before = ids.tobytes(), 0
+            for cut, n in zip(group, (4 * at).tolist()):
+                if bare:
+                    self.known[BARE + cut] = raw[before : n - 4 if n <= len(raw) else n]
+                else:
+                    self.known[cut] = raw[before:n]
+                before = n
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # a leading space marks every cut but a text's first; the first has none put before it
-        first, rest = [], []
-        for text in batch:
-            a, *b = cuts(text)
-            first.append("\0" + a)
-            rest.append(b)
-        if len(self.known) > self.memo:
-            self.known.clear()
-        new = set(first).union(*rest).difference(self.known)
-        new.discard("\0")
-        order = list(new)
-        ids = self.tokenizer.encode_batch_fast([x[1:] if x[:1] == "\0" else " " + x for x in order], add_special_tokens=False)
-        self.known.update(zip(order, (np.array(e.ids, "<u4").tobytes() for e in ids)))
-        self.known["\0"] = b""
-        get = self.known.__getitem__
-        for a, b in zip(first, rest):
-            yield get(a) + b"".join(map(get, b))
+        all_cuts = [lines_cut(text) for text in batch]
+        known = self.known
+        if len(known) > self.memo:
+            known.clear()
+            known.update(self.always)
+        plain, bare, odd, ended = [], [], [], []
+        missing = set().union(*all_cuts).difference(known)
+        for cut in missing:
+            if cut[-1:] in self.marks and cut[-2:-1].isalpha():
+                ended.append(cut)  # the mark is a token of its own
+                cut = cut[:-1]
+                if cut in known or cut in missing:
+                    continue
+            if cut[:1] != BARE:
+                plain.append(cut)
+            elif cut[1:2].isspace() or BARE in cut[1:]:
+                odd.append(cut)
+            else:
+                bare.append(cut[1:])
+        if plain:
+            self.learn(list(dict.fromkeys(plain)), " ", False)
+        if bare:
+            self.learn(list(dict.fromkeys(bare)), "\n", True)
+        if odd:
+            known.update(zip(odd, (x.tobytes() for x in self.ids([x[1:] for x in odd]))))
+        for cut in ended:
+            known[cut] = known[cut[:-1]] + self.marks[cut[-1]]
+        get = known.__getitem__
+        for pieces in all_cuts:
+            yield b"".join(map(get, pieces))
 
 
 @functools.lru_cache(maxsize=1)
