@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, licences, packing, sketch, warc
+from . import avi, licences, packing, quality, sketch, warc
 from .bpe import encode_decode
 from .common import documents, materialise
 
@@ -26,6 +26,11 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(documents(spark, sf_dir))
 
 
+def op4_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.fit(docs, labels))
+
+
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
