@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, licences, neardup, packing, quality, sketch, warc
+from . import avi, licences, neardup, packing, quality, sketch, suffixes, warc
 from .bpe import encode_decode
 from .common import documents, materialise
 
@@ -35,6 +35,10 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated(documents(spark, sf_dir))
+
+
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
