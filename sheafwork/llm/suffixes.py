@@ -5,7 +5,8 @@ space. Of all suffixes only those at minimiser positions are retained: in each w
 first GRAM words have the smallest hash. Equal windows retain the same place, so every repeated passage shows up as
 suffixes that begin alike, in both documents.
 
-The retained suffixes are ordered by their hashed beginnings, and those with neighbours in another document are kept.
+The retained suffixes are dealt to buckets and sorted by their hashed beginnings; those with neighbours in another
+document are kept. For this a bucket's task holds each distinct beginning, but a shared one only once.
 Each stands for a run of windows: it reaches left and right as far as it is the minimiser, and the hash of that whole
 reach tells runs apart. Runs equal to one in an earlier document are repeated throughout. Where a beginning has
 several different reaches, the earliest of each is extended word by word to the left and right, that is, window by
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, discard, free_shuffles, materialise, texts
+from .common import Memo, by_bytes, free_shuffles, materialise, parts, texts
 
 LENGTH, GRAM = 50, 20
 PIECE = (1 << 20) - 1
@@ -103,25 +104,86 @@ def retained(spans: Spans, n: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, seed, reach, first, count: the retained suffixes of each text."""
-    names = ["doc_id", "seed", "reach", "first", "count"]
+#: A retained suffix as it is stored: 32 bytes. Count 0 marks a beginning that is known to be shared.
+SUFFIX = np.dtype([("seed", "<u8"), ("doc_id", "<i8"), ("reach", "<u8"), ("first", "<i4"), ("count", "<i4")])
+#: Suffixes that a task gathers before it goes on.
+GATHERED = 1 << 18
+
+
+def suffixes(docs: DataFrame, buckets: int) -> DataFrame:
+    """The retained suffixes of all texts, dealt to buckets by their hashed beginnings: (bucket, suffixes) rows that
+    hold many each."""
+
+    def deal(gathered: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(gathered)
+        bucket = (rows["seed"] % np.uint64(buckets)).astype(np.int64)
+        rows = rows[np.argsort(bucket, kind="stable")]
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+        found = [(k, rows[a:b].tobytes()) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))], ["bucket", "suffixes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size = [], 0
         for batch in by_bytes(batches):
-            ids, columns = [], []
             for k, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
                 words = words_of(text)
-                if len(words) >= LENGTH:
-                    columns.append(retained(Spans(words), len(words)))
-                    ids.append(np.full(len(columns[-1][0]), k, np.int64))
-            if ids:
-                seed, reach, first, count = (np.concatenate(c) for c in zip(*columns))
-                arrays = [np.concatenate(ids), seed.astype(np.int64), reach.astype(np.int64), first.astype(np.int32), count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
+                if len(words) < LENGTH:
+                    continue
+                seed, reach, first, count = retained(Spans(words), len(words))
+                rows = np.empty(len(seed), SUFFIX)
+                rows["doc_id"], rows["seed"], rows["reach"], rows["first"], rows["count"] = k, seed, reach, first, count
+                gathered.append(rows)
+                size += len(rows)
+            if size >= GATHERED:
+                yield deal(gathered)
+                gathered, size = [], 0
+        if gathered:
+            yield deal(gathered)
 
     chosen = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null")
-    return chosen.mapInArrow(run, "doc_id long, seed long, reach long, first int, count int")
+    return chosen.mapInArrow(run, "bucket long, suffixes binary")
+
+
+def sift(held: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What to hold on to and what to pass on: suffixes pass once their beginning has been seen in two documents."""
+    rows = np.concatenate((held, new))
+    rows = rows[np.argsort(rows["seed"], kind="stable")]
+    seed, owner, marker = rows["seed"], rows["doc_id"], rows["count"] == 0
+    first = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
+    size = np.diff(np.append(first, len(rows)))
+    shared = np.logical_or.reduceat(marker | (owner != np.repeat(owner[first], size)), first)
+    inside = np.repeat(shared, size)
+    marks = rows[first[shared]]
+    marks["count"] = 0
+    return np.concatenate((rows[~inside], marks)), rows[inside & ~marker]
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes whose beginnings occur in two documents, of rows sorted by bucket. A beginning that is known to
+    be shared is held as one entry, however often it occurs, so a hot one doesn't gather."""
+    names = ["doc_id", "seed", "reach", "first", "count"]
+    now, held, waiting, size = None, np.empty(0, SUFFIX), [], 0
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        nonlocal held, waiting, size
+        held, rows = sift(held, np.concatenate(waiting))
+        waiting, size = [], 0
+        for at in range(0, len(rows), 1 << 16):
+            part = rows[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[c].astype("<i4" if c in names[3:] else "<i8")) for c in names], names)
+
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("suffixes")):
+            if bucket != now:
+                if waiting:
+                    yield from passed()
+                now, held = bucket, np.empty(0, SUFFIX)
+            waiting.append(np.frombuffer(blob.as_buffer(), SUFFIX))
+            size += len(waiting[-1])
+            if size > max(GATHERED, len(held)):
+                yield from passed()
+    if waiting:
+        yield from passed()
 
 
 def windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -167,12 +229,11 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, n_words, first_doc_id: spans of words (from 0, end excluded) that earlier documents have;
-    first_doc_id is the smallest of those."""
+    first_doc_id is one of those."""
     spark = docs.sparkSession
-    rows = materialise(suffixes(docs), "suffixes")
-    shared = rows.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
-    met = materialise(rows.join(shared, "seed"), "met")
-    discard(rows)
+    buckets = parts(spark)
+    dealt = suffixes(docs, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = materialise(dealt.mapInArrow(neighbours, "doc_id long, seed long, reach long, first int, count int"), "met")
     free_shuffles(spark)
     reaches = materialise(met.groupBy("seed", "reach").agg(F.min("doc_id").alias("first_doc_id")), "reaches")
     several = reaches.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
