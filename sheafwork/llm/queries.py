@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, licences, neardup, packing, quality, sketch, suffixes, warc
+from . import avi, hpy, licences, neardup, packing, quality, sketch, suffixes, warc
 from .bpe import encode_decode
 from .common import documents, materialise
 
@@ -51,6 +51,10 @@ def op8_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(ours, theirs)
 
 
+def op9_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy.scores(documents(spark, sf_dir))
+
+
 def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited(documents(spark, sf_dir))
 
