@@ -1,19 +1,46 @@
-"""Documents to packed training sequences: quality filter, near-dedup, passage dedup, packing."""
+"""Documents to packed training sequences.
+
+Quality classifier (rejected documents go), near-dedup (one document of each group stays), passage dedup (spans of 50
+words or more that an earlier document has are cut, documents left without words go), cost-balanced packing.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-#: (name, function) pairs; each function takes (spark, docs, sf_dir).
-STAGES: list = []
-#: SQL can't express the stages; tests hold them against brute force.
+from sheafwork.llm import neardup, packing, quality, suffixes
+from sheafwork.llm.common import documents, materialise
+from sheafwork.session import ship
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.stage(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neardup.stage(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffixes.stage(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", pack)]
+#: SQL can't express a trained classifier or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sheafwork.llm.common import documents, materialise
-
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,16 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with columns c0, c1 and so on, so that no name clashes, and the names to give back."""
+    names = docs.columns
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))), names
+
+
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+
+
 class Memo(dict):
     """A dict that computes missing values and is emptied when it holds `most` entries."""
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, discard, free_shuffles, materialise, parts, texts
+from .common import Memo, by_bytes, discard, free_shuffles, materialise, named, numbered, parts, texts
 from .graph import components
 
 WORDS = 5
@@ -346,5 +346,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each component, with its own columns; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows, names = numbered(docs)
+    key = f"c{names.index('doc_id')}"
+    chosen = rows.where(f"{key} is not null").join(kept, F.col(key).cast("long") == F.col("kept_id"), "left_semi")
+    return named(chosen.union(rows.where(f"{key} is null")), names)

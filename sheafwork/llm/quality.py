@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, texts
+from .common import Memo, by_bytes, named, numbered, texts
 
 BITS = 18
 #: The bound of the training sample.
@@ -223,8 +223,8 @@ def score(docs: DataFrame, model: Model, least: float = 0.6, columns: tuple[str,
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    names = docs.columns
     model = fit(docs, labels)
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("text"))
-    kept = score(renamed, model, columns=tuple(f"c{i}" for i in range(len(names)))).where("kept")
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    rows, names = numbered(docs)
+    columns = tuple(rows.columns)
+    rows = rows.withColumn("text", F.col(f"c{names.index('text')}"))
+    return named(score(rows, model, columns=columns).where("kept"), names)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, free_shuffles, materialise, parts, texts
+from .common import Memo, by_bytes, free_shuffles, materialise, named, numbered, parts, texts
 
 LENGTH, GRAM = 50, 20
 PIECE = (1 << 20) - 1
@@ -263,17 +263,18 @@ def stage(docs: DataFrame) -> DataFrame:
     """The documents without their repeated spans, n_chars counted anew; those with no words left go."""
     spans = materialise(repeated(docs), "repeated")
     free_shuffles(docs.sparkSession)
-    by_id = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    by_id = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows, names = numbered(docs)
+    key, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    joined = rows.join(by_id, F.col(key).cast("long") == F.col("doc_id"), "left").drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [without(t, [(s["start"], s["end"]) for s in spans]) if spans else t for t, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
-            index = batch.schema.get_field_index("text")
-            yield batch.set_column(index, "text", pa.array(new, pa.string())).select([*order])
-
-    joined = docs.join(by_id, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    order = [c for c in joined.columns if c != "_spans"] + ["_cut"]
-    joined = joined.withColumn("_cut", F.col("_spans").isNotNull())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_spans")
-    cut = joined.mapInArrow(run, schema).where("not _cut or trim(text) <> ''").drop("_cut")
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+        for batch in by_bytes(batches, text):
+            cut = [spans is not None for spans in batch.column("spans").to_pylist()]
+            new = [without(t, [(s["start"], s["end"]) for s in spans]) if spans else t for t, spans in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist())]
+            columns = [pa.array(new, pa.string()) if c == text else batch.column(c) for c in rows.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], [*rows.columns, "cut"])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "cut boolean"])
+    out = named(joined.mapInArrow(run, schema).where(f"not cut or {text} rlike '[^ \\\\t-\\\\r]'"), names)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
