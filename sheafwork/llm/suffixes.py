@@ -266,14 +266,15 @@ def stage(docs: DataFrame) -> DataFrame:
     by_id = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows, names = numbered(docs)
     key, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    own = rows.columns
     joined = rows.join(by_id, F.col(key).cast("long") == F.col("doc_id"), "left").drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, text):
             cut = [spans is not None for spans in batch.column("spans").to_pylist()]
             new = [without(t, [(s["start"], s["end"]) for s in spans]) if spans else t for t, spans in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist())]
-            columns = [pa.array(new, pa.string()) if c == text else batch.column(c) for c in rows.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], [*rows.columns, "cut"])
+            columns = [pa.array(new, pa.string()) if c == text else batch.column(c) for c in own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], [*own, "cut"])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "cut boolean"])
     out = named(joined.mapInArrow(run, schema).where(f"not cut or {text} rlike '[^ \\\\t-\\\\r]'"), names)
