@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import RUN, cuts
-from .common import by_bytes, texts
+from .common import by_bytes, texts, use
 
 CAPACITY = 1024
 BLOCK = 1 << 20
@@ -34,6 +34,7 @@ END = b"\0\0\0\0"
 
 #: Marks a cut that has no space before it.
 BARE = "\2"
+MARKS = (".", ",")
 
 
 def lines_cut(text: str) -> list[str]:
@@ -61,7 +62,7 @@ class Tokens:
     with no other white space beside it. So cuts can be looked up, and new ones encoded many in one string: the bytes
     of the tokens tell them apart."""
 
-    def __init__(self, path: str, memo: int = 2_000_000):
+    def __init__(self, path: str, memo: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,7 +72,7 @@ class Tokens:
         for token, i in vocabulary.items():  # a character is a byte
             self.lengths[i] = len(token)
         self.memo = memo
-        self.marks = {x: self.ids([x])[0].tobytes() for x in ".,"}
+        self.marks = {x: self.ids([x])[0].tobytes() for x in MARKS}
         self.always = {"\n": self.ids(["\n"])[0].tobytes(), BARE: b""}
         self.known = dict(self.always)
 
@@ -89,7 +90,10 @@ class Tokens:
                 groups.append([])
                 size = 0
         for group, ids in zip(groups, self.ids([joint + joint.join(g) if not bare else joint.join(g) for g in groups])):
-            ends = np.cumsum([len(x.encode()) + 1 for x in group])
+            joined = np.frombuffer(joint.join(group).encode(), np.uint8)
+            ends = np.append(np.flatnonzero(joined == ord(joint)), len(joined)) + 1
+            if len(ends) != len(group):  # some cuts hold the joint
+                ends = np.cumsum([len(x.encode()) + 1 for x in group])
             at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
             raw, before = ids.tobytes(), 0
             for cut, n in zip(group, (4 * at).tolist()):
@@ -105,25 +109,25 @@ class Tokens:
         known = self.known
         if len(known) > self.memo:
             known.clear()
+        if BARE not in known:
             known.update(self.always)
-        plain, bare, odd, ended = [], [], [], []
+        plain, bare, odd = [], [], []
         missing = set().union(*all_cuts).difference(known)
+        # a mark after a letter is a token of its own
+        ended = [cut for cut in missing if cut.endswith(MARKS) and cut[-2:-1].isalpha()]
+        missing.difference_update(ended)
+        missing.update({cut[:-1] for cut in ended}.difference(known))
         for cut in missing:
-            if cut[-1:] in self.marks and cut[-2:-1].isalpha():
-                ended.append(cut)  # the mark is a token of its own
-                cut = cut[:-1]
-                if cut in known or cut in missing:
-                    continue
-            if cut[:1] != BARE:
+            if not cut.startswith(BARE):
                 plain.append(cut)
             elif cut[1:2].isspace() or BARE in cut[1:]:
                 odd.append(cut)
             else:
                 bare.append(cut[1:])
         if plain:
-            self.learn(list(dict.fromkeys(plain)), " ", False)
+            self.learn(plain, " ", False)
         if bare:
-            self.learn(list(dict.fromkeys(bare)), "\n", True)
+            self.learn(bare, "\n", True)
         if odd:
             known.update(zip(odd, (x.tobytes() for x in self.ids([x[1:] for x in odd]))))
         for cut in ended:
@@ -134,8 +138,9 @@ class Tokens:
 
 
 @functools.lru_cache(maxsize=1)
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, memo: int) -> Tokens:
+    """One a Python worker."""
+    return Tokens(path, memo)
 
 
 def cost(n):
@@ -169,12 +174,15 @@ def balance(lengths: list[int]) -> tuple[list[tuple[int, int, int, int, int]], i
     return out, len(room)
 
 
-def packed(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids the piece's ids as well."""
+def packed(docs: DataFrame, path: str, keep_ids: bool = False, memo: int = 1_500_000) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids the piece's ids as well.
+    memo: cuts that a Python worker remembers, at about 200 bytes each."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokens(path, memo)
+        use(coder.known)
         base = TaskContext.get().partitionId() << 32
         used = 0
         rows: list[tuple] = []
@@ -203,7 +211,7 @@ def packed(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             return out
 
         for batch in by_bytes(batches):
-            for k, ids in zip(batch.column("doc_id").to_pylist(), tokens(path).encode(texts(batch))):
+            for k, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts(batch))):
                 ids += END
                 total = len(ids) // 4
                 whole = total - total % CAPACITY
