@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, by_bytes, texts
+from .common import Memo, by_bytes, texts, use
 
 NONE = -1
 
@@ -168,6 +168,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
+        use(coder.fits, coder.ids, coder.chunk, coder.later)
         for batch in by_bytes(batches):
             rows: list[tuple] = []
             for text in texts(batch):

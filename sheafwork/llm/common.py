@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +69,28 @@ def named(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
+#: What a Python worker remembers from task to task, by operator.
+_remembered: list[dict] = []
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can; else it stays with the idle worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def use(*memos: dict) -> None:
+    """Forget what other operators remembered: a worker serves many stages, one after the other."""
+    mine = {id(m) for m in memos}
+    for m in _remembered:
+        if id(m) not in mine:
+            m.clear()
+    _remembered[:] = memos
+    release()
+
+
 class Memo(dict):
     """A dict that computes missing values and is emptied when it holds `most` entries."""
 
@@ -95,3 +118,4 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    release()

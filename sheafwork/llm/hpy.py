@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, free_shuffles, materialise, parts, texts
+from .common import Memo, by_bytes, free_shuffles, materialise, parts, texts, use
 
 CLASSES = 8
 SWEEPS, SAMPLES, MOVES = 3, 2, 4
@@ -46,7 +46,7 @@ BLOCK = 8 << 20
 HELD_OUT = (7, 2)
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-HASHES = Memo(xxhash.xxh3_64_intdigest, 400_000)
+HASHES = Memo(xxhash.xxh3_64_intdigest, 250_000)
 #: White space can't be in a word.
 END = xxhash.xxh3_64_intdigest(b"\n")
 LOW = np.uint64(CLASSES - 1)
@@ -244,6 +244,7 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
     """block, bucket, keys, counts: the keys that a block holds and their counts in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(HASHES)
         now, gathered, training = None, [], []
 
         def ask() -> pa.RecordBatch:
@@ -354,6 +355,7 @@ def scores(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(HASHES)
         now, found, table = None, [], None
         for batch in batches:
             for block, rows, keys, figures in zip(*(batch.column(c) for c in ("block", "rows", "keys", "figures"))):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, discard, free_shuffles, materialise, named, numbered, parts, texts
+from .common import Memo, by_bytes, discard, free_shuffles, materialise, named, numbered, parts, texts, use
 from .graph import components
 
 WORDS = 5
@@ -47,7 +47,7 @@ TIMES = (_random.integers(0, 1 << 31, WIDTH, np.uint32) * np.uint32(2) + np.uint
 ROOTS = _random.integers(0, 1 << 63, TREES).astype(np.uint64)
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-HASHES = Memo(xxhash.xxh3_64_intdigest, 400_000)
+HASHES = Memo(xxhash.xxh3_64_intdigest, 250_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -108,6 +108,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_id (a 64-bit hash of the set; null for the empty one), paths, tokens (their low bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(HASHES)
         for batch in by_bytes(batches):
             sizes, ids, rows = [], [], []
             for text in texts(batch):
@@ -273,6 +274,7 @@ def confirmed(docs: DataFrame, members: DataFrame) -> DataFrame:
     dealt = in_blocks(joined, "blocks", "set_id").drop("blocks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(HASHES)
         out: list[tuple[int, int]] = []
         for _, group in by_group(batches, ["root", "i", "j"]):
             ids, sets, keep = group["set_id"].to_pylist(), [], []

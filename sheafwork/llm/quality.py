@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, named, numbered, texts
+from .common import Memo, by_bytes, named, numbered, texts, use
 
 BITS = 18
 #: The bound of the training sample.
@@ -98,7 +98,7 @@ def word_code(word: str) -> int:
     return SHAPE_IDS[s] << (3 * BITS) | place("\2" + core[:4]) << (2 * BITS) | place("\3" + core[:5]) << BITS | place(core)
 
 
-KNOWN = Memo(word_code, 500_000)
+KNOWN = Memo(word_code, 300_000)
 
 
 @dataclass
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = rated.orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(KNOWN)
         for batch in by_bytes(batches):
             found = [summed(*features(t, KNOWN)) for t in texts(batch)]
             columns = [batch.column("grade"), pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))]
@@ -205,6 +206,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.6, columns: tuple[str,
     passed = [c for c in columns if c not in ("score", "expected_grade", "p_clean", "kept")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(KNOWN)
         w = model.dense()
         for batch in by_bytes(batches, "_text"):
             s = np.empty(batch.num_rows)

@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, free_shuffles, materialise, named, numbered, parts, texts
+from .common import Memo, by_bytes, free_shuffles, materialise, named, numbered, parts, texts, use
 
 LENGTH, GRAM = 50, 20
 PIECE = (1 << 20) - 1
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-HASHES = Memo(xxhash.xxh3_64_intdigest, 400_000)
+HASHES = Memo(xxhash.xxh3_64_intdigest, 250_000)
 
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -108,6 +108,8 @@ def retained(spans: Spans, n: int) -> tuple[np.ndarray, ...]:
 SUFFIX = np.dtype([("seed", "<u8"), ("doc_id", "<i8"), ("reach", "<u8"), ("first", "<i4"), ("count", "<i4")])
 #: Suffixes that a task gathers before it goes on.
 GATHERED = 1 << 18
+#: Shared suffixes of a bucket that are settled in memory.
+READY = 1 << 20
 
 
 def suffixes(docs: DataFrame, buckets: int) -> DataFrame:
@@ -123,6 +125,7 @@ def suffixes(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))], ["bucket", "suffixes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(HASHES)
         gathered, size = [], 0
         for batch in by_bytes(batches):
             for k, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
@@ -158,32 +161,70 @@ def sift(held: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((rows[~inside], marks)), rows[inside & ~marker]
 
 
+def settled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes sorted by beginning and reach; for each the smallest document of its run, and whether its beginning
+    has several reaches."""
+    rows = rows[np.lexsort((rows["reach"], rows["seed"]))]
+    seed, reach = rows["seed"], rows["reach"]
+    new_seed = np.concatenate(([True], seed[1:] != seed[:-1]))
+    new_run = new_seed | np.concatenate(([True], reach[1:] != reach[:-1]))
+    runs, seeds = np.flatnonzero(new_run), np.flatnonzero(new_seed)
+    first = np.repeat(np.minimum.reduceat(rows["doc_id"], runs), np.diff(np.append(runs, len(rows))))
+    several = np.repeat(np.add.reduceat(new_run, seeds, dtype=np.int64) > 1, np.diff(np.append(seeds, len(rows))))
+    return rows, first, several
+
+
+MET = "doc_id long, seed long, reach long, first int, count int, first_doc_id long, several boolean"
+
+
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The suffixes whose beginnings occur in two documents, of rows sorted by bucket. A beginning that is known to
-    be shared is held as one entry, however often it occurs, so a hot one doesn't gather."""
+    be shared is held as one entry, however often it occurs. What passes is settled at the bucket's end; where more
+    than READY pass, first_doc_id and several stay null, to be found by joins."""
     names = ["doc_id", "seed", "reach", "first", "count"]
     now, held, waiting, size = None, np.empty(0, SUFFIX), [], 0
+    ready: list[np.ndarray] = []
+    over = False
 
-    def passed() -> Iterator[pa.RecordBatch]:
-        nonlocal held, waiting, size
+    def emit(rows: np.ndarray, first: np.ndarray | None, several: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            n = len(rows[cut])
+            more = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())] if first is None else [pa.array(first[cut]), pa.array(several[cut])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[cut][c].astype("<i4" if c in names[3:] else "<i8")) for c in names), *more], [*names, "first_doc_id", "several"])
+
+    def sifted() -> Iterator[pa.RecordBatch]:
+        nonlocal held, waiting, size, over
         held, rows = sift(held, np.concatenate(waiting))
         waiting, size = [], 0
-        for at in range(0, len(rows), 1 << 16):
-            part = rows[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[c].astype("<i4" if c in names[3:] else "<i8")) for c in names], names)
+        ready.append(rows)
+        if over or sum(map(len, ready)) > READY:
+            over = True
+            for rows in ready:
+                yield from emit(rows, None, None)
+            ready.clear()
+
+    def done() -> Iterator[pa.RecordBatch]:
+        nonlocal held, over
+        if waiting:
+            yield from sifted()
+        if ready:
+            rows = np.concatenate(ready)
+            if len(rows):
+                yield from emit(*settled(rows))
+            ready.clear()
+        held, over = np.empty(0, SUFFIX), False
 
     for batch in batches:
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("suffixes")):
             if bucket != now:
-                if waiting:
-                    yield from passed()
-                now, held = bucket, np.empty(0, SUFFIX)
+                yield from done()
+                now = bucket
             waiting.append(np.frombuffer(blob.as_buffer(), SUFFIX))
             size += len(waiting[-1])
             if size > max(GATHERED, len(held)):
-                yield from passed()
-    if waiting:
-        yield from passed()
+                yield from sifted()
+    yield from done()
 
 
 def windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -191,6 +232,7 @@ def windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
     wanted = runs.groupBy("doc_id").agg(F.collect_set(F.struct("first", "count")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(HASHES)
         for batch in by_bytes(batches):
             ids, ats, hashes = [], [], []
             for k, text, runs in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("runs").to_pylist()):
@@ -233,13 +275,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = parts(spark)
     dealt = suffixes(docs, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = materialise(dealt.mapInArrow(neighbours, "doc_id long, seed long, reach long, first int, count int"), "met")
+    met = materialise(dealt.mapInArrow(neighbours, MET), "met")
     free_shuffles(spark)
-    reaches = materialise(met.groupBy("seed", "reach").agg(F.min("doc_id").alias("first_doc_id")), "reaches")
-    several = reaches.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    known = met.join(reaches, ["seed", "reach"])
+    rest = met.where("first_doc_id is null").drop("first_doc_id", "several")
+    reaches = rest.groupBy("seed", "reach").agg(F.min("doc_id").alias("first_doc_id"))
+    several = reaches.groupBy("seed").agg((F.count("*") > 1).alias("several"))
+    known = met.where("first_doc_id is not null")
+    if not rest.isEmpty():
+        known = known.unionByName(rest.join(reaches, ["seed", "reach"]).join(several, "seed").select(known.columns))
     whole = known.where("doc_id > first_doc_id").selectExpr("doc_id", "first start", f"first + count - 1 + {LENGTH} end", "first_doc_id")
-    open_runs = known.where("doc_id = first_doc_id").join(several, "seed").select("doc_id", "first", "count")
+    open_runs = known.where("doc_id = first_doc_id and several").select("doc_id", "first", "count")
     found = materialise(windows(docs, open_runs), "windows")
     free_shuffles(spark)
     earliest = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
