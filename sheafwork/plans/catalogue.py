@@ -493,6 +493,22 @@ def csv_parse(spark, sf_dir):
     return records(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Sums that DuckDB widens beyond 64 bits.
+WIDE = {
+    "split_by_keyword": ["part"],
+    "split_blank_drop": ["part"],
+    "split_blank_previous": ["part"],
+    "split_blank_next": ["part"],
+    "weighted_mode": ["weight"],
+    "markdown_stats": ["headings", "bullets", "words"],
+    "cell_tally": ["negatives"],
+    "band_islands": ["band"],
+    "edge_clusters": ["band"],
+}
+for _name, _columns in WIDE.items():
+    ORACLES[_name] = f"select * replace ({', '.join(f'{c}::bigint as {c}' for c in _columns)}) from ({ORACLES[_name]})"
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
