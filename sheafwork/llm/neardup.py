@@ -2,11 +2,12 @@
 
 A document's set holds its distinct shingles of five words (words lower-cased A-Z, cut at white space); with fewer
 words, the whole sequence is the one shingle. Documents of equal sets are one class. Each class has WIDTH min-wise
-tokens of its set and takes part in TREES independent trees: a node chooses BRANCHES of the tokens by hashing its
+tokens of its set and takes part in independent trees: a node chooses BRANCHES of the tokens by hashing its
 path, and a class descends to the children named by its values there. After DEPTH levels (more for nodes above LIMIT)
 classes that met are compared exhaustively by their tokens; what is left of a node's candidate pairs is a spanning
-forest, so the output is no longer than its members. Pairs of Jaccard 0.85 meet with probability
-p(d) = 1 - (1 - 0.85 p(d - 1)) ** 2 at depth d, 0.97 in one tree of depth 3 and 0.99997 in three.
+forest, so the output is no longer than its members. Pairs of Jaccard j meet with probability
+p(d) = 1 - (1 - j p(d - 1)) ** 2 at depth d; trees() takes as many as leave a pair at the threshold apart with MISS at
+most: at 0.85 (0.97 in one tree of depth 3) three, at 0.8 (0.94) four.
 
 Candidates joined by forests form candidate groups. Within a group every pair whose tokens agree enough is confirmed on
 the full sets, unless it is connected already; so each true link inside a group is found or implied. Groups (or nodes)
@@ -32,11 +33,11 @@ from .common import Memo, by_bytes, discard, free_shuffles, materialise, named,
 from .graph import components
 
 WORDS = 5
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= percent * union. This is the contract of op5; the pipeline takes 80.
 PERCENT = 85
-WIDTH, TREES, DEPTH, BRANCHES = 128, 3, 3, 2
-#: Estimates below this are not looked at: four deviations under the threshold.
-NEAR = 0.72
+WIDTH, DEPTH, BRANCHES = 128, 3, 2
+#: Pairs at the threshold that may never meet.
+MISS = 3e-5
 #: Members of a node, and shingles of a group, that one task may hold.
 LIMIT, SHINGLES = 40_000, 6_000_000
 MORE_LEVELS = 3
@@ -44,12 +45,26 @@ MORE_LEVELS = 3
 _random = np.random.Generator(np.random.PCG64(20240229))
 XOR = _random.integers(0, 1 << 32, WIDTH, np.uint32)[:, None]
 TIMES = (_random.integers(0, 1 << 31, WIDTH, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-ROOTS = _random.integers(0, 1 << 63, TREES).astype(np.uint64)
+ROOTS = _random.integers(0, 1 << 63, 64).astype(np.uint64)
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HASHES = Memo(xxhash.xxh3_64_intdigest, 250_000)
 
 
+def trees(percent: int) -> int:
+    """How many trees leave pairs at the threshold apart with probability MISS at most."""
+    p = 1.0
+    for _ in range(DEPTH):
+        p = 1 - (1 - percent / 100 * p) ** BRANCHES
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-p)))) if p < 1 else 1
+
+
+def near(percent: int) -> float:
+    """Estimates below this are not looked at: four deviations under the threshold."""
+    share = percent / 100
+    return share - 4 * (share * (1 - share) / WIDTH) ** 0.5
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x7FB5D329728EA185)
@@ -104,9 +119,11 @@ def children(paths: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_id (a 64-bit hash of the set; null for the empty one), paths, tokens (their low bytes)."""
 
+    roots = ROOTS[: trees(percent)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use(HASHES)
         for batch in by_bytes(batches):
@@ -117,7 +134,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 ids.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None)
                 rows.append(tokens(own))
             values = np.stack(rows)
-            paths = np.broadcast_to(ROOTS, (len(values), TREES))
+            paths = np.broadcast_to(roots, (len(values), len(roots)))
             for _ in range(DEPTH):
                 paths = children(paths, values)
             low = values.astype(np.uint8)
@@ -155,13 +172,13 @@ def needed(share: float) -> int:
     return int(np.ceil((share * (1 - 1 / 256) + 1 / 256) * WIDTH))
 
 
-def connect(values: np.ndarray, accept) -> list[tuple[int, int]]:
+def connect(values: np.ndarray, accept, percent: int) -> list[tuple[int, int]]:
     """Spanning forest of the pairs that agree in enough places and that accept(v, others) lets through.
 
     Members are compared with all others one by one until those not yet compared lie in one tree: a pair that hasn't
     been looked at then joins what is joined."""
     n, out = len(values), []
-    forest, least = Forest(n), needed(NEAR)
+    forest, least = Forest(n), needed(near(percent))
     waiting = np.ones(n, bool)
     while True:
         rest = np.flatnonzero(waiting)
@@ -175,9 +192,9 @@ def connect(values: np.ndarray, accept) -> list[tuple[int, int]]:
         todo = rest[at[order[: max(1, len(labels) // 2)]]]
         for v in todo.tolist():
             waiting[v] = False
-            near = agreeing(values, v) >= least
-            near &= forest.label != forest.label[v]
-            others = np.flatnonzero(near)
+            close = agreeing(values, v) >= least
+            close &= forest.label != forest.label[v]
+            others = np.flatnonzero(close)
             if len(others):
                 out += [(v, int(u)) for u in accept(v, others, forest)]
 
@@ -216,7 +233,7 @@ def in_blocks(rows: DataFrame, blocks: str, key: str) -> DataFrame:
     return dealt.selectExpr("*", "least(_own, _other) i", "greatest(_own, _other) j").drop("_own", "_other")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
+def candidates(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links a, b between sets that met in a node and are near by their tokens: a forest for each node."""
     spark = sets.sparkSession
     count = parts(spark)
@@ -226,7 +243,7 @@ def candidates(sets: DataFrame) -> DataFrame:
         out: list[tuple[int, int]] = []
         for _, group in by_group(batches, ["path", "i", "j"]):
             ids = group["set_id"].to_numpy()
-            out += [(int(ids[v]), int(ids[u])) for v, u in connect(matrix(group["tokens"]), take_all)]
+            out += [(int(ids[v]), int(ids[u])) for v, u in connect(matrix(group["tokens"]), take_all, percent)]
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
                 out = []
@@ -263,7 +280,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     return out
 
 
-def confirmed(docs: DataFrame, members: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links a, b that hold on the full sets, a forest for each group: from members (set_id, doc_id, tokens,
     n_shingles, root) and the texts of their doc_ids."""
     count = parts(docs.sparkSession)
@@ -292,15 +309,15 @@ def confirmed(docs: DataFrame, members: DataFrame) -> DataFrame:
 
             def accept(v: int, others: np.ndarray, forest: Forest) -> list[int]:
                 a, b = np.minimum(sizes[others], sizes[v]), np.maximum(sizes[others], sizes[v])
-                others = others[100 * a >= PERCENT * b]
+                others = others[100 * a >= percent * b]
                 joined = []
                 # the nearest first: each that holds settles its whole tree
                 for u in others[np.argsort(-agreeing_few(values, v, others), kind="stable")].tolist():
-                    if forest.label[u] != forest.label[v] and linked(sets[v], sets[u]):
+                    if forest.label[u] != forest.label[v] and linked(sets[v], sets[u], percent):
                         joined += forest.join(v, np.array([u])).tolist()
                 return joined
 
-            out += [(ids[keep[v]], ids[keep[u]]) for v, u in connect(values, accept)]
+            out += [(ids[keep[v]], ids[keep[u]]) for v, u in connect(values, accept, percent)]
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
                 out = []
@@ -315,26 +332,26 @@ def agreeing_few(values: np.ndarray, v: int, others: np.ndarray) -> np.ndarray:
     return (values[others] == values[v]).sum(axis=1)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     common = int((b[at] == a).sum())
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; links are pairs of Jaccard percent / 100 or more."""
     spark = docs.sparkSession
-    rows = materialise(signed(docs), "signed")
+    rows = materialise(signed(docs, percent), "signed")
     sets = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("paths").alias("paths"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"))
     sets = materialise(sets, "sets")
     free_shuffles(spark)
-    groups = components(candidates(sets))
+    groups = components(candidates(sets, percent))
     members = materialise(sets.drop("paths").join(groups, F.col("set_id") == F.col("node")).drop("node"), "members")
     free_shuffles(spark)
-    links = materialise(confirmed(docs, members), "confirmed")
+    links = materialise(confirmed(docs, members, percent), "confirmed")
     free_shuffles(spark)
     joined = components(links)
     roots = joined.join(sets.select("set_id", "doc_id"), F.col("node") == F.col("set_id"))
@@ -346,9 +363,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.selectExpr("doc_id", "n_shingles", f"{component} component_id", f"coalesce(doc_id = {component}, false) kept")
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with its own columns; rows without an id stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     rows, names = numbered(docs)
     key = f"c{names.index('doc_id')}"
     chosen = rows.where(f"{key} is not null").join(kept, F.col(key).cast("long") == F.col("kept_id"), "left_semi")

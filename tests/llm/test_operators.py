@@ -174,6 +174,27 @@ def test_near_duplicates_in_blocks(docs, rows, monkeypatch):
     assert all(r.component_id == want[r.doc_id][1] for r in neardup.near_duplicates(docs).where("doc_id is not null").collect())
 
 
+def test_stage_links_from_four_fifths(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    base = [[f"w{r.randrange(5000)}" for _ in range(204)] for _ in range(40)]
+    texts = []
+    for k, w in enumerate(base):  # 200 shingles; a word changed in the middle takes 5 of them
+        other = list(w)
+        for at in range(20, 20 + 10 * (1 + k % 6), 10):
+            other[at] = f"x{k}"
+        texts += [w, other]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    sets = {k: shingle_set(t) for k, t in rows}
+    share = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, 80, 2)]
+    assert any(0.8 <= s < 0.85 for s in share) and any(s < 0.8 for s in share)
+    want = set(range(0, 80, 2)) | {2 * k + 1 for k, s in enumerate(share) if s < 0.8}
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, made, "").collect()} == want
+    assert neardup.trees(85) == 3 and neardup.trees(80) == 4 and neardup.needed(neardup.near(85)) == 93
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
