@@ -3,8 +3,10 @@
 A shingle is SHINGLE consecutive bytes of the UTF-8 text (a shorter text is one shingle). The retained set of a union
 is the union of the retained sets, and for documents of any two lengths |A and B| / |A| estimates how much of A lies
 in B. A fingerprint is the retained hashes, sorted, as base64 of little-endian 32-bit integers: the bits that follow
-those which are zero in every retained hash. Likeness is the larger of both containments; two empty sketches are
-alike (1), an empty and another one aren't (0).
+those which are zero in every retained hash. A text that retains none, as short ones may, has the same bits of its
+least hash instead, so only the empty text has the empty fingerprint. Likeness is the larger of both containments; two
+empty texts are alike (1), an empty and another one aren't (0). Where a sketch holds fewer than FEW hashes, all shingles
+of both texts are compared, so the likeness of short texts is no estimate.
 
 edited(): each document's text with its second half replaced by the beginning of the next document's, in descending
 doc_id (then text, for repeated ids), the first following the last; null ids come last. The order is a range
@@ -30,6 +32,8 @@ SHINGLE = 16
 #: One of 2 ** SHIFT shingle hashes is retained.
 SHIFT = 4
 LONG = 1 << 22
+#: Sketches of fewer hashes estimate too little.
+FEW = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,20 +56,29 @@ def eights(raw: bytes) -> np.ndarray:
     return out
 
 
-def sketch(text: str) -> np.ndarray:
-    """The retained hashes as sorted unsigned 32-bit integers. Long texts go through piece by piece."""
+def hashes(text: str) -> Iterator[np.ndarray]:
+    """The hashes of all shingles. Long texts go through piece by piece."""
     raw = text.encode()
     if not raw:
-        return np.empty(0, np.uint32)
+        return
     raw = raw.ljust(SHINGLE, b"\0")
-    found = []
     for at in range(0, len(raw) - SHINGLE + 1, LONG):
         words = eights(raw[at : at + LONG + SHINGLE - 1])
         h = words[8:] * np.uint64(0x9E3779B97F4A7C15)
         h ^= words[:-8]
-        h = mixed(h)
-        found.append(np.unique((h[h < np.uint64(1 << (64 - SHIFT))] >> np.uint64(32 - SHIFT)).astype(np.uint32)))
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        yield mixed(h)
+
+
+def sketch(text: str) -> np.ndarray:
+    """The retained hashes as sorted unsigned 32-bit integers; without any, the least hash."""
+    short = lambda h: (h >> np.uint64(32 - SHIFT)).astype(np.uint32)
+    found, least = [], None
+    for h in hashes(text):
+        found.append(np.unique(short(h[h < np.uint64(1 << (64 - SHIFT))])))
+        if not len(found[-1]):
+            least = h.min() if least is None else min(least, h.min())
+    out = np.empty(0, np.uint32) if not found else found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    return out if len(out) or least is None else short(np.array([least]))
 
 
 def fingerprint(kept: np.ndarray) -> str:
@@ -102,6 +115,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common(a, b) / min(len(a), len(b))
 
 
+def exact(a: str, b: str) -> float:
+    """Likeness by all shingles, for texts of which one has a small sketch. Of the larger set no more is held than says
+    that it is the larger."""
+    if not a or not b:
+        return float(a == b)
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    own, other, shared = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for h in hashes(small):
+        own = np.union1d(own, h)
+    for h in hashes(large):
+        shared = np.union1d(shared, h[np.isin(h, own)])
+        if len(other) < len(own):
+            other = np.union1d(other, h)
+    return len(shared) / min(len(own), len(other))
+
+
+def likeness_of(a: str, b: str, of_a: np.ndarray, of_b: np.ndarray) -> float:
+    """Likeness of two texts with their sketches."""
+    return exact(a, b) if min(len(of_a), len(of_b)) < FEW else likeness(of_a, of_b)
+
+
 def ranges(docs: DataFrame, count: int) -> DataFrame:
     """doc_id, text, part, head: rows dealt to `count` ranges of descending doc_id, each range's first row also dealt
     to the range before it (head). Only range bounds and one row for each range come to the driver."""
@@ -150,7 +184,7 @@ def edited(docs: DataFrame) -> DataFrame:
                     n = len(before_text)
                     new = before_text[: n - n // 2] + text[: n // 2]
                     changed = sketch(new)
-                    row = (before, n, hashlib.sha256(new.encode()).hexdigest(), fingerprint(before_own), fingerprint(changed), likeness(before_own, changed), likeness(before_own, own))
+                    row = (before, n, hashlib.sha256(new.encode()).hexdigest(), fingerprint(before_own), fingerprint(changed), likeness_of(before_text, new, before_own, changed), likeness_of(before_text, text, before_own, own))
                     rows.append(row)
                     size += len(row[3]) + len(row[4])
                     if size > 1 << 22 or len(rows) >= 4096:

@@ -331,6 +331,24 @@ def test_sketches(docs, rows, empty):
     assert sketch.edited(empty).count() == 0
 
 
+def test_sketches_of_short_texts(spark):
+    r = random.Random(8)
+    made = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(1, 60))) for _ in range(300)]
+    prints = {t: sketch.fingerprint(sketch.sketch(t)) for t in made}
+    assert sketch.fingerprint(sketch.sketch("")) == "" and all(prints.values()) and len(set(prints.values())) == len(prints)
+
+    def brute(a, b):
+        sets = [{x[i : i + 16] for i in range(max(1, len(x) - 15))} if x else set() for x in (a.encode(), b.encode())]
+        return len(sets[0] & sets[1]) / min(map(len, sets)) if all(sets) else float(not any(sets))
+
+    rows = list(enumerate([*made, "", "", "long enough " * 400 + made[0], made[0]]))
+    texts = dict(rows)
+    for x in sketch.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t, u = texts[x.doc_id], texts[(x.doc_id - 1) % len(rows)]
+        new = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert math.isclose(x.near_edited, brute(t, new)) and math.isclose(x.near_next, brute(t, u))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
