@@ -18,6 +18,7 @@ several ratings takes each of them.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -60,16 +61,13 @@ def features(text: str, known: Memo) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.array([place("\0empty")]), np.ones(1)
     count = Counter(words)
-    codes = np.fromiter(map(known.__getitem__, count), np.int64, len(count))
-    own = np.concatenate([codes >> (BITS * k) & ((1 << BITS) - 1) for k in range(3)])
+    codes = np.frombuffer(b"".join(map(known.__getitem__, count)), np.int32).reshape(-1, 4)
+    own = codes[:, :3].T.ravel()
     times = np.fromiter(count.values(), np.float64, len(count))
-    shapes = np.bincount(codes >> (3 * BITS), times)
-    kinds = np.flatnonzero(shapes)
     same = sum(map(str.__eq__, words, words[1:])) / n
     extra = [(place("\0bias"), 1.0), (place("\0same"), 3 * same), (place("\0most"), 3 * times.max() / n if n >= 20 else 0.0), (place("\0new"), len(count) / n if n >= 20 else 0.0)]
-    shape_places = np.array([SHAPE_PLACES.setdefault(k, place(f"\1{SHAPES[k]}")) for k in kinds.tolist()])
-    places = np.concatenate((own, shape_places, [p for p, _ in extra]))
-    return places, np.concatenate((np.ones(len(own)), 3 * shapes[kinds] / n, [v for _, v in extra]))
+    places = np.concatenate((own, codes[:, 3], [p for p, _ in extra]))
+    return places, np.concatenate((np.ones(len(own)), 3 * times / n, [v for _, v in extra]))
 
 
 def summed(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,24 +76,10 @@ def summed(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return used.astype(np.int32), np.bincount(at, values).astype(np.float32)
 
 
-#: Shapes get numbers as they come, in each process its own; they are only used through their hashed names.
-SHAPES: list[str] = []
-SHAPE_IDS: dict[str, int] = {}
-SHAPE_PLACES: dict[int, int] = {}
-#: Beyond so many, shapes count as one.
-MOST_SHAPES = 500
-
-
-def word_code(word: str) -> int:
-    s = shape(word)
-    if s not in SHAPE_IDS:
-        if len(SHAPES) >= MOST_SHAPES:
-            s = "other"
-        if s not in SHAPE_IDS:
-            SHAPE_IDS[s] = len(SHAPES)
-            SHAPES.append(s)
+def word_code(word: str) -> bytes:
+    """Four places as 32-bit integers: of the word, its first five and four letters, and its shape."""
     core = word.strip(ENDS).lower()
-    return SHAPE_IDS[s] << (3 * BITS) | place("\2" + core[:4]) << (2 * BITS) | place("\3" + core[:5]) << BITS | place(core)
+    return struct.pack("=4i", place(core), place("\3" + core[:5]), place("\2" + core[:4]), place("\1" + shape(word)))
 
 
 KNOWN = Memo(word_code, 300_000)

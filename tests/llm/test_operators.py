@@ -131,6 +131,19 @@ def test_quality_edges(spark, docs, empty):
     assert quality.stage(docs, none).columns == docs.columns
 
 
+def test_quality_of_many_shapes():
+    """What a process has read before doesn't change a document's features."""
+    text = "Plain words, then ¿odd?§ ones: a«b»0 ✓done 12→34"
+    first = quality.summed(*quality.features(text, quality.Memo(quality.word_code, 1000)))
+    known = quality.Memo(quality.word_code, 100_000)
+    marks = [chr(c) for c in range(0x2190, 0x2600)]
+    quality.features(" ".join(a + "x" + b for a, b in zip(marks, marks[7:])), known)
+    then = quality.summed(*quality.features(text, known))
+    assert (first[0] == then[0]).all() and (first[1] == then[1]).all()
+    odd = [quality.features(f"{m}x{m}", known) for m in marks]
+    assert len({p[3] for p, _ in odd}) > 1000  # each shape has a place of its own
+
+
 def shingle_set(text):
     w = words(text)
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
