@@ -79,6 +79,19 @@ def test_avi_decoder_and_cuts():
     assert [(a, b) for a, b, _ in avi.shots([dark] * 10 + [light] * 10)] == [(0, 9), (10, 19)]
 
 
+def test_short_shots():
+    dark, light, grey = (np.full(576, v, np.uint8) for v in (20, 220, 120))
+    found = lambda frames: [(a, b) for a, b, _ in avi.shots(frames)]
+    for n in range(1, 9):  # an insert, and cuts closer than the window
+        assert found([dark] * 10 + [light] * n + [dark] * 10) == [(0, 9), (10, 9 + n), (10 + n, 19 + n)]
+        assert found([dark] * 10 + [light] * n + [grey] * 10) == [(0, 9), (10, 9 + n), (10 + n, 19 + n)]
+    faint = np.where(np.arange(576) < 230, 220, 20).astype(np.uint8)
+    assert found([dark] * 10 + [faint] * 4 + [light] * 10) == [(0, 9), (10, 13), (14, 23)]
+    assert found(([dark] * 3 + [light] * 3) * 5) == [(k, k + 2) for k in range(0, 30, 3)]
+    noise = np.random.default_rng(1).integers(0, 256, (60, 576), np.uint8)
+    assert found(list(noise)) == [(0, 59)]
+
+
 def test_bpe_equals_the_library(docs, rows):
     coder = Bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
