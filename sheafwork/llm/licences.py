@@ -128,13 +128,16 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
     return stack[0]
 
 
-def leading(rest: str) -> list[str] | None:
-    """The longest expression that the line starts with."""
-    rest = re.split(r"\*/|-->|[\r\n,;]", rest, maxsplit=1)[0]
-    tokens = [t.rstrip(".") if t not in "()" else t for t in re.findall(r"[()]|[^\s()]+", rest[:1000])]
+#: Ends of an expression, brackets, words.
+TOKENS = re.compile(r"\*/|-->|[\r\n,;]|[()]|(?:(?!\*/|-->)[^\s(),;])+")
+
+
+def leading(text: str, start: int = 0) -> list[str] | None:
+    """The longest expression at the place; no more is read than goes on with it."""
     kept: list[str] = []
     operand, depth, best = True, 0, 0
-    for t in tokens:  # an operand follows an operand: prose begins
+    for found in TOKENS.finditer(text, start):  # an operand follows an operand: prose begins
+        t = found[0] if found[0] in "()" else found[0].rstrip(".")
         word = t.lower()
         if t == "(" and operand:
             depth += 1
@@ -142,7 +145,7 @@ def leading(rest: str) -> list[str] | None:
             depth -= 1
         elif word in OPERATORS and not operand:
             operand = True
-        elif t not in "()" and word not in OPERATORS and operand and re.fullmatch(r"[\w.+:-]+", t):
+        elif t not in "()" and word not in OPERATORS and operand and re.fullmatch(r"[\w.+:-]+", t) and TAG not in word:
             operand = False
         else:
             break
@@ -186,8 +189,7 @@ def scan(text: str) -> tuple:
     if TAG in lower:
         flat_text = text.encode().lower().decode()
         for end, _ in tags.iter(flat_text):
-            stop = flat_text.find("\n", end)
-            postfix = leading(text[end + 1 : stop if stop >= 0 else len(text)])
+            postfix = leading(text, end + 1)
             if postfix:
                 score, named = evaluate(postfix)
                 freedom.append(score)

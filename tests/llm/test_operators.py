@@ -122,6 +122,15 @@ def test_licences():
         assert licences.scan(text)[:4] == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
 
 
+def test_long_licence_expressions():
+    names = [f"LicenseRef-{k}" for k in range(300)]
+    for line in (" AND ".join([*names, "GPL-2.0-only"]), f"({' AND '.join([*names, 'GPL-2.0-only'])})"):
+        _, _, _, _, _, labels, score = licences.scan(f"SPDX-License-Identifier: {line}\nMIT or later words")
+        assert set(labels.split(",")) == {licences.family(n) for n in names} | {"gpl"}
+        assert score == min(licences.FREEDOM["gpl"], licences.UNKNOWN)
+    assert licences.leading("MIT OR ISC*/ AND x") == ["mit", "isc", "or"] and licences.leading("MIT, or not") == ["mit"]
+
+
 def test_quality_on_held_out_labels(spark):
     data = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
