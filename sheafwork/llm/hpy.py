@@ -4,11 +4,12 @@ Tokens are words (lower-cased A-Z, cut at white space) and one end for each text
 of the token before it (CLASSES hashed classes; a text begins after an end). Each context is a restaurant whose tables
 draw their dishes from one shared parent, the restaurant of all words, whose own tables draw from the uniform
 distribution over the training words and one unknown word. Seating follows the two-parameter Chinese restaurant
-process and is sampled by Gibbs: SWEEPS sweeps in which customers of every dish are taken from their tables and seated
-anew; the last SAMPLES sweeps are kept, and a token's probability is its mean over them.
+process and is sampled by Gibbs: SWEEPS sweeps in which every customer of every dish, in the contexts and in their
+parent, is taken from its table and seated anew; the last SAMPLES sweeps are kept, and a token's probability is its mean
+over them.
 
-Seating is held for each dish as the number of tables of each size up to 7 and, for larger ones, their number and
-customers. The first 16 customers of a dish are seated one by one, later ones in leaps of a quarter of those seated.
+Customers are seated one by one, a customer of each dish at a time; the chances of the parent are renewed after each
+sweep of the contexts.
 
 The texts are dealt into blocks. A block asks for the words it holds, with its own training counts; the words are
 dealt to buckets by their hash, where counts over all blocks meet and seating takes place, and each block gets the
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import Memo, by_bytes, free_shuffles, materialise, parts, texts, use
 
 CLASSES = 8
-SWEEPS, SAMPLES, MOVES = 3, 2, 4
+SWEEPS, SAMPLES = 3, 2
+#: Fewer dishes than this aren't worth a step for all.
+NARROW = 32
 #: Discount and strength of the contexts and of their parent.
 DISCOUNT, STRENGTH = 0.8, 1.0
 TOP_DISCOUNT, TOP_STRENGTH = 0.7, 1.0
@@ -67,127 +71,155 @@ def keys_of(text: str) -> np.ndarray:
 
 
 class Seating:
-    """Tables of dishes: n[:, k] of size k + 1 up to 7, n[:, 7] larger ones, with `more` customers."""
-
-    def __init__(self, dishes: int):
-        self.n = np.zeros((dishes, 8), np.int64)
-        self.more = np.zeros(dishes, np.int64)
-
-    def tables(self) -> np.ndarray:
-        return self.n.sum(axis=1)
-
-    def customers(self) -> np.ndarray:
-        return self.n[:, :7] @ np.arange(1, 8) + self.more
-
-    def seat(self, who: np.ndarray, fresh: np.ndarray, discount: float, random: np.random.Generator) -> None:
-        """One more customer for each dish of `who`; fresh: the weight of a new table."""
-        n, more = self.n[who], self.more[who]
-        weights = np.empty((len(who), 9))
-        weights[:, 0] = fresh
-        weights[:, 1:8] = n[:, :7] * (np.arange(1, 8) - discount)
-        weights[:, 8] = more - discount * n[:, 7]
-        ends = np.cumsum(weights, axis=1)
-        choice = (ends < (random.random(len(who)) * ends[:, -1])[:, None]).sum(axis=1)
-        rows = np.arange(len(who))
-        grown = (choice >= 1) & (choice <= 7)
-        n[rows[grown], choice[grown] - 1] -= 1
-        up = choice <= 7
-        n[rows[up], choice[up]] += 1
-        more += np.where(choice == 7, 8, choice == 8)
-        self.n[who], self.more[who] = n, more
-
-    def unseat(self, who: np.ndarray, random: np.random.Generator) -> None:
-        """One customer fewer, each customer as likely, for dishes that have any."""
-        n, more = self.n[who], self.more[who]
-        weights = np.concatenate((n[:, :7] * np.arange(1, 8), more[:, None]), axis=1).astype(float)
-        ends = np.cumsum(weights, axis=1)
-        choice = (ends <= (random.random(len(who)) * ends[:, -1])[:, None]).sum(axis=1)
-        rows = np.arange(len(who))
-        large = choice == 7
-        # where the larger tables would fall under 8 on average, one of 8 becomes one of 7
-        shrinks = large & (more - 1 < 8 * n[:, 7])
-        more -= np.where(shrinks, 8, large)
-        n[rows[shrinks], 7] -= 1
-        n[rows[shrinks], 6] += 1
-        small = ~large
-        n[rows[small], choice[small]] -= 1
-        falls = small & (choice > 0)
-        n[rows[falls], choice[falls] - 1] += 1
-        # rounding above may leave customers without a table
-        stray = n[:, 7] == 0
-        self.n[who], self.more[who] = n, np.where(stray, 0, more)
-
-    def leap(self, who: np.ndarray, count: np.ndarray, fresh: np.ndarray, discount: float, random: np.random.Generator) -> None:
-        """Several more customers for each dish, as if the weights stayed."""
-        n = self.n[who]
-        total = self.customers()[who] - discount * n.sum(axis=1)
-        new = random.binomial(count, np.clip(fresh / (fresh + total), 0, 1))
-        n[:, 0] += new
-        bare = np.flatnonzero(n[:, 7] == 0)
-        if len(bare):  # the largest table takes them
-            largest = 6 - (n[bare, 6::-1] > 0).argmax(axis=1)
-            n[bare, largest] -= 1
-            n[bare, 7] = 1
-            self.more[who[bare]] = largest + 1
-        self.n[who] = n
-        self.more[who] += count - new
-
-    def fill(self, want: np.ndarray, weight, discount: float, random: np.random.Generator) -> None:
-        """Customers come or go until each dish has as many as wanted; weight(who): of a new table."""
+    """Customers of dishes at tables, each by its number. `most`: of each dish, for which there is room; `group`: the
+    restaurant of each dish; above: the chance of a dish in the parent. Tables of a restaurant are taken to be those of
+    the dish and `scale` times those of the other dishes here, which is right on average."""
+
+    def __init__(self, most: np.ndarray, group: np.ndarray, scale: int, discount: float, strength: float, seed: int):
+        ends = np.cumsum(most)
+        self.most, self.start, self.group = most, ends - most, group
+        self.scale, self.discount, self.strength = scale, discount, strength
+        self.random, self.quick = np.random.Generator(np.random.PCG64(seed)), Random(seed)
+        room = int(ends[-1]) if len(ends) else 0
+        # of each customer its table; of each table its customers; the tables without any, as a stack
+        self.table, self.size = np.zeros(room, np.int32), np.zeros(room, np.int32)
+        self.free = (np.arange(room) - np.repeat(self.start, most)).astype(np.int32)
+        self.have, self.open = np.zeros(len(most), np.int64), np.zeros(len(most), np.int64)
+        self.total = np.zeros(int(group.max()) + 1 if len(group) else 1, np.int64)
+        self.above = np.ones(len(most))
+
+    def shut(self, who: np.ndarray, slot: np.ndarray) -> None:
+        """The tables have lost their last customers."""
+        self.open[who] -= 1
+        np.subtract.at(self.total, self.group[who], 1)
+        self.free[self.start[who] + self.most[who] - self.open[who] - 1] = slot
+
+    def leave(self, who: np.ndarray, nth: np.ndarray) -> None:
+        """A customer of each dish of `who` leaves its table."""
+        slot = self.table[self.start[who] + nth]
+        at = self.start[who] + slot
+        self.size[at] -= 1
+        gone = self.size[at] == 0
+        self.shut(who[gone], slot[gone])
+
+    def join(self, who: np.ndarray, nth: np.ndarray, others: np.ndarray) -> None:
+        """That customer is seated; others: how many of its dish are."""
+        own = self.open[who]
+        fresh = (self.strength + self.discount * (own + self.scale * (self.total[self.group[who]] - own))) * self.above[who]
+        new = self.random.random(len(who)) * (fresh + others - self.discount * own) < fresh
+        w = who[new]
+        slot = self.free[self.start[w] + self.most[w] - self.open[w] - 1]
+        self.open[w] += 1
+        np.add.at(self.total, self.group[w], 1)
+        self.table[self.start[w] + nth[new]] = slot
+        self.size[self.start[w] + slot] = 1
+        rest = np.flatnonzero(~new)
+        while len(rest):  # the table of any other customer, refused at the discount's share
+            w, n = who[rest], nth[rest]
+            other = (self.random.random(len(rest)) * others[rest]).astype(np.int64)
+            other += other >= n
+            slot = self.table[self.start[w] + other]
+            at = self.start[w] + slot
+            size = self.size[at]
+            taken = self.random.random(len(rest)) * size < size - self.discount
+            self.table[self.start[w[taken]] + n[taken]] = slot[taken]
+            self.size[at[taken]] += 1
+            rest = rest[~taken]
+
+    def alone(self, dish: int, first: int, last: int, again: bool) -> None:
+        """join() for customers first to last of one dish, after leave() with `again`."""
+        a, room = int(self.start[dish]), int(self.most[dish])
+        own = before = int(self.open[dish])
+        table, size, free = (x[a : a + n].tolist() for x, n in ((self.table, room), (self.size, room), (self.free, room - own)))
+        rest, above, discount, draw = self.scale * (int(self.total[self.group[dish]]) - own), float(self.above[dish]), self.discount, self.quick.random
+        others = int(self.have[dish]) - 1
+        for nth in range(first, last):
+            if again:
+                slot = table[nth]
+                size[slot] -= 1
+                if not size[slot]:
+                    own -= 1
+                    free.append(slot)
+            else:
+                others = nth
+            fresh = (self.strength + discount * (own + rest)) * above
+            if draw() * (fresh + others - discount * own) < fresh:
+                slot = free.pop()
+                own += 1
+                size[slot] = 1
+            else:
+                while True:
+                    other = int(draw() * others)
+                    slot = table[other + (other >= nth)]
+                    if draw() * size[slot] < size[slot] - discount:
+                        break
+                size[slot] += 1
+            table[nth] = slot
+        self.table[a : a + room], self.size[a : a + room], self.free[a : a + len(free)] = table, size, free
+        self.total[self.group[dish]] += own - before
+        self.open[dish] = own
+
+    def move(self, who: np.ndarray, first: np.ndarray, last: np.ndarray, again: bool) -> None:
+        """Customers first to last of each dish, one of each at a time; the few dishes with most of them one by one."""
+        order = np.argsort(first - last, kind="stable")
+        who, first, last = who[order], first[order], last[order]
+        length = first - last  # ascending
+        step = 0
         while True:
-            have = self.customers()
-            gap = want - have
-            short = np.flatnonzero((gap > 0) & ((have < 16) | (gap < 4)))
-            if len(short):
-                self.seat(short, weight(short), discount, random)
-            far = np.flatnonzero((gap >= 4) & (have >= 16))
-            if len(far):
-                self.leap(far, np.minimum(gap[far], have[far] // 4), weight(far), discount, random)
-            over = np.flatnonzero(gap < 0)
-            if len(over):
-                self.unseat(over, random)
-            if not len(short) and not len(far) and not len(over):
-                return
+            n = int(np.searchsorted(length, -step))
+            if n < NARROW:
+                break
+            w, nth = who[:n], first[:n] + step
+            if again:
+                self.leave(w, nth)
+            self.join(w, nth, self.have[w] - 1 if again else nth)
+            step += 1
+        for k in range(n):
+            self.alone(int(who[k]), int(first[k]) + step, int(last[k]), again)
+
+    def fill(self, want: np.ndarray) -> None:
+        """Customers come or go, any as likely, until each dish has as many as wanted."""
+        while len(over := np.flatnonzero(self.have > want)):
+            nth = (self.random.random(len(over)) * self.have[over]).astype(np.int64)
+            self.leave(over, nth)
+            self.have[over] -= 1
+            self.table[self.start[over] + nth] = self.table[self.start[over] + self.have[over]]
+        short = np.flatnonzero(self.have < want)
+        self.move(short, self.have[short], want[short], False)
+        self.have[short] = want[short]
+
+    def sweep(self) -> None:
+        """Every customer leaves its table and is seated anew. One that is alone with its dish has no choice."""
+        who = np.flatnonzero(self.have > 1)
+        self.move(who, np.zeros(len(who), np.int64), self.have[who], True)
 
 
 def sample(context: np.ndarray, word: np.ndarray, count: np.ndarray, words: int, scale: int, seed: int) -> list[tuple[np.ndarray, ...]]:
     """Gibbs sampling for the dishes of a bucket: (context, number of the word, count) rows. For each kept sweep: tables
     of each row, customers and tables of each word at the top."""
-    random = np.random.Generator(np.random.PCG64(seed))
-    low, top = Seating(len(count)), Seating(words)
+    count = count.astype(np.int64)
+    low = Seating(count, context, scale, DISCOUNT, STRENGTH, seed)
+    top = Seating(np.bincount(word, count, words).astype(np.int64), np.zeros(words, np.int64), scale, TOP_DISCOUNT, TOP_STRENGTH, seed + (1 << 32))
+    top.above[:] = low.above[:] = 1 / (scale * words + 1)
     kept = []
-    total = np.zeros(CLASSES)
 
-    def parent() -> np.ndarray:
-        c, t = top.customers(), top.tables()
+    def refresh() -> None:
+        top.fill(np.bincount(word, low.open, words).astype(np.int64))
+        top.sweep()
+        c, t = top.have, top.open
         tables, guests = scale * t.sum(), scale * c.sum()
-        return (np.maximum(c - TOP_DISCOUNT * t, 0) + (TOP_STRENGTH + TOP_DISCOUNT * tables) / (scale * words + 1)) / (TOP_STRENGTH + guests)
+        above = (np.maximum(c - TOP_DISCOUNT * t, 0) + (TOP_STRENGTH + TOP_DISCOUNT * tables) / (scale * words + 1)) / (TOP_STRENGTH + guests)
+        low.above = above[word]
 
-    def refresh() -> None:
-        nonlocal total, above
-        top.fill(np.bincount(word, low.tables(), words).astype(np.int64), lambda who: np.full(len(who), (TOP_STRENGTH + TOP_DISCOUNT * scale * max(top.tables().sum(), 1)) / (scale * words + 1)), TOP_DISCOUNT, random)
-        total = scale * np.bincount(context, low.tables(), CLASSES)
-        above = parent()
-
-    above = np.full(words, 1 / (scale * words + 1))
-    weight = lambda who: (STRENGTH + DISCOUNT * np.maximum(total[context[who]], 1)) * above[word[who]]
-    first = np.minimum(count, 1)
-    low.fill(first, weight, DISCOUNT, random)
+    low.fill(np.minimum(count, 1))
     refresh()
-    low.fill(count, weight, DISCOUNT, random)
+    low.fill(count)
     refresh()
-    several = np.flatnonzero(count > 1)
     for sweep in range(SWEEPS):
-        for move in range(MOVES):
-            who = several[count[several] > move]
-            if len(who):
-                low.unseat(who, random)
-                # a dish whose strays were dropped is filled up again below
-                low.seat(who, weight(who), DISCOUNT, random)
-        low.fill(count, weight, DISCOUNT, random)
+        low.sweep()
         refresh()
         if sweep >= SWEEPS - SAMPLES:
-            kept.append((low.tables(), top.customers(), top.tables()))
+            kept.append((low.open.copy(), top.have.copy(), top.open.copy()))
     return kept
 
 

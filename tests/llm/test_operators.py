@@ -349,6 +349,33 @@ def test_pitman_yor_adds_up_to_one():
     assert math.isclose((10**model).sum(), 1, rel_tol=1e-9)
 
 
+def test_seating_is_sampled():
+    """Every customer moves in a sweep, and the tables are as frequent as the process has them."""
+    n, room = 5000, np.array([5000, 40, 1])
+    held = hpy.Seating(room, np.arange(3), 1, 0.8, 1.0, 3)
+    held.above[:] = 1e-12
+    held.fill(room)
+    assert held.open.tolist() == [1, 1, 1]
+    held.above[:] = 1e12
+    held.sweep()
+    assert held.open.tolist() == [5000, 40, 1] and (held.size[:n] == 1).all()
+    many, size, discount, strength, above = 20_000, 5, 0.8, 1.0, 0.3
+    ways = {0: 1.0}
+    for k in range(size):
+        ways = {t: ways.get(t - 1, 0) + (k - discount * t) * ways.get(t, 0) for t in range(k + 2)}
+    want = np.array([ways[t] * above**t * math.prod(strength + discount * j for j in range(t)) for t in range(1, size + 1)])
+    for narrow in (1, 10**9):
+        hpy.NARROW, kept = narrow, hpy.NARROW
+        held = hpy.Seating(np.full(many, size), np.arange(many), 1, discount, strength, 4)
+        held.above[:] = above
+        held.fill(np.full(many, size))
+        for _ in range(8):
+            held.sweep()
+        hpy.NARROW = kept
+        assert np.abs(np.bincount(held.open, minlength=size + 1)[1:] / many - want / want.sum()).max() < 0.015
+        assert (np.add.reduceat(held.size, held.start) == size).all()
+
+
 def test_sketches(docs, rows, empty):
     every = sorted(rows, key=lambda x: (-x[0], x[1] or "")) + [(None, "no id here")]
     want = Counter()
