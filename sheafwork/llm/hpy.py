@@ -1,7 +1,7 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Tokens are words (lower-cased A-Z, cut at white space) and one end for each text. The context of a token is the class
-of the token before it (CLASSES hashed classes; a text begins after an end). Each context is a restaurant whose tables
+Tokens are words (lower-cased A-Z, cut at white space) and one end for each text. The context of a token is the token
+before it, by its full hash (a text begins after an end). Each context is a restaurant whose tables
 draw their dishes from one shared parent, the restaurant of all words, whose own tables draw from the uniform
 distribution over the training words and one unknown word. Seating follows the two-parameter Chinese restaurant
 process and is sampled by Gibbs: SWEEPS sweeps in which every customer of every dish, in the contexts and in their
@@ -11,11 +11,14 @@ over them.
 Customers are seated one by one, a customer of each dish at a time; the chances of the parent are renewed after each
 sweep of the contexts.
 
-The texts are dealt into blocks. A block asks for the words it holds, with its own training counts; the words are
-dealt to buckets by their hash, where counts over all blocks meet and seating takes place, and each block gets the
-figures of its words back. So a frequent word is one entry for each block and context, and no table of all words is
-ever in one place. While seating, a bucket takes the tables of a context to be its own times the number of buckets; in
-the scores, totals are exact. Words are told apart by 61 bits of a 64-bit hash.
+The texts are dealt into blocks. A block asks for the pairs (context, word) it holds, with their training counts; pairs
+are dealt to buckets by their word, where counts over all blocks meet and seating takes place, so a frequent context is
+spread over all buckets and a frequent word is one entry for each context and block. Each block gets the figures of its
+pairs back in the order it asked, without keys. Tables of a context are then added up over buckets, in the bucket of the
+context as a word, and go to the blocks that hold it. No table of all words or contexts is ever in one place. While
+seating, a bucket takes the tables of a context to be the dish's own and those of its other dishes here times the number
+of buckets; in the scores, totals are exact. Customers of a context are as many as its tokens, for each text's end is
+the context of its beginning. Words are told apart by a 64-bit hash.
 
 Rows of scores(): one for each row of the input. Null text: empty, the end alone. Null doc_id: crc32 of the empty
 text, so in training. Repeated rows are counted and scored each. Without training texts every count is 0.
@@ -38,7 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import Memo, by_bytes, free_shuffles, materialise, parts, texts, use
 
-CLASSES = 8
+#: Contexts that there are without any word: the end.
+CLASSES = 1
 SWEEPS, SAMPLES = 3, 2
 #: Fewer dishes than this aren't worth a step for all.
 NARROW = 32
@@ -53,7 +57,6 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HASHES = Memo(xxhash.xxh3_64_intdigest, 250_000)
 #: White space can't be in a word.
 END = xxhash.xxh3_64_intdigest(b"\n")
-LOW = np.uint64(CLASSES - 1)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -61,13 +64,35 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(text.encode()) % HELD_OUT[0] == HELD_OUT[1]
 
 
-def keys_of(text: str) -> np.ndarray:
-    """For each token its word's hash, with the class of the context in the low bits."""
+def hashes_of(text: str) -> np.ndarray:
+    """The hashes of its tokens, after that of an end."""
     words = text.encode().translate(LOWER).split()
     h = np.empty(len(words) + 2, np.uint64)
     h[0] = h[-1] = END
     h[1:-1] = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    return (h[1:] & ~LOW) | (h[:-1] >> np.uint64(61)) & LOW
+    return h
+
+
+class Pairs:
+    """What the texts of a block hold: its words by bucket and hash, and its pairs by word and context in that order.
+    `at` has the pair of each token, text by text."""
+
+    def __init__(self, gathered: list[np.ndarray], buckets: int):
+        hashes, at = np.unique(np.concatenate(gathered), return_inverse=True)
+        bucket = ((hashes >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.words = hashes[order]
+        self.word_ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[at]
+        # a text's first token has no context, and the pair across texts is none
+        first = np.zeros(len(at), bool)
+        first[np.cumsum([0, *map(len, gathered[:-1])])] = True
+        codes = (at[1:] * len(hashes) + at[:-1])[~first[1:]]
+        pairs, self.at = np.unique(codes, return_inverse=True)
+        self.word, self.context = pairs // len(hashes), pairs % len(hashes)
+        self.ends = np.searchsorted(self.word, self.word_ends)
 
 
 class Seating:
@@ -241,8 +266,8 @@ def unpacked_keys(data: pa.Buffer) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-#: What a block gets for each of its keys: count of the word, count in the context, and for each sample tables in the
-#: context, customers and tables of the word at the top.
+#: Lines of log_chances(): count of the word, count in the context, and for each sample tables in the context,
+#: customers and tables of the word at the top.
 FIGURES = 2 + 3 * SAMPLES
 
 
@@ -273,99 +298,146 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 
 def requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, keys, counts: the keys that a block holds and their counts in its training texts."""
+    """block, bucket, words, contexts, pairs, counts: the pairs that a block holds (the number of the word times the
+    contexts, and the number of the context) and their counts in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use(HASHES)
         now, gathered, training = None, [], []
 
-        def ask() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate(gathered), return_inverse=True)
-            counts = np.bincount(at, np.repeat(training, list(map(len, gathered))), len(keys)).astype(np.int64)
+        def ask() -> Iterator[pa.RecordBatch]:
+            own = Pairs(gathered, buckets)
+            counts = np.bincount(own.at, np.repeat(training, [len(g) - 1 for g in gathered]), len(own.word)).astype(np.int64)
             gathered.clear()
             training.clear()
-            bucket = ((keys >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
-            rows = [(now, k, packed_keys(keys[order[a:b]]), packed(counts[order[a:b]])) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bucket", "keys", "counts"])
+            rows = []
+            for k, (a, b, c, d) in enumerate(zip([0, *own.ends], own.ends, [0, *own.word_ends], own.word_ends)):
+                if d > c:
+                    contexts, at = np.unique(own.words[own.context[a:b]], return_inverse=True)
+                    codes = (own.word[a:b] - c) * max(len(contexts), 1) + at
+                    order = np.argsort(codes)  # contexts are now in the order of their hashes
+                    rows.append((now, k, packed_keys(own.words[c:d]), packed_keys(contexts), packed_keys(codes[order].astype(np.uint64)), packed(counts[a:b][order])))
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["block", "bucket", "words", "contexts", "pairs", "counts"])
 
         for batch in batches:
             for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows")):
                 if gathered and block != now:
-                    yield ask()
+                    yield from ask()
                 now = block
                 for k, text in opened(rows.as_buffer()):
-                    gathered.append(keys_of(text))
+                    gathered.append(hashes_of(text))
                     training.append(not held_out(k))
         if gathered:
-            yield ask()
+            yield from ask()
 
-    return blocks.mapInArrow(run, "block long, bucket long, keys binary, counts binary")
+    return blocks.mapInArrow(run, "block long, bucket long, words binary, contexts binary, pairs binary, counts binary")
 
 
-def answers(asked: DataFrame, buckets: int) -> DataFrame:
-    """block, keys, figures for each request; and for each bucket a row without a block, with its totals."""
+def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[list]]]:
+    """Each bucket with the columns of its rows; the input is sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, *values in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in names)):
+            if held and bucket != now:
+                yield now, list(map(list, zip(*held)))
+                held = []
+            now = bucket
+            held.append(values)
+    if held:
+        yield now, list(map(list, zip(*held)))
+
+
+ANSWERS = "block long, bucket long, words binary, figures binary, of_words binary, totals array<double>"
 
-    def answer(bucket: int, blocks: list[int], keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        all_keys = np.concatenate(keys)
-        own, at = np.unique(all_keys, return_inverse=True)
+
+def answers(asked: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, words, figures (count, and tables of each sample, of the pairs asked for), of_words (count, and
+    customers and tables at the top for each sample, of the words). For each bucket a row without words has its totals.
+    Rows without a block: for the bucket of the contexts `words`, their tables (figures)."""
+
+    def answer(bucket: int, blocks: list, *columns: list) -> Iterator[tuple]:
+        words, contexts, pairs, counts = ([f(x) for x in c] for f, c in zip((unpacked_keys, unpacked_keys, unpacked_keys, unpacked), columns))
+        every, word_at = np.unique(np.concatenate(words), return_inverse=True)
+        every_context, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
+        codes, w0, c0 = [], 0, 0
+        for w, c, k in zip(words, contexts, pairs):
+            k, n = k.astype(np.int64), max(len(c), 1)
+            codes.append(word_at[w0 + k // n] * len(every_context) + context_at[c0 + k % n])
+            w0, c0 = w0 + len(w), c0 + len(c)
+        own, at = np.unique(np.concatenate(codes), return_inverse=True)
+        del codes, pairs, contexts, context_at
         count = np.bincount(at, np.concatenate(counts), len(own)).astype(np.int64)
-        words, word = np.unique(own >> np.uint64(3), return_inverse=True)
-        of_word = np.bincount(word, count, len(words)).astype(np.int64)
-        context = (own & LOW).astype(np.int64)
+        word, context = own // len(every_context), own % len(every_context)
+        of_word = np.bincount(word, count, len(every)).astype(np.int64)
         known = np.flatnonzero(count)
         seen, place = np.unique(word[known], return_inverse=True)
-        figures = np.zeros((FIGURES, len(own)), np.int64)
-        figures[0], figures[1] = of_word[word], count
-        totals = [len(seen), int(count.sum()), *np.bincount(context, count, CLASSES)]
+        figures, of_words = np.zeros((1 + SAMPLES, len(own)), np.int64), np.zeros((1 + 2 * SAMPLES, len(every)), np.int64)
+        figures[0], of_words[0] = count, of_word
+        tables_of = np.zeros((SAMPLES, len(every_context)), np.int64)
+        totals = [len(seen), int(count.sum())]
         for s, (tables, guests, top) in enumerate(sample(context[known], place, count[known], len(seen), buckets, bucket) if len(known) else []):
-            figures[2 + 3 * s, known] = tables
-            for line, values in ((3, guests), (4, top)):
-                of_all = np.zeros(len(words), np.int64)
-                of_all[seen] = values
-                figures[line + 3 * s] = of_all[word]
-            totals += [*np.bincount(context[known], tables, CLASSES), guests.sum(), top.sum()]
-        totals += [0] * (2 + CLASSES + SAMPLES * (CLASSES + 2) - len(totals))
-        start = 0
-        for block, k in zip(blocks, keys):
-            mine = figures[:, at[start : start + len(k)]]
-            start += len(k)
-            yield row(block, packed_keys(k), packed(mine.ravel()), None)
-        yield row(None, None, None, [float(x) for x in totals])
-
-    def row(*values) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["block", "keys", "figures", "totals"])
+            figures[1 + s, known] = tables
+            of_words[1 + 2 * s, seen], of_words[2 + 2 * s, seen] = guests, top
+            tables_of[s] = np.bincount(context[known], tables, len(every_context))
+            totals += [guests.sum(), top.sum()]
+        totals += [0] * (2 + 2 * SAMPLES - len(totals))
+        start = word_start = 0
+        for block, w, c in zip(blocks, words, counts):
+            mine, of_mine = at[start : start + len(c)], word_at[word_start : word_start + len(w)]
+            start, word_start = start + len(c), word_start + len(w)
+            yield block, bucket, packed_keys(w), packed(figures[:, mine].ravel()), packed(of_words[:, of_mine].ravel()), None
+        home = ((every_context >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
+        home[~tables_of.any(axis=0)] = -1
+        for k in np.unique(home[home >= 0]).tolist():
+            yield None, k, packed_keys(every_context[home == k]), packed(tables_of[:, home == k].ravel()), None, None
+        yield None, bucket, None, None, None, [float(x) for x in totals]
+
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks, keys, counts = None, [], [], []
-        for batch in batches:
-            for bucket, block, k, c in zip(*(batch.column(x) for x in ("bucket", "block", "keys", "counts"))):
-                if now is not None and bucket.as_py() != now:
-                    yield from answer(now, blocks, keys, counts)
-                    blocks, keys, counts = [], [], []
-                now = bucket.as_py()
-                blocks.append(block.as_py())
-                keys.append(unpacked_keys(k.as_buffer()))
-                counts.append(unpacked(c.as_buffer()))
-        if now is not None:
-            yield from answer(now, blocks, keys, counts)
+        for bucket, columns in by_bucket(batches, ["block", "words", "contexts", "pairs", "counts"]):
+            for row in answer(bucket, *columns):
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["block", "bucket", "words", "figures", "of_words", "totals"])
 
     dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(run, "block long, keys binary, figures binary, totals array<double>")
+    return dealt.mapInArrow(run, ANSWERS)
 
 
-def log_chances(keys: np.ndarray, figures: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each key: log10 of the base's and of the model's probability, and whether the word is known."""
+def context_tables(replies: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, tables: of each sample, over all buckets, for the words of a block as contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (blocks, words, figures) in by_bucket(batches, ["block", "words", "figures"]):
+            parted = [(unpacked_keys(w), unpacked(f).reshape(SAMPLES, -1)) for b, w, f in zip(blocks, words, figures) if b is None]
+            every, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for w, _ in parted)]), return_inverse=True)
+            tables = np.zeros((SAMPLES, len(every) + 1), np.int64)
+            for s in range(SAMPLES):
+                tables[s, :-1] = np.bincount(at, np.concatenate([np.empty(0), *(f[s] for _, f in parted)]), len(every))
+            for block, w in zip(blocks, words):
+                if block is not None:
+                    w = unpacked_keys(w)
+                    found = np.searchsorted(every, w)
+                    found[np.append(every, np.uint64(0))[found] != w] = len(every)
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([packed(tables[:, found].ravel())], pa.binary())], ["block", "bucket", "tables"])
+
+    rows = replies.where("words is not null").selectExpr("block", "bucket", "words", "case when block is null then figures end figures")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket long, tables binary")
+
+
+def log_chances(context: np.ndarray, figures: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair, of the number of its context and FIGURES: log10 of the base's and of the model's probability, and
+    whether the word is known. Totals: training words and tokens, customers of each context; for each sample, tables of
+    each context, customers and tables at the top."""
     vocabulary, training = totals[0], totals[1]
-    context = (keys & LOW).astype(np.int64)
-    in_context = totals[2 : 2 + CLASSES][context]
+    contexts = (len(totals) - 2 - 2 * SAMPLES) // (1 + SAMPLES)
+    context = context.astype(np.int64)
+    in_context = totals[2 : 2 + contexts][context]
     count = figures[1].astype(float)
-    mean = np.zeros(len(keys))
+    mean = np.zeros(len(context))
     for s in range(SAMPLES):
-        at = 2 + CLASSES + s * (CLASSES + 2)
-        tables, guests, top = totals[at : at + CLASSES][context], totals[at + CLASSES], totals[at + CLASSES + 1]
+        at = 2 + contexts + s * (contexts + 2)
+        tables, guests, top = totals[at : at + contexts][context], totals[at + contexts], totals[at + contexts + 1]
         t, c, tt = (figures[2 + 3 * s + k].astype(float) for k in range(3))
         above = (np.maximum(c - TOP_DISCOUNT * tt, 0) + (TOP_STRENGTH + TOP_DISCOUNT * top) / (vocabulary + 1)) / (TOP_STRENGTH + guests)
         mean += (np.maximum(count - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * tables) * above) / (STRENGTH + in_context)
@@ -380,38 +452,63 @@ def scores(docs: DataFrame) -> DataFrame:
     blocks = materialise(blocked(docs), "blocks")
     replies = materialise(answers(requests(blocks, buckets), buckets), "answers")
     free_shuffles(spark)
+    of_contexts = materialise(context_tables(replies, buckets), "contexts")
+    free_shuffles(spark)
     # one row a bucket
-    rows = [r.totals for r in replies.where("block is null").select("totals").collect()]
-    totals = np.sum(rows, axis=0) if rows else np.zeros(2 + CLASSES + SAMPLES * (CLASSES + 2))
+    rows = [r.totals for r in replies.where("totals is not null").select("totals").collect()]
+    totals = np.sum(rows, axis=0) if rows else np.zeros(2 + 2 * SAMPLES)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
+    def scored(ids: list, gathered: list[np.ndarray], found: list[tuple], tables: list[bytes]) -> pa.RecordBatch:
+        """Rows of a block; found, tables: by bucket."""
+        lengths = np.array([len(g) - 1 for g in gathered])
+        own = Pairs(gathered, buckets)
+        joined = lambda data, lines: np.concatenate([unpacked(x).reshape(lines, -1) for x in data], axis=1)
+        here = joined([f for f, _ in found], 1 + SAMPLES)
+        # a bucket's pairs are in the order of their words' and contexts' hashes
+        order = np.lexsort((own.words[own.context], own.word))
+        pairs = np.empty_like(here)
+        pairs[:, order] = here
+        of_words = joined([w for _, w in found], 1 + 2 * SAMPLES)
+        of_tables = joined(tables, SAMPLES)
+        figures = np.empty((FIGURES, len(own.word)))
+        figures[0], figures[1] = of_words[0][own.word], pairs[0]
+        every = [*totals[:2], *of_words[0]]
+        for s in range(SAMPLES):
+            figures[2 + 3 * s] = pairs[1 + s]
+            figures[3 + 3 * s], figures[4 + 3 * s] = of_words[1 + 2 * s][own.word], of_words[2 + 2 * s][own.word]
+            every += [*of_tables[s], *totals[2 + 2 * s : 4 + 2 * s]]
+        starts = np.cumsum(lengths) - lengths
+        base, model, known = (np.add.reduceat(x[own.at].astype(float), starts) for x in log_chances(own.context, figures, np.array(every, float)))
+        columns = [ids, [held_out(k) for k in ids], lengths, known.astype(np.int64), [int(totals[1])] * len(ids), base, model]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use(HASHES)
-        now, found, table = None, [], None
+        now, ids, gathered, found, tables = None, [], [], [], []
         for batch in batches:
-            for block, rows, keys, figures in zip(*(batch.column(c) for c in ("block", "rows", "keys", "figures"))):
+            for block, rows, figures, of_words, more in zip(*(batch.column(c) for c in ("block", "rows", "figures", "of_words", "tables"))):
                 if block.as_py() != now:
-                    now, found, table = block.as_py(), [], None
-                if not rows.is_valid:
-                    own = unpacked_keys(keys.as_buffer())
-                    found.append((own, log_chances(own, unpacked(figures.as_buffer()).reshape(FIGURES, -1), totals)))
-                    continue
-                if table is None:
-                    every = np.concatenate([x for x, _ in found])
-                    order = np.argsort(every, kind="stable")
-                    table = [every[order], *(np.concatenate([x[c] for _, x in found])[order] for c in range(3))]
-                    found = []
-                out: list[tuple] = []
-                for k, text in opened(rows.as_buffer()):
-                    own = keys_of(text)
-                    at = np.searchsorted(table[0], own)
-                    out.append((k, held_out(k), len(own), int(table[3][at].sum()), int(totals[1]), float(table[1][at].sum()), float(table[2][at].sum())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-
-    back = replies.where("block is not null").selectExpr("block", "cast(null as binary) rows", "keys", "figures")
-    asked = blocks.selectExpr("block", "rows", "cast(null as binary) keys", "cast(null as binary) figures")
-    together = back.union(asked).selectExpr("*", "rows is not null is_text").repartition(buckets, "block").sortWithinPartitions("block", "is_text")
+                    if ids:
+                        yield scored(ids, gathered, found, tables)
+                    now, ids, gathered, found, tables = block.as_py(), [], [], [], []
+                if figures.is_valid:
+                    found.append((figures.as_py(), of_words.as_py()))
+                elif more.is_valid:
+                    tables.append(more.as_py())
+                else:
+                    for k, text in opened(rows.as_buffer()):
+                        ids.append(k)
+                        gathered.append(hashes_of(text))
+        if ids:
+            yield scored(ids, gathered, found, tables)
+
+    none = "cast(null as binary)"
+    back = replies.where("block is not null").selectExpr("block", "bucket", f"{none} rows", "figures", "of_words", f"{none} tables")
+    added = of_contexts.selectExpr("block", "bucket", f"{none} rows", f"{none} figures", f"{none} of_words", "tables")
+    asked = blocks.selectExpr("block", f"{buckets} bucket", "rows", f"{none} figures", f"{none} of_words", f"{none} tables")
+    together = back.union(added).union(asked).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return together.mapInArrow(run, schema)
 

@@ -349,6 +349,25 @@ def test_pitman_yor_adds_up_to_one():
     assert math.isclose((10**model).sum(), 1, rel_tol=1e-9)
 
 
+def test_pitman_yor_knows_word_pairs(spark):
+    """Texts of pairs that are always together score above the same words in other pairs; the counts are of whole words."""
+    r = random.Random(6)
+    pairs = [(f"left{k}", f"right{k}") for k in range(300)]
+    made = [" ".join(w for _ in range(60) for w in r.choice(pairs)) for _ in range(150)]
+    train = [k for k in range(2000) if not hpy.held_out(k)][:150]
+    held = [k for k in range(2000) if hpy.held_out(k)][:20]
+    rows = list(zip(train, made))
+    for k in held:
+        chosen = [r.choice(pairs) for _ in range(60)]
+        other = [b for _, b in chosen]
+        r.shuffle(other)
+        rows += [(k, " ".join(f"{a} {b}" for a, b in chosen)), (k, " ".join(f"{a} {b}" for (a, _), b in zip(chosen, other)))]
+    got = {}
+    for x in hpy.scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).where("held_out").collect():
+        got.setdefault(x.doc_id, []).append(x.score)
+    assert len(got) == 20 and all(abs(a - b) > 60 for a, b in got.values())
+
+
 def test_seating_is_sampled():
     """Every customer moves in a sweep, and the tables are as frequent as the process has them."""
     n, room = 5000, np.array([5000, 40, 1])
