@@ -1,34 +1,47 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
 Tokens are words (lower-cased A-Z, cut at white space) and one end for each text. The context of a token is the token
-before it, by its full hash (a text begins after an end). Each context is a restaurant whose tables
-draw their dishes from one shared parent, the restaurant of all words, whose own tables draw from the uniform
-distribution over the training words and one unknown word. Seating follows the two-parameter Chinese restaurant
-process and is sampled by Gibbs: SWEEPS sweeps in which every customer of every dish, in the contexts and in their
-parent, is taken from its table and seated anew; the last SAMPLES sweeps are kept, and a token's probability is its mean
-over them.
+before it, by its full hash (a text begins after an end). Each context is a restaurant of the two-parameter Chinese
+restaurant process whose tables draw their dishes from one shared parent, the restaurant of all words; there each word
+is one table, and a new table is the unknown word.
 
-Customers are seated one by one, a customer of each dish at a time; the chances of the parent are renewed after each
-sweep of the contexts.
+The seating is sampled by Gibbs. What the probabilities need of it is how many tables each dish has in each context;
+which customer sits where is summed over. Two draws between the sweeps make the dishes independent, so that all are
+seated at once and still each from its exact conditional distribution:
+
+* for each context a gamma variable of shape strength / discount + tables, which stands for the rising factorial that
+  couples the tables of its dishes;
+* the parent's probabilities, a Dirichlet variable given the tables that were sent up.
+
+Given these, a dish of c customers has t tables with probability in proportion to S(c, t) * a ** t, where S is the
+generalised factorial coefficient. At the discount of one half, S(c, t) = Gamma(2c - t) / (Gamma(t) Gamma(c - t + 1)) /
+4 ** (c - t), so the odds of one table more are a * 4 * (c - t) / (t * (2c - t - 1)), for any number of customers: every
+customer of every dish takes part in each sweep, whatever the counts. The distribution is log-concave; it is summed
+from its mode outwards until less than 1e-15 is left. SWEEPS sweeps are made and the last SAMPLES kept; a token's
+probability is its mean over them.
+
+Random numbers are hashes of the word, the context and the sweep, and sums over buckets are sums of integers, so the
+scores don't depend on how rows are partitioned.
 
 The texts are dealt into blocks. A block asks for the pairs (context, word) it holds, with their training counts; pairs
-are dealt to buckets by their word, where counts over all blocks meet and seating takes place, so a frequent context is
-spread over all buckets and a frequent word is one entry for each context and block. Each block gets the figures of its
-pairs back in the order it asked, without keys. Tables of a context are then added up over buckets, in the bucket of the
-context as a word, and go to the blocks that hold it. No table of all words or contexts is ever in one place. While
-seating, a bucket takes the tables of a context to be the dish's own and those of its other dishes here times the number
-of buckets; in the scores, totals are exact. Customers of a context are as many as its tokens, for each text's end is
-the context of its beginning. Words are told apart by a 64-bit hash.
-
-Rows of scores(): one for each row of the input. Null text: empty, the end alone. Null doc_id: crc32 of the empty
-text, so in training. Repeated rows are counted and scored each. Without training texts every count is 0.
+are dealt to buckets by their word, where counts over all blocks meet, so a frequent context is spread over all buckets
+and a frequent word is one entry for each context and block. Each sweep sends the tables of a context to the bucket of
+the context as a word, which adds them up and answers in the order it was asked, without keys. In the end each block
+gets the figures of its pairs and contexts back. No table of all words or contexts is ever in one place; to the driver
+go four integers a bucket. Customers of a context are as many as its tokens, for each text's end is the context of its
+beginning. Words are told apart by a 64-bit hash.
+
+Rows of scores(): one for each row of the input; further columns, whatever their names, are left out. Null text: empty,
+the end alone. Null doc_id: crc32 of the empty text, so in training. Repeated rows are counted and scored each. Very
+long texts: whole, in one block. Without training texts every count is 0 and every token has probability 1 (of being
+unknown). Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
-from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +52,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_bytes, free_shuffles, materialise, parts, texts, use
+from .common import Memo, by_bytes, discard, free_shuffles, materialise, parts, texts, use
 
-#: Contexts that there are without any word: the end.
-CLASSES = 1
 SWEEPS, SAMPLES = 3, 2
-#: Fewer dishes than this aren't worth a step for all.
-NARROW = 32
-#: Discount and strength of the contexts and of their parent.
-DISCOUNT, STRENGTH = 0.8, 1.0
+#: Of the contexts. The formula for S(c, t) is that of the discount of one half.
+DISCOUNT, STRENGTH = 0.5, 1.0
+#: Of their parent.
 TOP_DISCOUNT, TOP_STRENGTH = 0.7, 1.0
 #: Bytes of text in a block.
 BLOCK = 8 << 20
 HELD_OUT = (7, 2)
+#: Gamma variables that are summed over buckets are integers of this unit.
+UNIT = 1 << 20
+#: Cells of a matrix of possible table counts.
+CELLS = 1 << 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HASHES = Memo(xxhash.xxh3_64_intdigest, 250_000)
@@ -95,157 +109,80 @@ class Pairs:
         self.ends = np.searchsorted(self.word, self.word_ends)
 
 
-class Seating:
-    """Customers of dishes at tables, each by its number. `most`: of each dish, for which there is room; `group`: the
-    restaurant of each dish; above: the chance of a dish in the parent. Tables of a restaurant are taken to be those of
-    the dish and `scale` times those of the other dishes here, which is right on average."""
-
-    def __init__(self, most: np.ndarray, group: np.ndarray, scale: int, discount: float, strength: float, seed: int):
-        ends = np.cumsum(most)
-        self.most, self.start, self.group = most, ends - most, group
-        self.scale, self.discount, self.strength = scale, discount, strength
-        self.random, self.quick = np.random.Generator(np.random.PCG64(seed)), Random(seed)
-        room = int(ends[-1]) if len(ends) else 0
-        # of each customer its table; of each table its customers; the tables without any, as a stack
-        self.table, self.size = np.zeros(room, np.int32), np.zeros(room, np.int32)
-        self.free = (np.arange(room) - np.repeat(self.start, most)).astype(np.int32)
-        self.have, self.open = np.zeros(len(most), np.int64), np.zeros(len(most), np.int64)
-        self.total = np.zeros(int(group.max()) + 1 if len(group) else 1, np.int64)
-        self.above = np.ones(len(most))
-
-    def shut(self, who: np.ndarray, slot: np.ndarray) -> None:
-        """The tables have lost their last customers."""
-        self.open[who] -= 1
-        np.subtract.at(self.total, self.group[who], 1)
-        self.free[self.start[who] + self.most[who] - self.open[who] - 1] = slot
-
-    def leave(self, who: np.ndarray, nth: np.ndarray) -> None:
-        """A customer of each dish of `who` leaves its table."""
-        slot = self.table[self.start[who] + nth]
-        at = self.start[who] + slot
-        self.size[at] -= 1
-        gone = self.size[at] == 0
-        self.shut(who[gone], slot[gone])
-
-    def join(self, who: np.ndarray, nth: np.ndarray, others: np.ndarray) -> None:
-        """That customer is seated; others: how many of its dish are."""
-        own = self.open[who]
-        fresh = (self.strength + self.discount * (own + self.scale * (self.total[self.group[who]] - own))) * self.above[who]
-        new = self.random.random(len(who)) * (fresh + others - self.discount * own) < fresh
-        w = who[new]
-        slot = self.free[self.start[w] + self.most[w] - self.open[w] - 1]
-        self.open[w] += 1
-        np.add.at(self.total, self.group[w], 1)
-        self.table[self.start[w] + nth[new]] = slot
-        self.size[self.start[w] + slot] = 1
-        rest = np.flatnonzero(~new)
-        while len(rest):  # the table of any other customer, refused at the discount's share
-            w, n = who[rest], nth[rest]
-            other = (self.random.random(len(rest)) * others[rest]).astype(np.int64)
-            other += other >= n
-            slot = self.table[self.start[w] + other]
-            at = self.start[w] + slot
-            size = self.size[at]
-            taken = self.random.random(len(rest)) * size < size - self.discount
-            self.table[self.start[w[taken]] + n[taken]] = slot[taken]
-            self.size[at[taken]] += 1
-            rest = rest[~taken]
-
-    def alone(self, dish: int, first: int, last: int, again: bool) -> None:
-        """join() for customers first to last of one dish, after leave() with `again`."""
-        a, room = int(self.start[dish]), int(self.most[dish])
-        own = before = int(self.open[dish])
-        table, size, free = (x[a : a + n].tolist() for x, n in ((self.table, room), (self.size, room), (self.free, room - own)))
-        rest, above, discount, draw = self.scale * (int(self.total[self.group[dish]]) - own), float(self.above[dish]), self.discount, self.quick.random
-        others = int(self.have[dish]) - 1
-        for nth in range(first, last):
-            if again:
-                slot = table[nth]
-                size[slot] -= 1
-                if not size[slot]:
-                    own -= 1
-                    free.append(slot)
-            else:
-                others = nth
-            fresh = (self.strength + discount * (own + rest)) * above
-            if draw() * (fresh + others - discount * own) < fresh:
-                slot = free.pop()
-                own += 1
-                size[slot] = 1
-            else:
-                while True:
-                    other = int(draw() * others)
-                    slot = table[other + (other >= nth)]
-                    if draw() * size[slot] < size[slot] - discount:
-                        break
-                size[slot] += 1
-            table[nth] = slot
-        self.table[a : a + room], self.size[a : a + room], self.free[a : a + len(free)] = table, size, free
-        self.total[self.group[dish]] += own - before
-        self.open[dish] = own
-
-    def move(self, who: np.ndarray, first: np.ndarray, last: np.ndarray, again: bool) -> None:
-        """Customers first to last of each dish, one of each at a time; the few dishes with most of them one by one."""
-        order = np.argsort(first - last, kind="stable")
-        who, first, last = who[order], first[order], last[order]
-        length = first - last  # ascending
-        step = 0
-        while True:
-            n = int(np.searchsorted(length, -step))
-            if n < NARROW:
-                break
-            w, nth = who[:n], first[:n] + step
-            if again:
-                self.leave(w, nth)
-            self.join(w, nth, self.have[w] - 1 if again else nth)
-            step += 1
-        for k in range(n):
-            self.alone(int(who[k]), int(first[k]) + step, int(last[k]), again)
-
-    def fill(self, want: np.ndarray) -> None:
-        """Customers come or go, any as likely, until each dish has as many as wanted."""
-        while len(over := np.flatnonzero(self.have > want)):
-            nth = (self.random.random(len(over)) * self.have[over]).astype(np.int64)
-            self.leave(over, nth)
-            self.have[over] -= 1
-            self.table[self.start[over] + nth] = self.table[self.start[over] + self.have[over]]
-        short = np.flatnonzero(self.have < want)
-        self.move(short, self.have[short], want[short], False)
-        self.have[short] = want[short]
-
-    def sweep(self) -> None:
-        """Every customer leaves its table and is seated anew. One that is alone with its dish has no choice."""
-        who = np.flatnonzero(self.have > 1)
-        self.move(who, np.zeros(len(who), np.int64), self.have[who], True)
-
-
-def sample(context: np.ndarray, word: np.ndarray, count: np.ndarray, words: int, scale: int, seed: int) -> list[tuple[np.ndarray, ...]]:
-    """Gibbs sampling for the dishes of a bucket: (context, number of the word, count) rows. For each kept sweep: tables
-    of each row, customers and tables of each word at the top."""
-    count = count.astype(np.int64)
-    low = Seating(count, context, scale, DISCOUNT, STRENGTH, seed)
-    top = Seating(np.bincount(word, count, words).astype(np.int64), np.zeros(words, np.int64), scale, TOP_DISCOUNT, TOP_STRENGTH, seed + (1 << 32))
-    top.above[:] = low.above[:] = 1 / (scale * words + 1)
-    kept = []
-
-    def refresh() -> None:
-        top.fill(np.bincount(word, low.open, words).astype(np.int64))
-        top.sweep()
-        c, t = top.have, top.open
-        tables, guests = scale * t.sum(), scale * c.sum()
-        above = (np.maximum(c - TOP_DISCOUNT * t, 0) + (TOP_STRENGTH + TOP_DISCOUNT * tables) / (scale * words + 1)) / (TOP_STRENGTH + guests)
-        low.above = above[word]
-
-    low.fill(np.minimum(count, 1))
-    refresh()
-    low.fill(count)
-    refresh()
-    for sweep in range(SWEEPS):
-        low.sweep()
-        refresh()
-        if sweep >= SWEEPS - SAMPLES:
-            kept.append((low.open.copy(), top.have.copy(), top.open.copy()))
-    return kept
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x7FB5D329728EA185)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def uniform(keys: np.ndarray, draw: int) -> np.ndarray:
+    """Between 0 and 1, ends excluded, by hashing."""
+    return ((mixed(keys + np.uint64(draw * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def gamma(shape: np.ndarray, keys: np.ndarray, draw: int) -> np.ndarray:
+    """Gamma variables of the given shapes, by Marsaglia and Tsang; `draw` tells draws for the same key apart."""
+    low = shape < 1
+    d = shape + low - 1 / 3
+    out, todo = np.empty(len(shape)), np.arange(len(shape))
+    for trial in itertools.count():
+        if not len(todo):
+            break
+        at = (draw << 16) + 4 * trial
+        k, dd = keys[todo], d[todo]
+        x = np.sqrt(-2 * np.log(uniform(k, at))) * np.cos(2 * np.pi * uniform(k, at + 1))
+        v = (1 + x / np.sqrt(9 * dd)) ** 3
+        good = (v > 0) & (np.log(uniform(k, at + 2)) < 0.5 * x * x + dd - dd * v + dd * np.log(np.maximum(v, 1e-300)))
+        out[todo[good]] = (dd * v)[good]
+        todo = todo[~good]
+    return out * np.where(low, uniform(keys, (draw << 16) + 3) ** (1 / np.where(low, shape, 1)), 1)
+
+
+def tables_of(count: np.ndarray, odds: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Of each dish the number of its tables: 1 to count, t + 1 against t in the proportion of
+    odds * (count - t) to t * (2 * count - t - 1), at the quantile u."""
+    out = np.ones(len(count), np.int64)
+    who = np.flatnonzero(count > 1)
+    c, a = count[who].astype(float), odds[who]
+    b = 2 * c - 1 + a
+    middle = np.clip(2 * a * c / (b + 0.5 * np.sqrt(np.maximum(4 * b * b - 16 * a * c, 0))), 1, c)
+    reach = 9 * np.sqrt(np.minimum(middle, 2 * (c - middle)) + 1) + 20
+    low, high = np.floor(np.maximum(middle - reach, 1)), np.ceil(np.minimum(middle + reach, c))
+    width = 1 << np.ceil(np.log2(high - low + 1)).astype(np.int64)
+    for w in np.unique(width).tolist():
+        every = np.flatnonzero(width == w)
+        step = max(1, CELLS // w)
+        for rows in (every[i : i + step] for i in range(0, len(every), step)):
+            t = low[rows, None] + np.arange(w)
+            n = c[rows, None]
+            weight = np.zeros(t.shape)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                weight[:, 1:] = np.cumsum(np.log(a[rows, None] * (n - t) / (t * (2 * n - t - 1)))[:, :-1], axis=1)
+            weight[t > high[rows, None]] = -np.inf
+            total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[who[rows]] = (low[rows] + (total < u[who[rows], None] * total[:, -1:]).sum(axis=1)).astype(np.int64)
+    return out
+
+
+def parent_draws(guests: np.ndarray, words: np.ndarray, sweep: int) -> np.ndarray:
+    """Of each word its gamma variable in the parent's Dirichlet, in UNIT; guests: its customers there."""
+    return np.maximum(gamma(guests - TOP_DISCOUNT, words, 2 * sweep) * UNIT, 1).astype(np.int64)
+
+
+def swept(word: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, words: np.ndarray, contexts: np.ndarray, of_context: np.ndarray, whole: int, sweep: int) -> np.ndarray:
+    """The tables of each pair (number of the word, number of the context, customers, tables before) after a sweep.
+    of_context: the tables of each context, everywhere; whole: the sum of all parent_draws() and the unknown word's."""
+    chance = parent_draws(np.bincount(word, tables, len(words)), words, sweep) / whole
+    rate = gamma(STRENGTH / DISCOUNT + of_context, contexts, 2 * sweep + 1)
+    keys = mixed(words)[word] + contexts[context] * np.uint64(0x9E3779B97F4A7C15)
+    return tables_of(count, 4 * DISCOUNT * chance[word] * rate[context], uniform(keys, sweep << 40))
+
+
+def unknown_draw(vocabulary: int, sweep: int) -> int:
+    """The unknown word's part in the parent's Dirichlet."""
+    return int(gamma(np.array([TOP_STRENGTH + TOP_DISCOUNT * vocabulary]), np.array([END ^ 1], np.uint64), 2 * sweep)[0] * UNIT)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -266,11 +203,6 @@ def unpacked_keys(data: pa.Buffer) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-#: Lines of log_chances(): count of the word, count in the context, and for each sample tables in the context,
-#: customers and tables of the word at the top.
-FIGURES = 2 + 3 * SAMPLES
-
-
 def sealed(batch: pa.RecordBatch) -> bytes:
     """Rows as a compressed Arrow stream: a third of their size on disk and between executors."""
     out = pa.BufferOutputStream()
@@ -348,101 +280,192 @@ def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[t
         yield now, list(map(list, zip(*held)))
 
 
-ANSWERS = "block long, bucket long, words binary, figures binary, of_words binary, totals array<double>"
-
-
-def answers(asked: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, words, figures (count, and tables of each sample, of the pairs asked for), of_words (count, and
-    customers and tables at the top for each sample, of the words). For each bucket a row without words has its totals.
-    Rows without a block: for the bucket of the contexts `words`, their tables (figures)."""
-
-    def answer(bucket: int, blocks: list, *columns: list) -> Iterator[tuple]:
-        words, contexts, pairs, counts = ([f(x) for x in c] for f, c in zip((unpacked_keys, unpacked_keys, unpacked_keys, unpacked), columns))
-        every, word_at = np.unique(np.concatenate(words), return_inverse=True)
-        every_context, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
-        codes, w0, c0 = [], 0, 0
-        for w, c, k in zip(words, contexts, pairs):
-            k, n = k.astype(np.int64), max(len(c), 1)
-            codes.append(word_at[w0 + k // n] * len(every_context) + context_at[c0 + k % n])
-            w0, c0 = w0 + len(w), c0 + len(c)
-        own, at = np.unique(np.concatenate(codes), return_inverse=True)
-        del codes, pairs, contexts, context_at
-        count = np.bincount(at, np.concatenate(counts), len(own)).astype(np.int64)
-        word, context = own // len(every_context), own % len(every_context)
-        of_word = np.bincount(word, count, len(every)).astype(np.int64)
-        known = np.flatnonzero(count)
-        seen, place = np.unique(word[known], return_inverse=True)
-        figures, of_words = np.zeros((1 + SAMPLES, len(own)), np.int64), np.zeros((1 + 2 * SAMPLES, len(every)), np.int64)
-        figures[0], of_words[0] = count, of_word
-        tables_of = np.zeros((SAMPLES, len(every_context)), np.int64)
-        totals = [len(seen), int(count.sum())]
-        for s, (tables, guests, top) in enumerate(sample(context[known], place, count[known], len(seen), buckets, bucket) if len(known) else []):
-            figures[1 + s, known] = tables
-            of_words[1 + 2 * s, seen], of_words[2 + 2 * s, seen] = guests, top
-            tables_of[s] = np.bincount(context[known], tables, len(every_context))
-            totals += [guests.sum(), top.sum()]
-        totals += [0] * (2 + 2 * SAMPLES - len(totals))
-        start = word_start = 0
-        for block, w, c in zip(blocks, words, counts):
-            mine, of_mine = at[start : start + len(c)], word_at[word_start : word_start + len(w)]
-            start, word_start = start + len(c), word_start + len(w)
-            yield block, bucket, packed_keys(w), packed(figures[:, mine].ravel()), packed(of_words[:, of_mine].ravel()), None
-        home = ((every_context >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
-        home[~tables_of.any(axis=0)] = -1
-        for k in np.unique(home[home >= 0]).tolist():
-            yield None, k, packed_keys(every_context[home == k]), packed(tables_of[:, home == k].ravel()), None, None
-        yield None, bucket, None, None, None, [float(x) for x in totals]
-
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+#: What passes from sweep to sweep. STATE: of a bucket its words, contexts, pairs (the number of the word times the
+#: contexts, and the number of the context), their counts and tables, line by line for the sweeps that are kept, the
+#: present one last. TABLES: for the bucket of the contexts `contexts`, their tables in the bucket `source`; and back,
+#: in the same order. TOTALS: of a bucket words, tokens, customers at the top and parent_draws() for the next sweep.
+STATE, TABLES, TOTALS = 0, 1, 2
+SEATED = "kind int, bucket long, source long, words binary, contexts binary, pairs binary, counts binary, tables binary, totals array<long>"
+NAMES = [x.split()[0] for x in SEATED.split(", ")]
+KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64())]
+
+
+def as_batch(row: tuple, kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+
+
+def homes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
+
+
+class State:
+    """The training pairs of a bucket."""
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, codes: np.ndarray, count: np.ndarray, lines: np.ndarray):
+        self.words, self.contexts, self.codes, self.count, self.lines = words, contexts, codes, count, lines
+        self.word, self.context = codes // max(len(contexts), 1), codes % max(len(contexts), 1)
+
+    @classmethod
+    def read(cls, words, contexts, pairs, counts, tables) -> State:
+        codes = unpacked_keys(pairs).astype(np.int64)
+        lines = unpacked(tables).astype(np.int64).reshape(-1, len(codes)) if len(codes) else np.zeros((1, 0), np.int64)
+        return cls(unpacked_keys(words), unpacked_keys(contexts), codes, unpacked(counts).astype(np.int64), lines)
+
+    def guests(self, line: int) -> np.ndarray:
+        """Of each word its customers at the top."""
+        return np.bincount(self.word, self.lines[line], len(self.words)).astype(np.int64)
+
+    def rows(self, bucket: int, buckets: int, sweep: int) -> Iterator[pa.RecordBatch]:
+        yield as_batch((STATE, bucket, None, packed_keys(self.words), packed_keys(self.contexts), packed_keys(self.codes.astype(np.uint64)), packed(self.count), packed(self.lines.ravel()), None), KINDS, NAMES)
+        of_context, home = np.bincount(self.context, self.lines[-1], len(self.contexts)).astype(np.int64), homes(self.contexts, buckets)
+        for k in np.unique(home).tolist():
+            yield as_batch((TABLES, k, bucket, None, packed_keys(self.contexts[home == k]), None, None, packed(of_context[home == k]), None), KINDS, NAMES)
+        guests = self.guests(-1)
+        totals = [len(self.words), int(self.count.sum()), int(guests.sum()), int(parent_draws(guests, self.words, sweep + 1).sum())]
+        yield as_batch((TOTALS, bucket, None, None, None, None, None, None, totals), KINDS, NAMES)
+
+
+def first_state(asked: DataFrame, buckets: int) -> DataFrame:
+    """The pairs that training texts hold, over all blocks, each dish at one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, columns in by_bucket(batches, ["block", "words", "contexts", "pairs", "counts"]):
-            for row in answer(bucket, *columns):
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["block", "bucket", "words", "figures", "of_words", "totals"])
+        for bucket, columns in by_bucket(batches, ["words", "contexts", "pairs", "counts"]):
+            words, contexts, codes, counts = [], [], [], []
+            for w, c, p, n in zip(*columns):
+                w, c, p, n = unpacked_keys(w), unpacked_keys(c), unpacked_keys(p).astype(np.int64), unpacked(n).astype(np.int64)
+                p, n = p[n > 0], n[n > 0]
+                words.append(w[p // max(len(c), 1)])
+                contexts.append(c[p % max(len(c), 1)])
+                counts.append(n)
+            every, word = np.unique(np.concatenate(words), return_inverse=True)
+            every_context, context = np.unique(np.concatenate(contexts), return_inverse=True)
+            if len(every):
+                codes, at = np.unique(word * len(every_context) + context, return_inverse=True)
+                count = np.bincount(at, np.concatenate(counts), len(codes)).astype(np.int64)
+                yield from State(every, every_context, codes, count, np.ones((1, len(codes)), np.int64)).rows(bucket, buckets, 0)
+
+    return asked.select("bucket", "block", "words", "contexts", "pairs", "counts").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block").mapInArrow(run, SEATED)
+
+
+def added_up(seated: DataFrame, buckets: int) -> DataFrame:
+    """TABLES rows on their way back, with the sums over all buckets."""
 
-    dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(run, ANSWERS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (sources, contexts, tables) in by_bucket(batches, ["source", "contexts", "tables"]):
+            keys = [unpacked_keys(c) for c in contexts]
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total, start = np.bincount(at, np.concatenate([unpacked(t) for t in tables])).astype(np.int64), 0
+            for source, k in zip(sources, keys):
+                yield as_batch((TABLES, source, bucket, None, None, None, None, packed(total[at[start : start + len(k)]]), None), KINDS, NAMES)
+                start += len(k)
+
+    return seated.where(F.col("kind") == TABLES).repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "source").mapInArrow(run, SEATED)
+
+
+def next_state(seated: DataFrame, buckets: int, whole: int, sweep: int) -> DataFrame:
+    """A sweep over all pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (kinds, _, words, contexts, pairs, counts, tables) in by_bucket(batches, ["kind", "source", "words", "contexts", "pairs", "counts", "tables"]):
+            own = State.read(words[0], contexts[0], pairs[0], counts[0], tables[0])
+            of_context = np.empty(len(own.contexts), np.int64)
+            of_context[np.argsort(homes(own.contexts, buckets), kind="stable")] = np.concatenate([unpacked(t) for t in tables[1:]])
+            new = swept(own.word, own.context, own.count, own.lines[-1], own.words, own.contexts, of_context, whole, sweep)
+            kept = own.lines if sweep > SWEEPS - SAMPLES + 1 else own.lines[:0]
+            own.lines = np.concatenate((kept, new[None]))
+            yield from own.rows(bucket, buckets, sweep)
+
+    both = seated.where(F.col("kind") == STATE).union(added_up(seated, buckets))
+    return both.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind", "source").mapInArrow(run, SEATED)
+
+
+ANSWERS = "block long, bucket long, words binary, figures binary, of_words binary"
 
 
-def context_tables(replies: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, tables: of each sample, over all buckets, for the words of a block as contexts."""
+def answers(asked: DataFrame, seated: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, words, figures (count and tables in all samples of the pairs asked for), of_words (count, and
+    customers at the top in each sample, of the words)."""
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    names = [x.split()[0] for x in ANSWERS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (blocks, words, figures) in by_bucket(batches, ["block", "words", "figures"]):
-            parted = [(unpacked_keys(w), unpacked(f).reshape(SAMPLES, -1)) for b, w, f in zip(blocks, words, figures) if b is None]
-            every, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for w, _ in parted)]), return_inverse=True)
-            tables = np.zeros((SAMPLES, len(every) + 1), np.int64)
-            for s in range(SAMPLES):
-                tables[s, :-1] = np.bincount(at, np.concatenate([np.empty(0), *(f[s] for _, f in parted)]), len(every))
+        own = now = None
+        for bucket, block, words, contexts, pairs, counts, tables in rows_of(batches, ["bucket", "block", "words", "contexts", "pairs", "counts", "tables"]):
+            if bucket != now:
+                own, now = State(*[np.empty(0, np.uint64)] * 2, *[np.empty(0, np.int64)] * 2, np.zeros((SAMPLES, 0), np.int64)), bucket
+                of_pair = of_word = None
+            if block is None:
+                own = State.read(words, contexts, pairs, counts, tables)
+                continue
+            if of_pair is None:  # a last entry for what isn't known
+                of_pair = np.pad(np.stack((own.count, own.lines.sum(axis=0))), ((0, 0), (0, 1)))
+                of_word = np.pad(np.stack((np.bincount(own.word, own.count, len(own.words)).astype(np.int64), *map(own.guests, range(SAMPLES)))), ((0, 0), (0, 1)))
+            w, c, p = unpacked_keys(words), unpacked_keys(contexts), unpacked_keys(pairs).astype(np.int64)
+            at, at_context = found(own.words, w), found(own.contexts, c)
+            word, context = at[p // max(len(c), 1)], at_context[p % max(len(c), 1)]
+            codes = np.where((word < len(own.words)) & (context < len(own.contexts)), word * len(own.contexts) + context, -1)
+            yield as_batch((block, bucket, words, packed(of_pair[:, found(own.codes, codes)].ravel()), packed(of_word[:, at].ravel())), kinds, names)
+
+    none = "cast(null as binary) tables"
+    both = asked.selectExpr("bucket", "block", "words", "contexts", "pairs", "counts", none)
+    both = seated.where(F.col("kind") == STATE).selectExpr("bucket", "cast(null as long) block", "words", "contexts", "pairs", "counts", "tables").union(both)
+    return both.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block").mapInArrow(run, ANSWERS)
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the sorted keys have what is wanted; their number, where they haven't."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, len(keys))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in names))
+
+
+def context_tables(replies: DataFrame, kept: list[DataFrame], buckets: int) -> DataFrame:
+    """block, bucket, tables: of each kept sweep, over all buckets, for the words of a block as contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (blocks, samples, words, tables) in by_bucket(batches, ["block", "sample", "words", "tables"]):
+            parted = [(s, unpacked_keys(w), unpacked(t)) for b, s, w, t in zip(blocks, samples, words, tables) if b is None]
+            every, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for _, w, _ in parted)]), return_inverse=True)
+            total = np.zeros((SAMPLES, len(every) + 1), np.int64)
+            start = 0
+            for s, w, t in parted:
+                total[s, at[start : start + len(w)]] += t.astype(np.int64)
+                start += len(w)
             for block, w in zip(blocks, words):
                 if block is not None:
-                    w = unpacked_keys(w)
-                    found = np.searchsorted(every, w)
-                    found[np.append(every, np.uint64(0))[found] != w] = len(every)
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([packed(tables[:, found].ravel())], pa.binary())], ["block", "bucket", "tables"])
-
-    rows = replies.where("words is not null").selectExpr("block", "bucket", "words", "case when block is null then figures end figures")
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket long, tables binary")
-
-
-def log_chances(context: np.ndarray, figures: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each pair, of the number of its context and FIGURES: log10 of the base's and of the model's probability, and
-    whether the word is known. Totals: training words and tokens, customers of each context; for each sample, tables of
-    each context, customers and tables at the top."""
-    vocabulary, training = totals[0], totals[1]
-    contexts = (len(totals) - 2 - 2 * SAMPLES) // (1 + SAMPLES)
-    context = context.astype(np.int64)
-    in_context = totals[2 : 2 + contexts][context]
-    count = figures[1].astype(float)
-    mean = np.zeros(len(context))
+                    yield as_batch((block, bucket, packed(total[:, found(every, unpacked_keys(w))].ravel())), [pa.int64(), pa.int64(), pa.binary()], ["block", "bucket", "tables"])
+
+    rows = replies.selectExpr("block", "bucket", "0 sample", "words", "cast(null as binary) tables")
+    for s, seated in enumerate(kept):
+        rows = rows.union(seated.where(F.col("kind") == TABLES).selectExpr("cast(null as long)", "bucket", f"{s}", "contexts", "tables"))
+    return rows.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket long, tables binary")
+
+
+def log_chances(context: np.ndarray, pairs: np.ndarray, of_words: np.ndarray, word: np.ndarray, of_contexts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of numbers of a context and a word: log10 of the base's and of the model's probability, and
+    whether the word is known. pairs: count and tables in all samples; of_words: count and customers at the top in each
+    sample, of all words; of_contexts: tables in each sample, of the words as contexts; totals: training words, tokens,
+    and customers at the top in each sample."""
+    vocabulary, training = totals[:2]
+    count, guests = of_words[0][word].astype(float), of_words[0][context].astype(float)
+    mean = pairs[0] - DISCOUNT * pairs[1] / SAMPLES
     for s in range(SAMPLES):
-        at = 2 + contexts + s * (contexts + 2)
-        tables, guests, top = totals[at : at + contexts][context], totals[at + contexts], totals[at + contexts + 1]
-        t, c, tt = (figures[2 + 3 * s + k].astype(float) for k in range(3))
-        above = (np.maximum(c - TOP_DISCOUNT * tt, 0) + (TOP_STRENGTH + TOP_DISCOUNT * top) / (vocabulary + 1)) / (TOP_STRENGTH + guests)
-        mean += (np.maximum(count - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * tables) * above) / (STRENGTH + in_context)
-    base = np.log10((figures[0].astype(float) + 1) / (training + vocabulary + 1))
-    return base, np.log10(mean / SAMPLES), figures[0] > 0
+        own = of_words[1 + s][word]
+        above = np.where(count > 0, own - TOP_DISCOUNT, TOP_STRENGTH + TOP_DISCOUNT * vocabulary) / (TOP_STRENGTH + totals[2 + s])
+        mean = mean + (STRENGTH + DISCOUNT * of_contexts[s][context]) * above / SAMPLES
+    return np.log10((count + 1) / (training + vocabulary + 1)), np.log10(mean / (STRENGTH + guests)), count > 0
+
+
+def summed(seated: DataFrame) -> list[int]:
+    """Words, tokens, customers at the top and parent_draws() of all buckets: a row for each comes to the driver."""
+    rows = [r.totals for r in seated.where(F.col("kind") == TOTALS).select("totals").collect()]
+    return [sum(r[i] for r in rows) for i in range(4)]
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -450,13 +473,28 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = parts(spark)
     blocks = materialise(blocked(docs), "blocks")
-    replies = materialise(answers(requests(blocks, buckets), buckets), "answers")
+    asked = materialise(requests(blocks, buckets), "requests")
+    seated = materialise(first_state(asked, buckets), "seated")
+    kept: list[DataFrame] = []
+    counted: list[list[int]] = []
+    for sweep in range(1, SWEEPS + 1):
+        free_shuffles(spark)
+        sums = summed(seated)
+        before, seated = seated, materialise(next_state(seated, buckets, max(sums[3] + unknown_draw(sums[0], sweep), 1), sweep), "seated")
+        if before not in kept:
+            discard(before)
+        if sweep > SWEEPS - SAMPLES:
+            kept.append(seated)
+            counted.append(summed(seated))
+    free_shuffles(spark)
+    replies = materialise(answers(asked, seated, buckets), "answers")
+    discard(asked)
     free_shuffles(spark)
-    of_contexts = materialise(context_tables(replies, buckets), "contexts")
+    of_contexts = materialise(context_tables(replies, kept, buckets), "contexts")
+    for seated in kept:
+        discard(seated)
     free_shuffles(spark)
-    # one row a bucket
-    rows = [r.totals for r in replies.where("totals is not null").select("totals").collect()]
-    totals = np.sum(rows, axis=0) if rows else np.zeros(2 + 2 * SAMPLES)
+    totals = [*counted[-1][:2], *(c[2] for c in counted)]
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
@@ -465,23 +503,15 @@ def scores(docs: DataFrame) -> DataFrame:
         lengths = np.array([len(g) - 1 for g in gathered])
         own = Pairs(gathered, buckets)
         joined = lambda data, lines: np.concatenate([unpacked(x).reshape(lines, -1) for x in data], axis=1)
-        here = joined([f for f, _ in found], 1 + SAMPLES)
+        here = joined([f for f, _ in found], 2)
         # a bucket's pairs are in the order of their words' and contexts' hashes
         order = np.lexsort((own.words[own.context], own.word))
         pairs = np.empty_like(here)
         pairs[:, order] = here
-        of_words = joined([w for _, w in found], 1 + 2 * SAMPLES)
-        of_tables = joined(tables, SAMPLES)
-        figures = np.empty((FIGURES, len(own.word)))
-        figures[0], figures[1] = of_words[0][own.word], pairs[0]
-        every = [*totals[:2], *of_words[0]]
-        for s in range(SAMPLES):
-            figures[2 + 3 * s] = pairs[1 + s]
-            figures[3 + 3 * s], figures[4 + 3 * s] = of_words[1 + 2 * s][own.word], of_words[2 + 2 * s][own.word]
-            every += [*of_tables[s], *totals[2 + 2 * s : 4 + 2 * s]]
+        chances = log_chances(own.context, pairs.astype(float), joined([w for _, w in found], 1 + SAMPLES).astype(float), own.word, joined(tables, SAMPLES).astype(float), np.array(totals, float))
         starts = np.cumsum(lengths) - lengths
-        base, model, known = (np.add.reduceat(x[own.at].astype(float), starts) for x in log_chances(own.context, figures, np.array(every, float)))
-        columns = [ids, [held_out(k) for k in ids], lengths, known.astype(np.int64), [int(totals[1])] * len(ids), base, model]
+        base, model, known = (np.add.reduceat(x[own.at].astype(float), starts) for x in chances)
+        columns = [ids, [held_out(k) for k in ids], lengths, known.astype(np.int64), [totals[1]] * len(ids), base, model]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,7 +535,7 @@ def scores(docs: DataFrame) -> DataFrame:
             yield scored(ids, gathered, found, tables)
 
     none = "cast(null as binary)"
-    back = replies.where("block is not null").selectExpr("block", "bucket", f"{none} rows", "figures", "of_words", f"{none} tables")
+    back = replies.selectExpr("block", "bucket", f"{none} rows", "figures", "of_words", f"{none} tables")
     added = of_contexts.selectExpr("block", "bucket", f"{none} rows", f"{none} figures", f"{none} of_words", "tables")
     asked = blocks.selectExpr("block", f"{buckets} bucket", "rows", f"{none} figures", f"{none} of_words", f"{none} tables")
     together = back.union(added).union(asked).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
