@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sheafwork.llm import avi, graph, hpy, licences, neardup, packing, quality, sketch, suffixes, warc
@@ -257,9 +258,11 @@ def brute_spans(rows):
     return covered
 
 
-@pytest.mark.parametrize("ready", [1 << 20, 3])
-def test_repeated_passages(docs, rows, empty, monkeypatch, ready):
-    monkeypatch.setattr(suffixes, "READY", ready)
+@pytest.mark.parametrize("ready, many, chunk", [(1 << 20, 1 << 17, 1 << 15), (1 << 20, 1 << 17, 1), (3, 1 << 17, 1 << 15), (1 << 20, 1, 1 << 15), (3, 2, 1)])
+def test_repeated_passages(docs, rows, empty, monkeypatch, ready, many, chunk):
+    """In memory or by joins, in the suffix array or by windows."""
+    for name, value in (("READY", ready), ("MANY", many), ("CHUNK", chunk)):
+        monkeypatch.setattr(suffixes, name, value)
     covered: dict = {}
     for r in suffixes.repeated(docs).collect():
         assert r.first_doc_id < r.doc_id and r.n_words == r.end - r.start >= 50
@@ -303,16 +306,51 @@ def test_packing(docs, rows, empty):
 
 
 def test_merkle_audit(spark):
-    pages = [(k, f"http://x/{k}", None if k == 3 else f"<p>{k}</p>" * (k % 7)) for k in range(500)] + [(None, None, None)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    damage = warc.bit_rot(16)
-    ours, theirs = warc.trees(df), warc.trees(df, damage)
-    want = {k for k, _, _ in pages if damage(k, b"0123456789") != b"0123456789"}
-    found = warc.audit(ours, theirs).collect()
-    assert {r.page_id for r in found} == want and all(r.status == "changed" for r in found)
-    assert warc.audit(ours, ours).count() == 0
-    data = b"".join(warc.record(u or "", (h or "").encode()) for _, u, h in pages)
-    assert [b.decode() for _, _, b in warc.read_records(data)] == [h or "" for _, _, h in pages]
+    pages = [(k, f"http://x/{k}", None if k == 3 else f"<p>{k}</p>" * (k % 7)) for k in range(500)] + [(None, None, None), (7, "http://x/7", "<p>7</p>"), (7, "http://x/7", "other")]
+    pages += [(8, "u", "same")] * 300 + [(600, "http://x/6\n00", "long " * 300_000)]
+    schema = "page_id long, url string, html string, digest string, place int"
+    df = spark.createDataFrame([(*p, "d", 1) for p in pages], schema)
+    damage = warc.bit_rot(16, 64)
+    kept = Counter((k, hashlib.sha256(warc.record(u or "", (h or "").encode())).hexdigest()) for k, u, h in pages)
+    harmed = [(k, damage(k, warc.record(u or "", (h or "").encode()))) for k, u, h in pages]
+    held = Counter((k, hashlib.sha256(d).hexdigest()) for k, d in harmed if d is not None) + Counter({(9999, "x"): 0})
+    assert any(d is None for _, d in harmed) and kept != held
+    for layout in (1, 3, 7):
+        ours = warc.replica(warc.segments(df.repartition(2)))
+        theirs = warc.replica(warc.segments(df.repartition(layout), damage), len(ours.nodes) - 1)
+        found = warc.audit(ours, theirs).collect()
+        lost, added = Counter(), Counter()
+        for r in found:
+            if r.our_digest:
+                lost[r.page_id, r.our_digest] += r.copies
+            if r.their_digest:
+                added[r.page_id, r.their_digest] += r.copies
+        assert lost == kept - held and added == held - kept
+        for r in found:
+            assert r.status == ("changed" if r.our_digest and r.their_digest else "missing" if r.our_digest else "extra")
+    same = warc.replica(warc.segments(df.repartition(5)), len(ours.nodes) - 1)
+    assert warc.audit(ours, same).count() == 0
+    # one lost, one added and one damaged record are one row each
+    html = F.when(F.col("page_id") == 40, "x").otherwise(F.col("html"))
+    other = df.where("page_id is null or page_id <> 30").withColumn("html", html).union(spark.createDataFrame([(7000, "n", "n", "", 0)], schema))
+    found = warc.audit(ours, warc.replica(warc.segments(other), len(ours.nodes) - 1)).collect()
+    assert {(r.page_id, r.status) for r in found} == {(30, "missing"), (40, "changed"), (7000, "extra")} and len(found) == 3
+    stored = {r.segment: bytes(r.data) for r in warc.segments(df.repartition(2)).collect()}
+    ours = {r.page_id: r for r in warc.leaves(warc.segments(df.repartition(2))).collect()}
+    assert all(hashlib.sha256(stored[r.segment][r.first_byte : r.end_byte]).hexdigest() == r.digest for r in ours.values())
+    none = warc.replica(warc.segments(df.where("false")), len(same.nodes) - 1)
+    assert warc.audit(none, none).count() == 0 and {r.status for r in warc.audit(same, none).collect()} == {"missing"}
+
+
+def test_warc_files_are_read_back():
+    pages = [("http://a", b"one"), ("http://b\r\n\r\nc", b"\r\n\r\nWARC/1.0"), ("", b"")]
+    data = b"".join(warc.record(u, b) for u, b in pages)
+    assert [b for _, _, b in warc.read_records(data)] == [b for _, b in pages]
+    first = len(warc.record(*pages[0]))
+    for at in range(first):  # damage to one record leaves the others
+        harmed = data[:at] + bytes([data[at] ^ 0x10]) + data[at + 1 :]
+        assert [b for o, _, b in warc.read_records(harmed) if o >= first] == [b for _, b in pages[1:]]
+    assert list(warc.read_records(data[: first - 1])) == [] and list(warc.read_records(b"")) == []
 
 
 def test_pitman_yor(docs, rows, empty):
