@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import avi, hpy, licences, neardup, packing, quality, sketch, suffixes, warc
 from .bpe import encode_decode
-from .common import documents, materialise
+from .common import documents, materialise, parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,11 +44,13 @@ def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as two WARC replicas, the second with bit rot in one record of 64: what the audit finds."""
+    """The pages as two WARC replicas, the second cut into other segments, with bit rot in one record of 64 and one of
+    512 lost: what the audit finds."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    ours = materialise(warc.trees(pages), "tree")
-    theirs = materialise(warc.trees(pages, warc.bit_rot()), "tree")
-    return warc.audit(ours, theirs)
+    stored = materialise(warc.segments(pages), "segments")
+    other = materialise(warc.segments(pages.repartition(parts(spark)), warc.bit_rot()), "segments")
+    ours = warc.replica(stored)
+    return warc.audit(ours, warc.replica(other, len(ours.nodes) - 1))
 
 
 def op9_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
