@@ -11,32 +11,83 @@ def rounded(x: Column, places: int = 0) -> Column:
     return F.floor(x * 10**places + 0.5) / 10**places
 
 
+# Marks of currency, digits that a double holds, digits of a bare run that is an identifier.
+CURRENCY = "$€£¥₹₩₪₫₽₴₺₦₱฿"
+DIGITS, BARE = 15, 12
+
+#: Shapes of numbers: how they are grouped, and the decimal mark.
+SHAPES = [(rf"^\d{{1,3}}({g}\d{{3}})+({d}\d+)?$", g, d) for g, d in ((" ", r"\."), (",", r"\."), (r"\.", ","))]
+MANY_DOTS = r"^\d{1,3}(\.\d{3}){2,}$"
+PLAIN = r"^\d+(\.\d+)?$"
+
+
 def number(body: Column) -> Column:
-    """The value of digits grouped by commas, else null: leading zeros, more than 15 digits and bare runs of 12 digits
-    or more aren't numbers."""
-    digits = F.regexp_replace(body, "[^0-9]", "")
-    plain = body.rlike(r"^(0|[1-9][0-9]*)(\.[0-9]+)?$") & ~body.rlike(r"^[0-9]{12,}$")
-    grouped = body.rlike(r"^[1-9][0-9]{0,2}(,[0-9]{3})+(\.[0-9]+)?$")
-    value = F.regexp_replace(body, ",", "").try_cast("double")
-    return F.when((plain | grouped) & (F.length(digits) <= 15), value)
+    """value, decimals and grouped of digits as they are written, null for what isn't a number: a single comma groups
+    (1,234) or isn't one (12,5), leading zeros and long bare runs of digits are identifiers, and more digits than a
+    double holds aren't read at all."""
+    spaced = body.rlike(r"^\d{1,3}( \d{3})+([.,]\d+)?$")
+    text = F.when(spaced, F.replace(body, F.lit(" "), F.lit(""))).otherwise(body)
+    commas = text.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$")
+    dots = text.rlike(r"^\d{1,3}(\.\d{3})+,\d+$") | text.rlike(MANY_DOTS)
+    plain = text.rlike(PLAIN)
+    digits = F.when(dots, F.translate(text, ".,", "\0.")).when(commas, F.replace(text, F.lit(","), F.lit(""))).when(plain, text)
+    digits = F.replace(digits, F.lit("\0"), F.lit(""))
+    whole, fraction = F.regexp_extract(digits, r"^(\d+)", 1), F.regexp_extract(digits, r"\.(\d+)$", 1)
+    significant = F.length(F.regexp_replace(whole, "^0+", "")) + F.length(fraction)
+    bare = plain & (fraction == "") & (F.length(whole) >= BARE)
+    good = digits.isNotNull() & ~whole.rlike("^0\\d") & (significant <= DIGITS) & ~bare
+    return F.when(good, F.struct(digits.try_cast("double").alias("value"), F.length(fraction).cast("long").alias("decimals"), (spaced | commas | dots).alias("grouped")))
+
+
+#: What stands before a number: a sign and a currency in either order; within brackets too.
+SIGN, MONEY = "[-+\u2212]", f"[A-Za-z]{{0,3}}[{CURRENCY}]"
+FRONT = rf"^(?:({SIGN})\s*({SIGN})?\s*|({SIGN})?\s*(?:{MONEY})\s*({SIGN})?\s*(?:{MONEY})?\s*)"
 
 
 def cell(raw: Column) -> Column:
-    """kind (empty, date, ambiguous, number, percent, text) and value of a cell. Brackets and signs are minus, an ISO
-    date is a day number, slashed dates stay text."""
-    text = F.trim(F.regexp_replace(raw, " ", " "))
-    bracket = text.rlike(r"^\(.*\)$")
-    core = F.regexp_replace(text, r"^\((.*)\)$", "$1")
-    minus = bracket | core.rlike(r"^[$€£]?-")
-    percent = core.rlike("%$")
-    body = F.regexp_replace(F.regexp_replace(core, r"^[-$€£]{1,2}", ""), "%$", "")
-    value = number(F.trim(body))
-    iso = F.try_to_date(F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text), "yyyy-MM-dd")
-    slashed = text.rlike(r"^[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}$")
-    kind = F.when(text == "", "empty").when(iso.isNotNull(), "date").when(slashed, "ambiguous").when(value.isNull(), "text").when(percent, "percent").otherwise("number")
-    signed = F.when(minus, -value).otherwise(value)
-    out = F.when(kind == "date", serial(iso).cast("double")).when(kind == "percent", signed / 100).when(kind == "number", signed)
-    return F.struct(kind.alias("kind"), out.alias("value"))
+    """kind (empty, date, ambiguous-date, number, percent, text), value (of dates the day number) and format (date,
+    decimal, thousands, percent, general) of a cell. Dates with slashes could be read two ways and stay text."""
+    text = F.trim(F.regexp_replace(raw, r"[\s\u00a0\u2007\u202f]+", " "))
+    iso = F.try_to_date(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text), "yyyy-MM-dd")
+    slashed = text.rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{2,4}$")
+    bracket = text.rlike(r"^\(.+\)$")
+    core = F.trim(F.regexp_replace(text, r"^\((.+)\)$", "$1"))
+    # at most two passes, each takes a sign or a currency
+    one, two = rf"^(?:{SIGN}|{MONEY})\s*", rf"^(?:(?:{SIGN}|{MONEY})\s*){{0,2}}"
+    front = F.regexp_extract(core, two, 0)
+    minus = F.length(F.regexp_replace(front, "[^-\u2212]", "")) + F.when(bracket, 1).otherwise(0)
+    body = F.regexp_replace(core, two, "")
+    percent = body.endswith("%")
+    body = F.trim(F.regexp_replace(F.trim(F.regexp_replace(body, "%$", "")), rf"\s*[{CURRENCY}]$", ""))
+    parsed = number(body)
+    staged = F.struct(text.alias("text"), iso.alias("iso"), slashed.alias("slashed"), (minus % 2 == 1).alias("minus"), percent.alias("percent"), parsed.alias("n"))
+    # bound once as an element of an array: the optimizer would repeat each part for each use
+    return F.transform(F.array(staged), _typed)[0]
+
+
+def _typed(c: Column) -> Column:
+    signed = F.when(c["minus"], -c["n"]["value"]).otherwise(c["n"]["value"])
+    kind = F.when(c["text"] == "", "empty").when(c["iso"].isNotNull(), "date").when(c["slashed"], "ambiguous-date").when(c["n"].isNull(), "text").when(c["percent"], "percent").otherwise("number")
+    value = F.when(kind == "date", serial(c["iso"]).cast("double")).when(kind == "percent", signed / 100).when(kind == "number", signed)
+    shown = F.when(c["n"]["decimals"] == 2, "decimal").when((c["n"]["decimals"] == 0) & c["n"]["grouped"], "thousands").otherwise("general")
+    form = F.when(kind == "date", "date").when(kind == "percent", F.when(signed == F.floor(signed), "percent").otherwise("general")).when(kind == "number", shown)
+    return F.struct(kind.alias("kind"), value.alias("value"), form.alias("format"))
+
+
+# Fixed value: headings of columns that hold identifiers.
+IDENTIFIERS = r"(?i)(^|[\s(-])(no\.?|num(ber)?|nr\.?|#|id|ref(\.|erence)?|code|acc(t|ount)?|phone|tel|fax|zip|postcode|isbn|sku|serial|barcode|imei|vin)\)?$"
+
+
+def names_identifiers(heading: Column) -> Column:
+    return heading.rlike(IDENTIFIERS)
+
+
+def looks_numeric(text: Column) -> Column:
+    """Whether a field of delimited text is set to the right: a number with currency, percent, commas or brackets."""
+    text = F.trim(text)
+    bare = F.regexp_replace(F.regexp_replace(text, r"^\((.*)\)$", "-$1"), r"[$€£¥₹\s]", "")
+    bare = F.replace(F.regexp_replace(bare, "%$", ""), F.lit(","), F.lit(""))
+    return (text != "") & (F.length(text) <= 32) & bare.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")
 
 
 def serial(day: Column) -> Column:
@@ -67,3 +118,54 @@ def human_bytes(n: Column) -> Column:
     small = F.when(tenth == F.floor(tenth), F.floor(tenth).cast("long").cast("string")).otherwise(tenth.cast("decimal(20,1)").cast("string"))
     large = F.concat(F.when(mb >= 10, F.floor(mb + 0.5).cast("long").cast("string")).otherwise(small), F.lit(" MB"))
     return F.when(n >= 1024 * 1024, large).when(n >= 1024, F.concat(F.floor(n / 1024 + 0.5).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
+
+
+def serial_text(number_: Column, from_1904: Column | bool = False) -> Column:
+    """A spreadsheet's day number as a date, with the time if it has a fraction."""
+    days = number_ + F.when(F.lit(from_1904) if isinstance(from_1904, bool) else from_1904, 1462).otherwise(0)
+    stamp = F.timestamp_millis(F.floor((days - 25569) * 86_400_000 + 0.5).cast("long"))
+    return F.when(number_ == F.floor(number_), F.date_format(stamp, "yyyy-MM-dd")).otherwise(F.date_format(stamp, "yyyy-MM-dd HH:mm"))
+
+
+def reference(ref: Column) -> Column:
+    """col and row, from 0, of a reference such as $BC$12; what isn't one is the first cell."""
+    p = r"^\$?([A-Z]+)\$?(\d+)$"
+    letters_ = F.split(F.regexp_extract(ref, p, 1), "")
+    col = F.aggregate(F.filter(letters_, lambda c: c != ""), F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 64)
+    found = ref.rlike(p)
+    return F.struct(F.when(found, col - 1).otherwise(0).alias("col"), F.when(found, F.regexp_extract(ref, p, 2).try_cast("long") - 1).otherwise(0).alias("row"))
+
+
+def width_in_points(width: Column) -> Column:
+    return F.floor((width * 7 + 5) * 0.75 + 0.5).cast("long")
+
+
+def trimmed_noise(x: Column) -> Column:
+    """Without the last digits that come of binary fractions."""
+    return F.floor(x * 1e10 + 0.5) / 1e10
+
+
+# Units of office files in a point.
+TWIPS, HALF_POINTS, EMU = 20, 2, 12700
+
+
+def in_units(points: Column, unit: int) -> Column:
+    return F.floor(points * unit + 0.5).cast("long")
+
+
+def size_in_bytes(text: Column) -> Column:
+    """3.5 MB as bytes; null if no size is named."""
+    p = r"(?i)([\d.]+)\s*(KB|MB|GB|B)"
+    power = F.array_position(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), F.upper(F.regexp_extract(text, p, 2))) - 1
+    return F.regexp_extract(text, p, 1).try_cast("double") * F.pow(F.lit(1024.0), power.cast("double"))
+
+
+def counted(n: Column, one: str, many: str | None = None) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many or one + 's'}"))
+
+
+def listed(items: Column) -> Column:
+    """4, 9 and 12."""
+    text = F.transform(items, lambda x: x.cast("string"))
+    head = F.array_join(F.slice(text, 1, F.greatest(F.size(text) - 1, F.lit(1))), ", ")
+    return F.when(F.size(text) > 1, F.concat(head, F.lit(" and "), F.element_at(text, -1))).otherwise(head)

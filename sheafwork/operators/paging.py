@@ -113,6 +113,24 @@ def split_at(pages: DataFrame, starts: Column) -> DataFrame:
     return pages.withColumn("part", F.sum(F.when(starts, 1).otherwise(0)).over(w).cast("long"))
 
 
+def split_around(pages: DataFrame, blank: Column, handling: str) -> DataFrame:
+    """Parts between blank pages: these are dropped, or go with the part before (`previous`) or after them (`next`). There
+    is no part without content but in a file that has none."""
+    w = Window.partitionBy("file").orderBy("page")
+    rows = pages.withColumn("_blank", blank).withColumn("_before", F.lag("_blank").over(w))
+    some = F.max((~F.col("_blank")).cast("int"))
+    if handling == "next":
+        starts = F.col("_blank") & ~F.col("_before") & (some.over(w.rowsBetween(1, Window.unboundedFollowing)) == 1)
+    elif handling == "previous":
+        starts = ~F.col("_blank") & F.col("_before") & (some.over(w.rowsBetween(Window.unboundedPreceding, -1)) == 1)
+    else:
+        starts = ~F.col("_blank") & F.coalesce("_before", F.lit(True))
+    rows = rows.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("int"))
+    part = F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) + (0 if handling == "drop" else 1)
+    rows = rows.withColumn("part", part.cast("long"))
+    return (rows.where("not _blank") if handling == "drop" else rows).drop("_blank", "_before", "_starts")
+
+
 def ranges(selected: DataFrame) -> DataFrame:
     """Runs of pages of each file as text: 1-3, 5."""
     island = F.col("page") - F.row_number().over(Window.partitionBy("file").orderBy("page"))

@@ -6,20 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_heads(lines: DataFrame, least: int = 3) -> DataFrame:
-    """doc, sig, n: line texts (small letters, digits as #) on at least so many pages."""
-    sig = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[0-9]", "#"), "[ \t\r]+", " "))
-    rows = lines.select("doc", "page", sig.alias("sig")).where("sig <> ''").distinct()
-    return rows.groupBy("doc", "sig").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-
-
 def bullets(lines: DataFrame, least: int = 3) -> DataFrame:
-    """token, n, inside: marks of one or two characters that start at least so many lines, and more lines than have
-    them further in. Tokens are few, as they hold no letters or digits, so their table is checked and broadcast."""
+    """token, n, inside: marks of one or two characters that start at least so many lines, and more lines than have them
+    further in. Each line gives the marks it has further in once, so that they meet by an equi-join."""
     token = F.regexp_extract("text", "^([^ \t]{1,2})[ \t]+[^ \t]", 1)
     starts = lines.groupBy(token.alias("token")).agg(F.count("*").alias("n")).where(f"token <> '' and not token rlike '[A-Za-z0-9]' and n >= {least}")
-    inside = lines.join(starts.select("token"), F.expr("instr(text, token) > 1"))
-    return starts.join(inside.groupBy("token").agg(F.count("*").alias("inside")), "token", "left").select("token", "n", F.coalesce("inside", F.lit(0)).alias("inside")).where("inside < n")
+    rest = F.expr("substring(text, 2)")
+    marks = lambda n: F.regexp_extract_all(rest, F.lit(f"(?=([^A-Za-z0-9 \t]{{{n}}}))"), F.lit(1))
+    inside = lines.select(F.explode(F.array_distinct(F.concat(marks(1), marks(2)))).alias("token")).groupBy("token").agg(F.count("*").alias("inside"))
+    return starts.join(inside, "token", "left").select("token", "n", F.coalesce("inside", F.lit(0)).alias("inside")).where("inside < n")
 
 
 def weighted_mode(rows: DataFrame, key: str, value: str, weight: str, order: str) -> DataFrame:

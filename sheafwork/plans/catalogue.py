@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import cells, text
-from ..operators import layout, paging, stats
+from ..functions import cells, dates, formats, markdown, media, names, secure, text
+from ..operators import layout, paging, records, stats, structure
 from ..sources.tables import SQL, lines, pages, signal, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,30 +112,27 @@ def split_by_size(spark, sf_dir):
     return paging.split_by_size(pages(spark, sf_dir), 900)
 
 
-@query(f"select file, page, sum(case when contains(lower(substr(text, 1, 900)), 'please') or contains(lower(substr(text, 1, 900)), 'the ') then 1 else 0 end) over (partition by file order by page) as part from {P}")
+@query(f"select file, page, sum(case when contains(lower(substr(text, 1, 900)), 'please') or contains(lower(substr(text, 1, 900)), 'the') then 1 else 0 end) over (partition by file order by page) as part from {P}")
 def split_by_keyword(spark, sf_dir):
-    head = F.lower(F.substring("text", 1, 900))
-    starts = head.contains("please") | head.contains("the ")
-    return paging.split_at(pages(spark, sf_dir), starts).select("file", "page", "part")
+    return paging.split_at(pages(spark, sf_dir), records.starts_with_any(F.col("text"), "please, the ")).select("file", "page", "part")
 
 
+#: Pages that stand for blank ones.
 BLANK = "(n % 4 = 0)"
+AROUND = f"(select *, {BLANK} as b, lag({BLANK}) over w as was, max((not {BLANK})::int) over (w rows between 1 following and unbounded following) as later, max((not {BLANK})::int) over (w rows between unbounded preceding and 1 preceding) as sooner from {P} window w as (partition by file order by page))"
 
 
-@query(f"select file, page, part from (select *, sum({BLANK}::int) over (partition by file order by page) as part from {P}) where not {BLANK}")
-def split_blank_drop(spark, sf_dir):
-    return paging.split_at(pages(spark, sf_dir), F.expr(BLANK)).where(f"not {BLANK}").select("file", "page", "part")
-
+def blanks(handling: str, starts: str, first: int, where: str) -> None:
+    def run(spark, sf_dir):
+        return paging.split_around(pages(spark, sf_dir), F.expr(BLANK), handling).select("file", "page", "part")
 
-@query(f"select file, page, sum(starts) over (partition by file order by page) as part from (select *, coalesce(lag({BLANK}::int) over (partition by file order by page), 0) as starts from {P})")
-def split_blank_previous(spark, sf_dir):
-    before = F.lag(F.expr(f"cast({BLANK} as int)"), 1, 0).over(Window.partitionBy("file").orderBy("page"))
-    return paging.split_at(pages(spark, sf_dir).withColumn("before", before), F.col("before") == 1).select("file", "page", "part")
+    QUERIES[f"split_blank_{handling}"] = run
+    ORACLES[f"split_blank_{handling}"] = f"select file, page, part from (select *, sum(coalesce({starts}, false)::int) over (partition by file order by page) + {first} as part from {AROUND}) where {where}"
 
 
-@query(f"select file, page, sum({BLANK}::int) over (partition by file order by page) as part from {P}")
-def split_blank_next(spark, sf_dir):
-    return paging.split_at(pages(spark, sf_dir), F.expr(BLANK)).select("file", "page", "part")
+blanks("drop", "not b and coalesce(was, true)", 0, "not b")
+blanks("previous", "not b and was and sooner = 1", 1, "true")
+blanks("next", "b and not was and later = 1", 1, "true")
 
 
 @query(f"""select file, string_agg(case when a = b then a::varchar else a || '-' || b end, ', ' order by a) as ranges from
@@ -190,14 +187,21 @@ def page_dice_similarity(spark, sf_dir):
 
 # text ------------------------------------------------------------------------------------------------------------
 
-@query(f"""select doc, sig, count(distinct page) as n from (select doc, (line - 1) // 4 as page, trim(regexp_replace(regexp_replace(lower(text), '[0-9]', '#', 'g'), '[ \\t\\r]+', ' ', 'g')) as sig from {L})
-where sig <> '' group by doc, sig having count(distinct page) >= 3""")
+#: Four lines a page: the first stands in the upper margin, the last in the lower one.
+LAID = f"(select doc, text, (line - 1) // 4 as page, (line - 1) % 4 as k from {L})"
+
+
+@query(f"""with p as (select doc, count(distinct page) as n_pages from {LAID} group by doc)
+select doc, signature, count(*) as n from (select distinct doc, page, case k when 0 then 'top:' when 3 then 'bottom:' end || regexp_replace(regexp_replace(lower(trim(text, ' ')), '[0-9]+', '#', 'g'), '[ \\t\\r]+', ' ', 'g') as signature from {LAID} where k in (0, 3) and trim(text, ' ') <> '')
+join p using (doc) group by doc, signature, n_pages having count(*) >= greatest(3, ceil(n_pages * 0.6))""")
 def running_heads(spark, sf_dir):
-    return stats.running_heads(lines(spark, sf_dir).withColumn("page", F.floor((F.col("line") - 1) / 4)))
+    rows = lines(spark, sf_dir).withColumn("page", F.floor((F.col("line") - 1) / 4)).withColumn("baseline", 50.0 + (F.col("line") - 1) % 4 * 240)
+    rows = rows.withColumn("bottom", F.col("baseline") + 2).select("doc", "page", "text", "baseline", "bottom")
+    return structure.running(rows, rows.groupBy("doc", "page").agg(F.lit(800.0).alias("height")))
 
 
 @query(f"""select token, n, inside from (select regexp_extract(text, '^([^ \\t]{{1,2}})[ \\t]+[^ \\t]', 1) as token, count(*) as n from {L} group by 1) a join lateral
-(select count(*) as inside from {L} b where strpos(b.text, a.token) > 1) on true where token <> '' and not regexp_matches(token, '[A-Za-z0-9]') and n >= 3 and inside < n""")
+(select count(*) as inside from {L} b where strpos(substr(b.text, 2), a.token) > 0) on true where token <> '' and not regexp_matches(token, '[A-Za-z0-9]') and n >= 3 and inside < n""")
 def bullet_glyphs(spark, sf_dir):
     return stats.bullets(lines(spark, sf_dir))
 
@@ -212,7 +216,7 @@ WORD2 = r"list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: lengt
 
 
 @query(f"""select doc_id, n, garbled, fragments, n >= 60 and garbled >= 0.08 * n and fragments >= 0.08 * n as noisy from
-(select doc_id, len(w) as n, len(list_filter(w, lambda x: regexp_matches(x, '[0-9][A-Za-z]|[A-Za-z][0-9]|[|~^*#%&$]'))) as garbled, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]{{2}}$'))) as fragments from (select doc_id, {WORD2} as w from documents))""")
+(select doc_id, len(w) as n, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z][^A-Za-z0-9\\s''’-][A-Za-z]|[A-Za-z][0-9]|[0-9][A-Za-z]'))) as garbled, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]{{1,2}}$'))) as fragments from (select doc_id, {WORD2} as w from documents))""")
 def ocr_noise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.noise(F.col("text")).alias("s")).select("doc_id", "s.*")
 
@@ -224,31 +228,19 @@ def markdown_stats(spark, sf_dir):
     return rows.groupBy("doc").agg(F.count("*").alias("n_lines"), has("^#{1,6} ").alias("headings"), has("^- ").alias("bullets"), F.sum(F.size(text.words(F.col("text")))).alias("words"))
 
 
-CLASSES = [("blank", r"^[ \t\r]*$"), ("fence", r"^(```|~~~)"), ("rule", r"^ {0,3}(\*( *\*){2,}|-( *-){2,}|_( *_){2,}) *$"), ("heading", "^#{1,6} "), ("quote", "^ {0,3}>"), ("item", r"^ *([-*+]|[0-9]{1,9}[.)]) +"), ("table", r"\|")]
-
-
-@query("select doc, line, case " + " ".join(f"when regexp_matches(text, '{p}') then '{k}'" for k, p in CLASSES) + f" else 'text' end as class from {L}")
+@query("select doc, line, case " + " ".join(f"when regexp_matches(text, '{p}') then '{k}'" for k, p in markdown.PATTERNS.items()) + f" else 'text' end as class from {L}")
 def line_classes(spark, sf_dir):
-    out = F
-    for k, p in CLASSES:
-        out = out.when(F.col("text").rlike(p), k)
-    return lines(spark, sf_dir).select("doc", "line", out.otherwise("text").alias("class"))
-
+    return lines(spark, sf_dir).select("doc", "line", markdown.line_class(F.col("text")).alias("class"))
 
-@query(f"select doc, line, regexp_extract(text, '^ *([0-9]{{1,3}}|[a-z]|[ivxlcdm]{{1,5}})[.)] +', 1) as marker from {L} where regexp_matches(text, '^ *([0-9]{{1,3}}|[a-z]|[ivxlcdm]{{1,5}})[.)] +')")
-def list_markers(spark, sf_dir):
-    p = "^ *([0-9]{1,3}|[a-z]|[ivxlcdm]{1,5})[.)] +"
-    return lines(spark, sf_dir).where(F.col("text").rlike(p)).select("doc", "line", F.regexp_extract("text", p, 1).alias("marker"))
 
-
-@query(f"""select doc, line, case when ratio >= 1.6 then 1 when ratio >= 1.32 then 2 when ratio >= 1.15 then 3 when ratio >= 1.09 and w <= 8 then 4 when text = upper(text) and text <> lower(text) and w <= 8 then 4 else 0 end * (w <= 14)::int as level from
+@query(f"""select doc, line, case when ratio >= 1.6 then 1 when ratio >= 1.32 then 2 when ratio >= 1.15 then 3 when ratio >= 1.09 and w <= 8 then 3 when not regexp_matches(text, '[a-z]') and regexp_matches(text, '[A-Z]{{3}}') and w <= 8 then 4 else 0 end * (w <= 14)::int as level from
 (select *, length(text) / 100.0 as ratio, len({WORDS.format('text')}) as w from {L})""")
 def heading_levels(spark, sf_dir):
     rows = lines(spark, sf_dir).withColumn("ratio", F.length("text") / 100.0)
     return rows.select("doc", "line", text.heading_level(F.col("text"), F.col("ratio")).alias("level"))
 
 
-@query(f"""select doc, line, case when regexp_matches(text, '[a-z]-$') and regexp_matches(after, '^[a-z]') then regexp_replace(text, '-$', '') || after else text || ' ' || after end as joined from (select *, lead(text) over (partition by doc order by line) as after from {L}) where after is not null""")
+@query(f"""select doc, line, case when regexp_matches(text, '\\p{{Ll}}[-‐]$') and regexp_matches(after, '^\\p{{Ll}}') then regexp_replace(text, '[-‐]$', '') || after else text || ' ' || after end as joined from (select *, lead(text) over (partition by doc order by line) as after from {L}) where after is not null""")
 def dehyphenate(spark, sf_dir):
     rows = lines(spark, sf_dir).withColumn("after", F.lead("text").over(Window.partitionBy("doc").orderBy("line"))).where("after is not null")
     return rows.select("doc", "line", text.dehyphenated(F.col("text"), F.col("after")).alias("joined"))
@@ -260,27 +252,26 @@ def expand_template(spark, sf_dir):
     return rows.select("file", "page", text.expanded("{{x}} file {Filename}, { page }/{pages} {other}", {"filename": F.col("file"), "page": F.col("page"), "pages": F.col("n_pages")}).alias("text"))
 
 
-@query(r"""select p_partkey, case when s = '' then 'file' else s end as name from (select p_partkey, trim(regexp_replace(regexp_replace(p_name, '[<>:"/\\|?*]', '', 'g'), '[. ]+$', '')) as s from part)""")
+@query("select p_partkey, trim(p_name) || '.pdf' as name from part")
 def safe_filename(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.safe_filename(F.col("p_name")).alias("name"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.safe_filename(F.col("p_name"), F.lit("pdf")).alias("name"))
 
 
-@query("select p_partkey, case when k = 1 then p_type else k || ' - ' || p_type end as name from (select p_partkey, p_type, row_number() over (partition by lower(p_type) order by p_partkey) as k from part)")
-def name_series(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy(F.lower("p_type")).orderBy("p_partkey"))
-    return table(spark, sf_dir, "part").withColumn("k", k).select("p_partkey", F.when(F.col("k") == 1, F.col("p_type")).otherwise(F.concat(F.col("k").cast("string"), F.lit(" - "), F.col("p_type"))).alias("name"))
+ENDS = r"regexp_replace({0}, '^[.\-]+|[.\-]+$', '', 'g')"
+CLEAN = ENDS.format(r"""regexp_replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '[\\/:*?"<>|]', '-', 'g'), '\s+', ' ', 'g')), ' ', '-'), '-{{2,}}', '-', 'g')""".replace("{{", "{").replace("}}", "}"))
 
 
-@query(r"select doc_id, substr(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) as slug from documents")
+@query(f"""select doc_id, case when regexp_matches(lower(slug), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') then '' else slug end as slug from
+(select doc_id, {ENDS.format("case when length(c) > 60 and contains(h, '-') and length(regexp_replace(h, '-[^-]*$', '')) > 24 then regexp_replace(h, '-[^-]*$', '') else h end")} as slug from (select doc_id, c, substr(c, 1, 60) as h from (select doc_id, {CLEAN} as c from documents)))""")
 def title_slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("""select c_custkey, bits, case when bits < 40 then 'weak' when bits < 60 then 'fair' when bits < 80 then 'good' else 'strong' end as strength from (select c_custkey, floor(least(1.0, (u + 2) / n) * n * log2(greatest(a, 2)) + 0.5)::bigint as bits from
+@query("""select c_custkey, bits, case when bits < 40 then 'Weak' when bits < 60 then 'Fair' when bits < 80 then 'Strong' else 'Very strong' end as strength from (select c_custkey, floor(least(1.0, (u + 2) / n) * n * log2(greatest(a, 2)) + 0.5)::bigint as bits from
 (select c_custkey, length(c_name)::double as n, len(list_distinct(string_split(c_name, ''))) as u, regexp_matches(c_name, '[a-z]')::int * 26 + regexp_matches(c_name, '[A-Z]')::int * 26 + regexp_matches(c_name, '[0-9]')::int * 10 + regexp_matches(c_name, '[^A-Za-z0-9]')::int * 32 as a from customer))""")
 def password_bits(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", text.entropy_bits(F.col("c_name")).alias("bits"))
-    return rows.withColumn("strength", F.when(F.col("bits") < 40, "weak").when(F.col("bits") < 60, "fair").when(F.col("bits") < 80, "good").otherwise("strong"))
+    return rows.withColumn("strength", text.strength(F.col("bits")))
 
 
 @query("""select doc_id, case when b >= 1048576 then case when b / 1048576.0 >= 10 then floor(b / 1048576.0 + 0.5)::bigint::varchar else replace(printf('%.1f', floor(b / 104857.6 + 0.5) / 10), '.0', '') end || ' MB' when b >= 1024 then floor(b / 1024.0 + 0.5)::bigint || ' KB' else b || ' bytes' end as size from (select doc_id, n_chars * (1 + doc_id % 900) as b from documents)""")
@@ -288,11 +279,9 @@ def human_bytes(spark, sf_dir):
     return table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars * (1 + doc_id % 900) b").select("doc_id", cells.human_bytes(F.col("b")).alias("size"))
 
 
-@query("select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) as host, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) in ('http', 'https') and regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1) <> '' as allowed from pages")
+@query("select page_id, case when not regexp_matches(url, '^https?://') then 'scheme' when not regexp_matches(url, '^https?://[^/:?#]+') then 'host' end as refusal from pages")
 def url_guard(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages")
-    scheme, host = (F.lower(F.regexp_extract("url", p, 1)) for p in ("^([A-Za-z][A-Za-z0-9+.-]*)://", "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)"))
-    return rows.select("page_id", scheme.alias("scheme"), host.alias("host"), (scheme.isin("http", "https") & (host != "") & ~text.private_address(host)).alias("allowed"))
+    return table(spark, sf_dir, "pages").select("page_id", secure.url_refusal(F.col("url")).alias("refusal"))
 
 
 @query("select page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, '<a [^>]*href')) as links from pages")
@@ -326,7 +315,7 @@ def raw_cells(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", raw.alias("raw"))
 
 
-TYPED = f"""(select r.o_orderkey, raw, case k when 0 then 'number' when 1 then 'number' when 2 then 'percent' when 4 then 'date' when 5 then 'ambiguous' else 'text' end as kind,
+TYPED = f"""(select r.o_orderkey, raw, case k when 0 then 'number' when 1 then 'number' when 2 then 'percent' when 4 then 'date' when 5 then 'ambiguous-date' else 'text' end as kind,
 case k when 0 then round(o_totalprice, 2) when 1 then -r.o_orderkey when 2 then ((r.o_orderkey % 1000) / 10.0)::double / 100 when 4 then date_diff('day', date '1899-12-30', o_orderdate::date) end::double as value from {RAW} r join orders o on o.o_orderkey = r.o_orderkey)"""
 
 
@@ -347,11 +336,10 @@ def column_widths(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.greatest(F.least(F.max(F.length("p_name")) + 2, F.lit(48)), F.lit(9)).cast("long").alias("width"))
 
 
-@query("select o_orderkey, format('{:,.2f}', o_totalprice) as grouped, printf('%.0f%%', floor(o_totalprice / 1000 + 0.5)) as percent, printf('%.1f', floor(o_totalprice / 100 + 0.5) / 10) || 'K' as scaled from orders")
+@query("select o_orderkey, format('{:,.2f}', o_totalprice) as grouped, printf('%.0f%%', o_totalprice * 100) as percent, printf('%.1f', o_totalprice / 1000) || 'K' as scaled from orders")
 def excel_formats(spark, sf_dir):
-    x = F.col("o_totalprice")
-    tenth = F.floor(x / 100 + 0.5) / 10
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.format_number(x, 2).alias("grouped"), F.concat(F.floor(x / 1000 + 0.5).cast("string"), F.lit("%")).alias("percent"), F.concat(F.format_string("%.1f", tenth), F.lit("K")).alias("scaled"))
+    shown = lambda code: formats.formatted(F.col("o_totalprice"), F.lit(code))
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown("#,##0.00").alias("grouped"), shown("0%").alias("percent"), shown('0.0,"K"').alias("scaled"))
 
 
 @query("select o_orderkey, date_diff('day', date '1899-12-30', o_orderdate::date) as serial, (date '1899-12-30' + (o_orderkey % 60000)::int)::date as day from orders")
@@ -367,7 +355,7 @@ def pdf_date_format(spark, sf_dir):
 @query("select event_id, year(ts) as year, month(ts) as month, day(ts) as day, case event_id % 3 when 0 then 120 when 1 then 0 end as offset_minutes from events")
 def pdf_date_parse(spark, sf_dir):
     raw = F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMdd"), F.when(F.col("event_id") % 3 == 0, "093000+02'00'").when(F.col("event_id") % 3 == 1, "093000Z").otherwise(""))
-    return table(spark, sf_dir, "events").select("event_id", text.pdf_date_parts(raw).alias("d")).select("event_id", "d.*")
+    return table(spark, sf_dir, "events").select("event_id", dates.stored(raw).alias("d")).selectExpr("event_id", *(f"cast(d.{c} as long) {c}" for c in ("year", "month", "day")), "cast(d.offset as long) offset_minutes")
 
 
 @query("select n_nationkey, case when n_nationkey < 26 then chr(65 + n_nationkey) end as one, chr(65 + n_nationkey % 26) as last from nation")
@@ -414,11 +402,6 @@ def content_dedupe(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("select p_size, min(p_partkey) as x0, max(p_partkey) as x1, round(min(p_retailprice), 4) as y0, round(max(p_retailprice), 4) as y1 from part group by p_size")
-def uniform_crop_box(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_size").agg(F.min("p_partkey").alias("x0"), F.max("p_partkey").alias("x1"), F.round(F.min("p_retailprice"), 4).alias("y0"), F.round(F.max("p_retailprice"), 4).alias("y1"))
-
-
 TOP = f"(select doc, line, line * 14.0 + (line // 6) * 30 as top, line * 14.0 + (line // 6) * 30 + 11 as bottom, length(text) as w from {L})"
 
 
@@ -443,11 +426,10 @@ def catalogue_search(spark, sf_dir):
     return rows.where(F.col("s").contains("steel") | F.col("s").contains("small")).orderBy("p_partkey").limit(7).select("p_partkey", "p_name")
 
 
-@query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events where ts >= timestamp '1990-01-01') where k = 1")
+@query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events where ts between timestamp '2024-01-15 00:00:00' and timestamp '2024-01-15 12:00:00') where k = 1")
 def handoff_ttl(spark, sf_dir):
-    from ..streaming.state import claimable
-
-    return claimable(table(spark, sf_dir, "events"), "1990-01-01").select("user_id", "event_id", "ts")
+    rows = table(spark, sf_dir, "events").selectExpr("user_id key", "event_id id", "ts at")
+    return records.claimed(rows, "2024-01-15 12:00:00", 12).selectExpr("key user_id", "id event_id", "at ts")
 
 
 @query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
@@ -455,27 +437,20 @@ def latest_request(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
 
 
-@query("with recursive t as (select n_nationkey as node, n_regionkey as parent, 0 as depth from nation union all select t.node, null, t.depth + 1 from t where t.parent is not null and t.depth < 3) select node, max(depth) as depth from t group by node")
-def outline_depth(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("parent"))
-    return rows.select("node", F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+LIGHT = "case when {0} <= 0.04045 then {0} / 12.92 else pow(({0} + 0.055) / 1.055, 2.4) end"
 
 
-@query(f"select vec, i, round(0.2126 * r + 0.7152 * g + 0.0722 * b, 6) as grey from (select vec, i, pow(abs(v), 2.2) as r, pow(abs(lag(v, 1, 0.0) over w), 2.2) as g, pow(abs(lead(v, 1, 0.0) over w), 2.2) as b from {S} window w as (partition by vec order by i))")
+@query(f"""select vec, i, round(case when y <= 0.0031308 then y * 12.92 else 1.055 * pow(y, 1 / 2.4) - 0.055 end, 6) as grey from (select vec, i, 0.2126 * ({LIGHT.format('r')}) + 0.7152 * ({LIGHT.format('g')}) + 0.0722 * ({LIGHT.format('b')}) as y
+from (select vec, i, least(abs(v), 1) as r, least(abs(lag(v, 1, 0.0) over w), 1) as g, least(abs(lead(v, 1, 0.0) over w), 1) as b from {S} window w as (partition by vec order by i)))""")
 def luminance(spark, sf_dir):
     w = Window.partitionBy("vec").orderBy("i")
-    light = lambda c: F.pow(F.abs(c), F.lit(2.2))
-    grey = 0.2126 * light(F.col("v")) + 0.7152 * light(F.lag("v", 1, 0.0).over(w)) + 0.0722 * light(F.lead("v", 1, 0.0).over(w))
-    return signal(spark, sf_dir).select("vec", "i", F.round(grey, 6).alias("grey"))
-
-
-RIGHTS = [(4, "print"), (8, "change"), (16, "copy"), (32, "annotate"), (256, "fill"), (512, "read"), (1024, "assemble")]
+    rows = signal(spark, sf_dir).select("vec", "i", F.abs("v").alias("r"), F.abs(F.lag("v", 1, 0.0).over(w)).alias("g"), F.abs(F.lead("v", 1, 0.0).over(w)).alias("b"))
+    return rows.select("vec", "i", F.round(media.luminance(F.col("r"), F.col("g"), F.col("b")), 6).alias("grey"))
 
 
-@query("select event_id, " + " || ".join(f"case when (event_id & {b}) = 0 then '{n} ' else '' end" for b, n in RIGHTS) + " as lifted from events")
+@query("select event_id, array_to_string(list_filter([" + ", ".join(f"case when (event_id & {b}) = 0 then '{n}' end" for b, n in secure.RIGHTS) + ", case when (event_id & 4) <> 0 and (event_id & 2048) = 0 then 'printing at full resolution' end], lambda x: x is not null), ', ') as lifted from events")
 def permission_bits(spark, sf_dir):
-    bit = lambda b, n: F.when(F.col("event_id").bitwiseAND(b) == 0, f"{n} ").otherwise("")
-    return table(spark, sf_dir, "events").select("event_id", F.concat(*(bit(b, n) for b, n in RIGHTS)).alias("lifted"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(secure.lifted(F.col("event_id")), ", ").alias("lifted"))
 
 
 @query()
