@@ -292,6 +292,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
 
 #: Words that a suffix can be extended to the left.
 LEFT = LENGTH - GRAM
+#: Words by which the ranges are parted; fewer than GRAM, so that a beginning is in one.
+RANGED = 8
 ROW = "doc_id long, first int, offset int, count int, words binary, before binary"
 
 
@@ -381,7 +383,7 @@ def in_array(docs: DataFrame, chosen: DataFrame, buckets: int) -> DataFrame:
             yield dealt(compared(*held), "doc_id", buckets, SPANS)
 
     rows = array_rows(docs, chosen)
-    return rows.repartitionByRange(buckets, F.expr(f"substring(words, 1, {8 * GRAM})")).sortWithinPartitions("words", "doc_id", "first").mapInArrow(run, DEALT)
+    return rows.repartitionByRange(buckets, F.expr(f"substring(words, 1, {8 * RANGED})")).sortWithinPartitions("words", "doc_id", "first").mapInArrow(run, DEALT)
 
 
 def windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
