@@ -17,19 +17,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is named."""
+    """The folder that all executors share. Where none is named, a local one will do on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = kept.get() if kept.isDefined() else None
-    return (named or "file:///tmp/sheafwork-checkpoints").rstrip("/")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file:///tmp/sheafwork-checkpoints"
+    return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sheafwork-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -43,7 +47,8 @@ def discard(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files whose DataFrames are gone."""
+    """Let the context cleaner remove shuffle files whose DataFrames are gone: their rows are in the shared folder by now,
+    so nothing that is still to be computed needs them. Else they stay until the driver happens to collect its garbage."""
     import gc
 
     gc.collect()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import avi, hpy, licences, neardup, packing, quality, sketch, suffixes, warc
 from .bpe import encode_decode
-from .common import documents, materialise, parts
+from .common import documents, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,8 +47,8 @@ def op8_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as two WARC replicas, the second cut into other segments, with bit rot in one record of 64 and one of
     512 lost: what the audit finds."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    stored = materialise(warc.segments(pages), "segments")
-    other = materialise(warc.segments(pages.repartition(parts(spark)), warc.bit_rot()), "segments")
+    stored = materialise(warc.segments(pages), "segments", "zstd")
+    other = materialise(warc.segments(pages, warc.bit_rot(), warc.SEGMENT // 3), "segments", "zstd")
     ours = warc.replica(stored)
     return warc.audit(ours, warc.replica(other, len(ours.nodes) - 1))
 

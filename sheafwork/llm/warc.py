@@ -94,8 +94,9 @@ def bit_rot(flipped: int = 64, lost: int = 512) -> Damage:
 SEGMENTS = "segment long, data binary, ids array<long>, ends array<long>"
 
 
-def segments(pages: DataFrame, damage: Damage | None = None) -> DataFrame:
-    """The stored files of one replica, after `damage` if there was any: segment, data, and the index as ids and ends."""
+def segments(pages: DataFrame, damage: Damage | None = None, size: int = SEGMENT) -> DataFrame:
+    """The stored files of one replica, of about `size` bytes each, after `damage` if there was any: segment, data, and
+    the index as ids and ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 32, 0
@@ -117,7 +118,7 @@ def segments(pages: DataFrame, damage: Damage | None = None) -> DataFrame:
                 stored = damage(k, data) if damage else data
                 if stored is None:
                     continue
-                if ends and ends[-1] + len(stored) > SEGMENT:
+                if ends and ends[-1] + len(stored) > size:
                     yield done()
                 held.append(stored)
                 ids.append(k)
