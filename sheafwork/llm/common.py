@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = kept.get() if kept.isDefined() else None
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file:///tmp/sheafwork-checkpoints"
     return named.rstrip("/")

@@ -23,13 +23,15 @@ probability is its mean over them.
 Random numbers are hashes of the word, the context and the sweep, and sums over buckets are sums of integers, so the
 scores don't depend on how rows are partitioned.
 
-The texts are dealt into blocks. A block asks for the pairs (context, word) it holds, with their training counts; pairs
-are dealt to buckets by their word, where counts over all blocks meet, so a frequent context is spread over all buckets
-and a frequent word is one entry for each context and block. Each sweep sends the tables of a context to the bucket of
-the context as a word, which adds them up and answers in the order it was asked, without keys. In the end each block
-gets the figures of its pairs and contexts back. No table of all words or contexts is ever in one place; to the driver
-go four integers a bucket. Customers of a context are as many as its tokens, for each text's end is the context of its
-beginning. Words are told apart by a 64-bit hash.
+The texts are read once, into blocks that hold their distinct words (by frequency) and their tokens as numbers of these.
+Words are dealt to buckets by their hash; a bucket numbers its words, and a word's number everywhere is its bucket and
+its place there. A block asks for the pairs (context, word) it holds, with their training counts; pairs are dealt to
+the buckets of their words, where counts over all blocks meet, so a frequent context is spread over all buckets and a
+frequent word is one entry for each context and block. Each sweep sends the tables of a context to the bucket of the
+context as a word, which adds them up, draws its gamma variable and answers in the order it was asked, without keys. In
+the end each block gets the figures of its pairs and contexts back. No table of all words or contexts is ever in one
+place; to the driver go four integers a bucket. Customers of a context are as many as its tokens, for each text's end is
+the context of its beginning. Words are told apart by a 64-bit hash.
 
 Rows of scores(): one for each row of the input; further columns, whatever their names, are left out. Null text: empty,
 the end alone. Null doc_id: crc32 of the empty text, so in training. Repeated rows are counted and scored each. Very
@@ -79,32 +81,32 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def hashes_of(text: str) -> np.ndarray:
-    """The hashes of its tokens, after that of an end."""
+    """The hashes of its tokens."""
     words = text.encode().translate(LOWER).split()
-    h = np.empty(len(words) + 2, np.uint64)
-    h[0] = h[-1] = END
-    h[1:-1] = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.empty(len(words) + 1, np.uint64)
+    h[-1] = END
+    h[:-1] = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     return h
 
 
+def homes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
+
+
 class Pairs:
     """What the texts of a block hold: its words by bucket and hash, and its pairs by word and context in that order.
-    `at` has the pair of each token, text by text."""
+    `at` has the pair of each token. hashes: the distinct words; tokens: their numbers, text by text, each text with its
+    end, so that the token before a text's first is an end as well."""
 
-    def __init__(self, gathered: list[np.ndarray], buckets: int):
-        hashes, at = np.unique(np.concatenate(gathered), return_inverse=True)
-        bucket = ((hashes >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+    def __init__(self, hashes: np.ndarray, tokens: np.ndarray, buckets: int):
+        bucket = homes(hashes, buckets)
+        order = np.lexsort((hashes, bucket))
         self.words = hashes[order]
         self.word_ends = np.cumsum(np.bincount(bucket, minlength=buckets))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        at = place[at]
-        # a text's first token has no context, and the pair across texts is none
-        first = np.zeros(len(at), bool)
-        first[np.cumsum([0, *map(len, gathered[:-1])])] = True
-        codes = (at[1:] * len(hashes) + at[:-1])[~first[1:]]
-        pairs, self.at = np.unique(codes, return_inverse=True)
+        at = place[tokens]
+        pairs, self.at = np.unique(at * len(hashes) + np.concatenate((at[-1:], at[:-1])), return_inverse=True)
         self.word, self.context = pairs // len(hashes), pairs % len(hashes)
         self.ends = np.searchsorted(self.word, self.word_ends)
 
@@ -171,13 +173,18 @@ def parent_draws(guests: np.ndarray, words: np.ndarray, sweep: int) -> np.ndarra
     return np.maximum(gamma(guests - TOP_DISCOUNT, words, 2 * sweep) * UNIT, 1).astype(np.int64)
 
 
-def swept(word: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, words: np.ndarray, contexts: np.ndarray, of_context: np.ndarray, whole: int, sweep: int) -> np.ndarray:
+def rates(tables: np.ndarray, contexts: np.ndarray, sweep: int) -> np.ndarray:
+    """Of each context (its hash, its tables everywhere) its gamma variable, in 32 bits to be sent about."""
+    return gamma(STRENGTH / DISCOUNT + tables, contexts, 2 * sweep + 1).astype(np.float32)
+
+
+def swept(word: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, words: np.ndarray, rate: np.ndarray, whole: int, sweep: int) -> np.ndarray:
     """The tables of each pair (number of the word, number of the context, customers, tables before) after a sweep.
-    of_context: the tables of each context, everywhere; whole: the sum of all parent_draws() and the unknown word's."""
+    rate: of each context, rates(); whole: the sum of all parent_draws() and the unknown word's. The pair's random number
+    is a hash of the word and of the rate, which is one of the context."""
     chance = parent_draws(np.bincount(word, tables, len(words)), words, sweep) / whole
-    rate = gamma(STRENGTH / DISCOUNT + of_context, contexts, 2 * sweep + 1)
-    keys = mixed(words)[word] + contexts[context] * np.uint64(0x9E3779B97F4A7C15)
-    return tables_of(count, 4 * DISCOUNT * chance[word] * rate[context], uniform(keys, sweep << 40))
+    keys = mixed(words)[word] ^ mixed(rate.view(np.uint32).astype(np.uint64))[context]
+    return tables_of(count, 4 * DISCOUNT * chance[word] * rate.astype(float)[context], uniform(keys, sweep << 40))
 
 
 def unknown_draw(vocabulary: int, sweep: int) -> int:
@@ -203,67 +210,111 @@ def unpacked_keys(data: pa.Buffer) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-def sealed(batch: pa.RecordBatch) -> bytes:
-    """Rows as a compressed Arrow stream: a third of their size on disk and between executors."""
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        stream.write_batch(batch)
-    return out.getvalue().to_pybytes()
-
-
-def opened(data: pa.Buffer) -> Iterator[tuple[int | None, str]]:
-    """(doc_id, text) of sealed rows."""
-    for batch in pa.ipc.open_stream(data):
-        yield from zip(batch.column("doc_id").to_pylist(), texts(batch))
+BLOCKS = "block long, words binary, tokens binary, lengths binary, ids array<long>"
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """block, rows: sealed pieces of about a megabyte, in blocks of about BLOCK bytes."""
+    """Texts in blocks of about BLOCK bytes: the hashes of their distinct words, the most frequent first, their tokens as
+    numbers of these, the tokens of each text, and the ids."""
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    kinds = [pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, size = TaskContext.get().partitionId() << 32, 0
+        use(HASHES)
+        block, size = TaskContext.get().partitionId() << 32, 0
+        ids: list[int | None] = []
+        gathered: list[np.ndarray] = []
+
+        def done() -> pa.RecordBatch:
+            nonlocal block, size
+            hashes, tokens, times = np.unique(np.concatenate(gathered), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            out = as_batch((block, hashes[order].tobytes(), packed(number[tokens]), packed(np.array(list(map(len, gathered)))), list(ids)), kinds, names)
+            ids.clear()
+            gathered.clear()
+            block, size = block + 1, 0
+            return out
+
         for batch in by_bytes(batches, most=1 << 20):
-            size += pa.compute.sum(pa.compute.binary_length(batch.column("text"))).as_py() or 0
-            yield pa.RecordBatch.from_arrays([pa.array([base + size // BLOCK], pa.int64()), pa.array([sealed(batch)], pa.binary())], ["block", "rows"])
+            for k, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+                ids.append(k)
+                gathered.append(hashes_of(text))
+                size += 8 * len(gathered[-1])
+            if size >= BLOCK:
+                yield done()
+        if ids:
+            yield done()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "block long, rows binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, BLOCKS)
 
 
-def requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, words, contexts, pairs, counts: the pairs that a block holds (the number of the word times the
-    contexts, and the number of the context) and their counts in its training texts."""
+def of_block(words: bytes, tokens: bytes, lengths: bytes, buckets: int) -> tuple[Pairs, np.ndarray]:
+    return Pairs(np.frombuffer(words, np.uint64), unpacked(tokens).astype(np.int64), buckets), unpacked(lengths).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use(HASHES)
-        now, gathered, training = None, [], []
 
-        def ask() -> Iterator[pa.RecordBatch]:
-            own = Pairs(gathered, buckets)
-            counts = np.bincount(own.at, np.repeat(training, [len(g) - 1 for g in gathered]), len(own.word)).astype(np.int64)
-            gathered.clear()
-            training.clear()
-            rows = []
-            for k, (a, b, c, d) in enumerate(zip([0, *own.ends], own.ends, [0, *own.word_ends], own.word_ends)):
+NUMBERED = "block long, bucket long, data binary"
+
+
+def dictionary(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Rows without a block: the words of a bucket, sorted. Rows with one: the places among them of the block's words."""
+    names, kinds = ["block", "bucket", "data"], [pa.int64(), pa.int64(), pa.binary()]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words in rows_of(batches, ["block", "words"]):
+            hashes = np.frombuffer(words, np.uint64)
+            home = homes(hashes, buckets)
+            order = np.lexsort((hashes, home))
+            ends = np.cumsum(np.bincount(home, minlength=buckets)).tolist()
+            for k, (a, b) in enumerate(zip([0, *ends], ends)):
+                if b > a:
+                    yield as_batch((block, k, packed_keys(hashes[order[a:b]])), kinds, names)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (blocks, data) in by_bucket(batches, ["block", "data"]):
+            own = [unpacked_keys(x) for x in data]
+            every, at = np.unique(np.concatenate(own), return_inverse=True)
+            yield as_batch((None, bucket, packed_keys(every)), kinds, names)
+            start = 0
+            for block, w in zip(blocks, own):
+                yield as_batch((block, bucket, packed_keys(at[start : start + len(w)].astype(np.uint64))), kinds, names)
+                start += len(w)
+
+    asked = blocks.select("block", "words").mapInArrow(ask, NUMBERED)
+    return asked.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block").mapInArrow(answer, NUMBERED)
+
+
+REQUESTS = "block long, bucket long, words binary, times binary, contexts binary, counts binary"
+
+
+def requests(blocks: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
+    """The pairs that a block holds, by the bucket of the word: the words' places in the bucket, how many pairs each has,
+    the numbers of the pairs' contexts (place times buckets and bucket) and their counts in training texts."""
+    names, kinds = [x.split()[0] for x in REQUESTS.split(", ")], [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: list[tuple[int, np.ndarray]] = []
+        for block, bucket, data, words, tokens, lengths, ids in rows_of(batches, ["block", "bucket", "data", "words", "tokens", "lengths", "ids"]):
+            if data is not None:
+                places.append((bucket, unpacked_keys(data).astype(np.int64)))
+                continue
+            own, n = of_block(words, tokens, lengths, buckets)
+            number = np.concatenate([p * buckets + k for k, p in places])
+            counts = np.bincount(own.at, np.repeat([not held_out(k) for k in ids], n), len(own.word)).astype(np.int64)
+            times = np.bincount(own.word, minlength=len(own.words))
+            spans = dict(zip((k for k, _ in places), (p for _, p in places)))
+            a = c = 0
+            for k, (b, d) in enumerate(zip(own.ends.tolist(), own.word_ends.tolist())):
                 if d > c:
-                    contexts, at = np.unique(own.words[own.context[a:b]], return_inverse=True)
-                    codes = (own.word[a:b] - c) * max(len(contexts), 1) + at
-                    order = np.argsort(codes)  # contexts are now in the order of their hashes
-                    rows.append((now, k, packed_keys(own.words[c:d]), packed_keys(contexts), packed_keys(codes[order].astype(np.uint64)), packed(counts[a:b][order])))
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["block", "bucket", "words", "contexts", "pairs", "counts"])
-
-        for batch in batches:
-            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows")):
-                if gathered and block != now:
-                    yield from ask()
-                now = block
-                for k, text in opened(rows.as_buffer()):
-                    gathered.append(hashes_of(text))
-                    training.append(not held_out(k))
-        if gathered:
-            yield from ask()
-
-    return blocks.mapInArrow(run, "block long, bucket long, words binary, contexts binary, pairs binary, counts binary")
+                    yield as_batch((block, k, packed_keys(spans[k].astype(np.uint64)), packed(times[c:d]), packed(number[own.context[a:b]]), packed(counts[a:b])), kinds, names)
+                a, c = b, d
+            places = []
+
+    rows = [f"cast(null as {t}) {c}" for c, t in (("words", "binary"), ("tokens", "binary"), ("lengths", "binary"), ("ids", "array<long>"))]
+    both = numbers.where("block is not null").selectExpr("block", "bucket", "data", *rows)
+    both = both.union(blocks.selectExpr("block", f"cast({buckets} as long)", "cast(null as binary)", "words", "tokens", "lengths", "ids"))
+    return both.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, REQUESTS)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[list]]]:
@@ -280,102 +331,113 @@ def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[t
         yield now, list(map(list, zip(*held)))
 
 
-#: What passes from sweep to sweep. STATE: of a bucket its words, contexts, pairs (the number of the word times the
-#: contexts, and the number of the context), their counts and tables, line by line for the sweeps that are kept, the
-#: present one last. TABLES: for the bucket of the contexts `contexts`, their tables in the bucket `source`; and back,
-#: in the same order. TOTALS: of a bucket words, tokens, customers at the top and parent_draws() for the next sweep.
+#: What passes from sweep to sweep. STATE: of a bucket its words and their places, the numbers of its contexts, its pairs
+#: (the number of the word here times the contexts, and that of the context), their counts and tables, line by line for
+#: the sweeps that are kept, the present one last. TABLES: for the bucket of the contexts with the places `contexts`,
+#: their tables in the bucket `source`; and back, in the same order, their rates. TOTALS: of a bucket words, tokens,
+#: customers at the top and parent_draws() for the next sweep.
 STATE, TABLES, TOTALS = 0, 1, 2
-SEATED = "kind int, bucket long, source long, words binary, contexts binary, pairs binary, counts binary, tables binary, totals array<long>"
+SEATED = "kind int, bucket long, source long, words binary, places binary, contexts binary, pairs binary, counts binary, tables binary, totals array<long>"
 NAMES = [x.split()[0] for x in SEATED.split(", ")]
-KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64())]
+KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
 
 
 def as_batch(row: tuple, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
 
 
-def homes(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
-
-
 class State:
     """The training pairs of a bucket."""
 
-    def __init__(self, words: np.ndarray, contexts: np.ndarray, codes: np.ndarray, count: np.ndarray, lines: np.ndarray):
-        self.words, self.contexts, self.codes, self.count, self.lines = words, contexts, codes, count, lines
+    def __init__(self, words: np.ndarray, places: np.ndarray, contexts: np.ndarray, codes: np.ndarray, count: np.ndarray, lines: np.ndarray):
+        self.words, self.places, self.contexts, self.codes, self.count, self.lines = words, places, contexts, codes, count, lines
         self.word, self.context = codes // max(len(contexts), 1), codes % max(len(contexts), 1)
 
     @classmethod
-    def read(cls, words, contexts, pairs, counts, tables) -> State:
-        codes = unpacked_keys(pairs).astype(np.int64)
+    def read(cls, words, places, contexts, pairs, counts, tables) -> State:
+        codes, places, contexts = (unpacked_keys(x).astype(np.int64) for x in (pairs, places, contexts))
         lines = unpacked(tables).astype(np.int64).reshape(-1, len(codes)) if len(codes) else np.zeros((1, 0), np.int64)
-        return cls(unpacked_keys(words), unpacked_keys(contexts), codes, unpacked(counts).astype(np.int64), lines)
+        return cls(unpacked_keys(words), places, contexts, codes, unpacked(counts).astype(np.int64), lines)
 
     def guests(self, line: int) -> np.ndarray:
         """Of each word its customers at the top."""
         return np.bincount(self.word, self.lines[line], len(self.words)).astype(np.int64)
 
     def rows(self, bucket: int, buckets: int, sweep: int) -> Iterator[pa.RecordBatch]:
-        yield as_batch((STATE, bucket, None, packed_keys(self.words), packed_keys(self.contexts), packed_keys(self.codes.astype(np.uint64)), packed(self.count), packed(self.lines.ravel()), None), KINDS, NAMES)
-        of_context, home = np.bincount(self.context, self.lines[-1], len(self.contexts)).astype(np.int64), homes(self.contexts, buckets)
-        for k in np.unique(home).tolist():
-            yield as_batch((TABLES, k, bucket, None, packed_keys(self.contexts[home == k]), None, None, packed(of_context[home == k]), None), KINDS, NAMES)
+        keys = [packed_keys(x.astype(np.uint64)) for x in (self.words, self.places, self.contexts, self.codes)]
+        yield as_batch((STATE, bucket, None, *keys, packed(self.count), packed(self.lines.ravel()), None), KINDS, NAMES)
+        of_context, home = np.bincount(self.context, self.lines[-1], len(self.contexts)).astype(np.int64), self.contexts % buckets
+        order = np.argsort(home, kind="stable")
+        ends = np.cumsum(np.bincount(home, minlength=buckets)).tolist()
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            if b > a:
+                chosen = order[a:b]
+                yield as_batch((TABLES, k, bucket, None, None, packed_keys((self.contexts[chosen] // buckets).astype(np.uint64)), None, None, packed(of_context[chosen]), None), KINDS, NAMES)
         guests = self.guests(-1)
         totals = [len(self.words), int(self.count.sum()), int(guests.sum()), int(parent_draws(guests, self.words, sweep + 1).sum())]
-        yield as_batch((TOTALS, bucket, None, None, None, None, None, None, totals), KINDS, NAMES)
+        yield as_batch((TOTALS, bucket, *[None] * 7, totals), KINDS, NAMES)
 
 
-def first_state(asked: DataFrame, buckets: int) -> DataFrame:
+def first_state(asked: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
     """The pairs that training texts hold, over all blocks, each dish at one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, columns in by_bucket(batches, ["words", "contexts", "pairs", "counts"]):
-            words, contexts, codes, counts = [], [], [], []
-            for w, c, p, n in zip(*columns):
-                w, c, p, n = unpacked_keys(w), unpacked_keys(c), unpacked_keys(p).astype(np.int64), unpacked(n).astype(np.int64)
-                p, n = p[n > 0], n[n > 0]
-                words.append(w[p // max(len(c), 1)])
-                contexts.append(c[p % max(len(c), 1)])
-                counts.append(n)
-            every, word = np.unique(np.concatenate(words), return_inverse=True)
-            every_context, context = np.unique(np.concatenate(contexts), return_inverse=True)
-            if len(every):
-                codes, at = np.unique(word * len(every_context) + context, return_inverse=True)
+        for bucket, (_, *columns) in by_bucket(batches, ["block", "words", "times", "contexts", "counts"]):
+            words = unpacked_keys(columns[0][0])
+            places, contexts, counts = [], [], []
+            for w, t, c, n in zip(*(x[1:] for x in columns)):
+                n = unpacked(n).astype(np.int64)
+                places.append(np.repeat(unpacked_keys(w).astype(np.int64), unpacked(t).astype(np.int64))[n > 0])
+                contexts.append(unpacked(c).astype(np.int64)[n > 0])
+                counts.append(n[n > 0])
+            seen, word = np.unique(np.concatenate(places), return_inverse=True)
+            every, context = np.unique(np.concatenate(contexts), return_inverse=True)
+            if len(seen):
+                codes, at = np.unique(word * len(every) + context, return_inverse=True)
                 count = np.bincount(at, np.concatenate(counts), len(codes)).astype(np.int64)
-                yield from State(every, every_context, codes, count, np.ones((1, len(codes)), np.int64)).rows(bucket, buckets, 0)
+                yield from State(words[seen], seen, every, codes, count, np.ones((1, len(codes)), np.int64)).rows(bucket, buckets, 0)
 
-    return asked.select("bucket", "block", "words", "contexts", "pairs", "counts").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block").mapInArrow(run, SEATED)
+    none = [f"cast(null as binary) {c}" for c in ("times", "contexts", "counts")]
+    own = numbers.where("block is null").selectExpr("bucket", "block", "data words", *none)
+    both = own.union(asked.select("bucket", "block", "words", "times", "contexts", "counts"))
+    return both.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block").mapInArrow(run, SEATED)
 
 
-def added_up(seated: DataFrame, buckets: int) -> DataFrame:
-    """TABLES rows on their way back, with the sums over all buckets."""
+def added_up(seated: DataFrame, numbers: DataFrame, buckets: int, sweep: int) -> DataFrame:
+    """TABLES rows on their way back, with the rates of the contexts by their tables in all buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (sources, contexts, tables) in by_bucket(batches, ["source", "contexts", "tables"]):
-            keys = [unpacked_keys(c) for c in contexts]
-            _, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total, start = np.bincount(at, np.concatenate([unpacked(t) for t in tables])).astype(np.int64), 0
-            for source, k in zip(sources, keys):
-                yield as_batch((TABLES, source, bucket, None, None, None, None, packed(total[at[start : start + len(k)]]), None), KINDS, NAMES)
-                start += len(k)
-
-    return seated.where(F.col("kind") == TABLES).repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "source").mapInArrow(run, SEATED)
-
-
-def next_state(seated: DataFrame, buckets: int, whole: int, sweep: int) -> DataFrame:
+        for bucket, (sources, words, contexts, tables) in by_bucket(batches, ["source", "words", "contexts", "tables"]):
+            words = unpacked_keys(words[0])
+            places = [unpacked_keys(c).astype(np.int64) for c in contexts[1:]]
+            if places:
+                total = np.bincount(np.concatenate(places), np.concatenate([unpacked(t) for t in tables[1:]]), len(words))
+                used = np.flatnonzero(total)
+                rate = np.zeros(len(words), np.float32)
+                rate[used] = rates(total[used], words[used], sweep)
+                for source, p in zip(sources[1:], places):
+                    yield as_batch((TABLES, source, bucket, *[None] * 5, rate[p].tobytes(), None), KINDS, NAMES)
+
+    none = [f"cast(null as binary) {c}" for c in ("contexts", "tables")]
+    own = numbers.where("block is null").selectExpr("bucket", "cast(null as long) source", "data words", *none)
+    both = own.union(seated.where(F.col("kind") == TABLES).select("bucket", "source", "words", "contexts", "tables"))
+    return both.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "source").mapInArrow(run, SEATED)
+
+
+def next_state(seated: DataFrame, numbers: DataFrame, buckets: int, whole: int, sweep: int) -> DataFrame:
     """A sweep over all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (kinds, _, words, contexts, pairs, counts, tables) in by_bucket(batches, ["kind", "source", "words", "contexts", "pairs", "counts", "tables"]):
-            own = State.read(words[0], contexts[0], pairs[0], counts[0], tables[0])
-            of_context = np.empty(len(own.contexts), np.int64)
-            of_context[np.argsort(homes(own.contexts, buckets), kind="stable")] = np.concatenate([unpacked(t) for t in tables[1:]])
-            new = swept(own.word, own.context, own.count, own.lines[-1], own.words, own.contexts, of_context, whole, sweep)
+        for bucket, (_, _, *columns) in by_bucket(batches, ["kind", "source", "words", "places", "contexts", "pairs", "counts", "tables"]):
+            own, tables = State.read(*(c[0] for c in columns)), columns[-1]
+            rate = np.empty(len(own.contexts), np.float32)
+            rate[np.argsort(own.contexts % buckets, kind="stable")] = np.concatenate([np.frombuffer(t, np.float32) for t in tables[1:]])
+            new = swept(own.word, own.context, own.count, own.lines[-1], own.words, rate, whole, sweep)
             kept = own.lines if sweep > SWEEPS - SAMPLES + 1 else own.lines[:0]
             own.lines = np.concatenate((kept, new[None]))
             yield from own.rows(bucket, buckets, sweep)
 
-    both = seated.where(F.col("kind") == STATE).union(added_up(seated, buckets))
+    both = seated.where(F.col("kind") == STATE).union(added_up(seated, numbers, buckets, sweep))
     return both.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind", "source").mapInArrow(run, SEATED)
 
 
@@ -383,32 +445,31 @@ ANSWERS = "block long, bucket long, words binary, figures binary, of_words binar
 
 
 def answers(asked: DataFrame, seated: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, words, figures (count and tables in all samples of the pairs asked for), of_words (count, and
-    customers at the top in each sample, of the words)."""
+    """block, bucket, words (their places), figures (count and tables in all samples of the pairs asked for), of_words
+    (count, and customers at the top in each sample, of the words)."""
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
     names = [x.split()[0] for x in ANSWERS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = now = None
-        for bucket, block, words, contexts, pairs, counts, tables in rows_of(batches, ["bucket", "block", "words", "contexts", "pairs", "counts", "tables"]):
+        for bucket, block, words, places, times, contexts, pairs, counts, tables in rows_of(batches, ["bucket", "block", "words", "places", "times", "contexts", "pairs", "counts", "tables"]):
             if bucket != now:
-                own, now = State(*[np.empty(0, np.uint64)] * 2, *[np.empty(0, np.int64)] * 2, np.zeros((SAMPLES, 0), np.int64)), bucket
-                of_pair = of_word = None
+                own, now = State(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4, np.zeros((SAMPLES, 0), np.int64)), bucket
+                of_pair = None
             if block is None:
-                own = State.read(words, contexts, pairs, counts, tables)
+                own = State.read(words, places, contexts, pairs, counts, tables)
                 continue
             if of_pair is None:  # a last entry for what isn't known
                 of_pair = np.pad(np.stack((own.count, own.lines.sum(axis=0))), ((0, 0), (0, 1)))
                 of_word = np.pad(np.stack((np.bincount(own.word, own.count, len(own.words)).astype(np.int64), *map(own.guests, range(SAMPLES)))), ((0, 0), (0, 1)))
-            w, c, p = unpacked_keys(words), unpacked_keys(contexts), unpacked_keys(pairs).astype(np.int64)
-            at, at_context = found(own.words, w), found(own.contexts, c)
-            word, context = at[p // max(len(c), 1)], at_context[p % max(len(c), 1)]
+            at = found(own.places, unpacked_keys(words).astype(np.int64))
+            word, context = np.repeat(at, unpacked(times).astype(np.int64)), found(own.contexts, unpacked(contexts).astype(np.int64))
             codes = np.where((word < len(own.words)) & (context < len(own.contexts)), word * len(own.contexts) + context, -1)
             yield as_batch((block, bucket, words, packed(of_pair[:, found(own.codes, codes)].ravel()), packed(of_word[:, at].ravel())), kinds, names)
 
-    none = "cast(null as binary) tables"
-    both = asked.selectExpr("bucket", "block", "words", "contexts", "pairs", "counts", none)
-    both = seated.where(F.col("kind") == STATE).selectExpr("bucket", "cast(null as long) block", "words", "contexts", "pairs", "counts", "tables").union(both)
+    none = lambda *names: [f"cast(null as binary) {c}" for c in names]
+    both = seated.where(F.col("kind") == STATE).selectExpr("bucket", "cast(null as long) block", "words", "places", *none("times"), "contexts", "pairs", "counts", "tables")
+    both = both.union(asked.selectExpr("bucket", "block", "words", *none("places"), "times", "contexts", *none("pairs", "counts", "tables")))
     return both.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block").mapInArrow(run, ANSWERS)
 
 
@@ -430,16 +491,13 @@ def context_tables(replies: DataFrame, kept: list[DataFrame], buckets: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (blocks, samples, words, tables) in by_bucket(batches, ["block", "sample", "words", "tables"]):
-            parted = [(s, unpacked_keys(w), unpacked(t)) for b, s, w, t in zip(blocks, samples, words, tables) if b is None]
-            every, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for _, w, _ in parted)]), return_inverse=True)
-            total = np.zeros((SAMPLES, len(every) + 1), np.int64)
-            start = 0
-            for s, w, t in parted:
-                total[s, at[start : start + len(w)]] += t.astype(np.int64)
-                start += len(w)
-            for block, w in zip(blocks, words):
-                if block is not None:
-                    yield as_batch((block, bucket, packed(total[:, found(every, unpacked_keys(w))].ravel())), [pa.int64(), pa.int64(), pa.binary()], ["block", "bucket", "tables"])
+            parted = [(s, unpacked_keys(w).astype(np.int64), unpacked(t)) for b, s, w, t in zip(blocks, samples, words, tables) if b is None]
+            asked = [(b, unpacked_keys(w).astype(np.int64)) for b, w in zip(blocks, words) if b is not None]
+            total = np.zeros((SAMPLES, 1 + max(int(p[-1]) for p in (*(p for _, p, _ in parted), *(p for _, p in asked)))), np.int64)
+            for s, places, t in parted:
+                total[s, places] += t.astype(np.int64)
+            for block, places in asked:
+                yield as_batch((block, bucket, packed(total[:, places].ravel())), [pa.int64(), pa.int64(), pa.binary()], ["block", "bucket", "tables"])
 
     rows = replies.selectExpr("block", "bucket", "0 sample", "words", "cast(null as binary) tables")
     for s, seated in enumerate(kept):
@@ -473,14 +531,17 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = parts(spark)
     blocks = materialise(blocked(docs), "blocks")
-    asked = materialise(requests(blocks, buckets), "requests")
-    seated = materialise(first_state(asked, buckets), "seated")
+    numbers = materialise(dictionary(blocks, buckets), "dictionary")
+    free_shuffles(spark)
+    asked = materialise(requests(blocks, numbers, buckets), "requests")
+    free_shuffles(spark)
+    seated = materialise(first_state(asked, numbers, buckets), "seated")
     kept: list[DataFrame] = []
     counted: list[list[int]] = []
     for sweep in range(1, SWEEPS + 1):
         free_shuffles(spark)
         sums = summed(seated)
-        before, seated = seated, materialise(next_state(seated, buckets, max(sums[3] + unknown_draw(sums[0], sweep), 1), sweep), "seated")
+        before, seated = seated, materialise(next_state(seated, numbers, buckets, max(sums[3] + unknown_draw(sums[0], sweep), 1), sweep), "seated")
         if before not in kept:
             discard(before)
         if sweep > SWEEPS - SAMPLES:
@@ -498,49 +559,34 @@ def scores(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    def scored(ids: list, gathered: list[np.ndarray], found: list[tuple], tables: list[bytes]) -> pa.RecordBatch:
-        """Rows of a block; found, tables: by bucket."""
-        lengths = np.array([len(g) - 1 for g in gathered])
-        own = Pairs(gathered, buckets)
-        joined = lambda data, lines: np.concatenate([unpacked(x).reshape(lines, -1) for x in data], axis=1)
-        here = joined([f for f, _ in found], 2)
-        # a bucket's pairs are in the order of their words' and contexts' hashes
-        order = np.lexsort((own.words[own.context], own.word))
-        pairs = np.empty_like(here)
-        pairs[:, order] = here
-        chances = log_chances(own.context, pairs.astype(float), joined([w for _, w in found], 1 + SAMPLES).astype(float), own.word, joined(tables, SAMPLES).astype(float), np.array(totals, float))
+    def scored(ids: list, block: tuple, figures: list[tuple], tables: list[bytes]) -> pa.RecordBatch:
+        """Rows of a block; figures, tables: by bucket."""
+        own, lengths = of_block(*block, buckets)
+        joined = lambda data, lines: np.concatenate([unpacked(x).reshape(lines, -1) for x in data], axis=1).astype(float)
+        chances = log_chances(own.context, joined([f for f, _ in figures], 2), joined([w for _, w in figures], 1 + SAMPLES), own.word, joined(tables, SAMPLES), np.array(totals, float))
         starts = np.cumsum(lengths) - lengths
         base, model, known = (np.add.reduceat(x[own.at].astype(float), starts) for x in chances)
         columns = [ids, [held_out(k) for k in ids], lengths, known.astype(np.int64), [totals[1]] * len(ids), base, model]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use(HASHES)
-        now, ids, gathered, found, tables = None, [], [], [], []
-        for batch in batches:
-            for block, rows, figures, of_words, more in zip(*(batch.column(c) for c in ("block", "rows", "figures", "of_words", "tables"))):
-                if block.as_py() != now:
-                    if ids:
-                        yield scored(ids, gathered, found, tables)
-                    now, ids, gathered, found, tables = block.as_py(), [], [], [], []
-                if figures.is_valid:
-                    found.append((figures.as_py(), of_words.as_py()))
-                elif more.is_valid:
-                    tables.append(more.as_py())
-                else:
-                    for k, text in opened(rows.as_buffer()):
-                        ids.append(k)
-                        gathered.append(hashes_of(text))
-        if ids:
-            yield scored(ids, gathered, found, tables)
-
-    none = "cast(null as binary)"
-    back = replies.selectExpr("block", "bucket", f"{none} rows", "figures", "of_words", f"{none} tables")
-    added = of_contexts.selectExpr("block", "bucket", f"{none} rows", f"{none} figures", f"{none} of_words", "tables")
-    asked = blocks.selectExpr("block", f"{buckets} bucket", "rows", f"{none} figures", f"{none} of_words", f"{none} tables")
-    together = back.union(added).union(asked).repartition(buckets, "block").sortWithinPartitions("block", "bucket")
+        figures, tables = [], []
+        for of_pairs, of_words, of_contexts, ids, *block in rows_of(batches, ["figures", "of_words", "tables", "ids", "words", "tokens", "lengths"]):
+            if of_pairs is not None:
+                figures.append((of_pairs, of_words))
+            elif of_contexts is not None:
+                tables.append(of_contexts)
+            else:  # the block itself comes last
+                yield scored(ids, block, figures, tables)
+                figures, tables = [], []
+
+    none = lambda *names: [f"cast(null as binary) {c}" for c in names]
+    rows = [*none("words", "tokens", "lengths"), "cast(null as array<long>) ids"]
+    both = replies.selectExpr("block", "bucket", "figures", "of_words", *none("tables"), *rows)
+    both = both.union(of_contexts.selectExpr("block", "bucket", *none("figures", "of_words"), "tables", *rows))
+    both = both.union(blocks.selectExpr("block", f"cast({buckets} as long)", *none("figures", "of_words", "tables"), "words", "tokens", "lengths", "ids"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return together.mapInArrow(run, schema)
+    return both.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -380,7 +380,8 @@ def test_pitman_yor_adds_up_to_one():
     lines = [np.ones(50, np.int64)]
     for sweep in range(1, hpy.SAMPLES + 1):
         whole = int(hpy.parent_draws(lines[-1], words, sweep).sum()) + hpy.unknown_draw(50, sweep)
-        lines.append(hpy.swept(word, context, count, lines[-1], words, words[:1], lines[-1].sum(keepdims=True), whole, sweep))
+        rate = hpy.rates(lines[-1].sum(keepdims=True), words[:1], sweep)
+        lines.append(hpy.swept(word, context, count, lines[-1], words, rate, whole, sweep))
         assert (lines[-1] >= 1).all() and (lines[-1] <= count).all()
     kept = np.stack(lines[1:])
     pairs = np.pad(np.stack((count, kept.sum(axis=0))), ((0, 0), (0, 1))).astype(float)
@@ -449,7 +450,7 @@ def test_gibbs_equals_one_customer_at_a_time():
     for sweep in range(1, sweeps + 1):
         guests = np.bincount(word, tables)
         whole = int(hpy.parent_draws(guests, words, sweep).sum()) + hpy.unknown_draw(3, sweep)
-        tables = hpy.swept(word, context, n, tables, words, contexts, np.bincount(context, tables), whole, sweep)
+        tables = hpy.swept(word, context, n, tables, words, hpy.rates(np.bincount(context, tables), contexts, sweep), whole, sweep)
         mean += tables / sweeps
     r = random.Random(7)
     seats = {p: [[k] for k in range(c)] for p, c in count.items()}
