@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 Rect = tuple[Column, Column, Column, Column]
 Point = tuple[Column, Column]
@@ -191,3 +197,111 @@ def hull(points: list[tuple]) -> list[tuple]:
 
 def area(points: list[tuple]) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1]))) / 2
+
+
+def simplified(points: list[tuple], most: int) -> list[tuple]:
+    """At most so many corners: those go first whose loss takes the least area."""
+    points = list(points)
+    while len(points) > most:
+        loss = [abs(cross(points[i - 1], p, points[(i + 1) % len(points)])) for i, p in enumerate(points)]
+        points.pop(loss.index(min(loss)))
+    return points
+
+
+def largest_quad(corners: list[tuple]) -> list[tuple] | None:
+    """The four of the corners that span most."""
+    return max(map(list, itertools.combinations(corners, 4)), key=area, default=None)
+
+
+def ordered(quad: list[tuple]) -> list[tuple]:
+    """Clockwise as seen (y grows downwards) from the corner nearest to the top left."""
+    cx, cy = (sum(p[k] for p in quad) / 4 for k in range(2))
+    ring = sorted(quad, key=lambda p: math.atan2(p[1] - cy, p[0] - cx))
+    start = min(range(4), key=lambda i: sum(ring[i]))
+    return ring[start:] + ring[:start]
+
+
+# Corners of a sheet of paper, its sides and their proportion; the largest side and picture made of it.
+CORNER, SIDE, ASPECT, EDGE, PIXELS = (50.0, 132.0), 8.0, 6.0, 2200.0, 12e6
+
+
+def sides(quad: list[tuple]) -> tuple[float, float]:
+    """Width and height: the longer of two opposite sides each."""
+    a, b, c, d = quad
+    return max(math.dist(a, b), math.dist(d, c)), max(math.dist(a, d), math.dist(b, c))
+
+
+def quad_problem(quad: list[tuple]) -> str | None:
+    """Why four corners are no page: count, position, close, straight, crossed, mirrored, small; None if they are one."""
+    if len(quad) != 4:
+        return "count"
+    if not all(math.isfinite(v) for p in quad for v in p):
+        return "position"
+    turns = [cross(quad[i - 1], quad[i], quad[(i + 1) % 4]) for i in range(4)]
+    for i in range(4):
+        if math.dist(quad[i], quad[(i + 1) % 4]) < 2:
+            return "close"
+        if turns[i] == 0:
+            return "straight"
+        if turns[i] * turns[0] < 0:
+            return "crossed"
+    return "mirrored" if turns[0] < 0 else "small" if min(sides(quad)) < SIDE else None
+
+
+def plausible(quad: list[tuple]) -> bool:
+    """Whether four corners may be a sheet of paper: convex, no corner too sharp or flat, no side too short or long."""
+    turns = [cross(quad[i - 1], quad[i], quad[(i + 1) % 4]) for i in range(4)]
+    if min(turns) <= 0 <= max(turns):
+        return False
+    for i, p in enumerate(quad):
+        a, b = ((q[0] - p[0], q[1] - p[1]) for q in (quad[i - 1], quad[(i + 1) % 4]))
+        angle = math.degrees(math.acos(max(-1.0, min(1.0, (a[0] * b[0] + a[1] * b[1]) / (math.hypot(*a) * math.hypot(*b))))))
+        if not CORNER[0] <= angle <= CORNER[1]:
+            return False
+    width, height = sides(quad)
+    return min(width, height) >= SIDE and 1 / ASPECT <= width / height <= ASPECT
+
+
+def homography(source: list[tuple], target: list[tuple]) -> list[float] | None:
+    """The eight numbers that map the corners of one quad to those of another; None where they don't."""
+    rows, values = [], []
+    for (u, v), (x, y) in zip(source, target):
+        rows += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
+        values += [x, y]
+    try:
+        return np.linalg.solve(np.array(rows, float), np.array(values, float)).tolist()
+    except np.linalg.LinAlgError:
+        return None
+
+
+def unwarped_size(quad: list[tuple]) -> tuple[int, int]:
+    """Width and height in pixels of the page that a quad is."""
+    width, height = sides(quad)
+    scale = min(1.0, EDGE / max(width, height))
+    if width * height * scale * scale > PIXELS:
+        scale = math.sqrt(PIXELS / (width * height))
+    return tuple(max(1, math.floor(v * scale + 0.5)) for v in (width, height))
+
+
+POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
+QUAD = StructType([StructField("corners", ArrayType(POINT)), StructField("area", DoubleType()), StructField("problem", StringType()), StructField("plausible", BooleanType()), StructField("width", LongType()), StructField("height", LongType())])
+
+
+@F.pandas_udf(QUAD)
+def page_quad(points: pd.Series) -> pd.DataFrame:
+    """The page in a cloud of points (an array of x, y): the largest quad of their hull, its corners in order."""
+    out = []
+    for cloud in points:
+        quad = largest_quad(simplified(hull([(p["x"], p["y"]) for p in cloud]), 24))
+        if quad is None:
+            out.append((None, None, "count", False, None, None))
+            continue
+        quad = ordered(quad)
+        out.append(([{"x": x, "y": y} for x, y in quad], area(quad), quad_problem(quad), plausible(quad), *unwarped_size(quad)))
+    return pd.DataFrame(out, columns=[f.name for f in QUAD]).astype({"width": "Int64", "height": "Int64"})
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def quad_map(source: pd.Series, target: pd.Series) -> pd.Series:
+    as_points = lambda q: [(p["x"], p["y"]) for p in q]
+    return pd.Series([homography(as_points(a), as_points(b)) for a, b in zip(source, target)])

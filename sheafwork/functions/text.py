@@ -159,3 +159,44 @@ def noise(text: Column) -> Column:
     n, garbled, fragments = F.size(long).cast("long"), size(GARBLED), size(FRAGMENT)
     noisy = (n >= 60) & (garbled >= 0.08 * n) & (fragments >= 0.08 * n)
     return F.struct(n.alias("n"), garbled.alias("garbled"), fragments.alias("fragments"), noisy.alias("noisy"))
+
+
+# What a font of one byte a character can spell beyond Latin-1, and stand-ins for what it can't.
+HIGH = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+SPELLED = {
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
+    "←": "<-", "→": "->", "↔": "<->", "⇒": "=>", "⇐": "<=", "≤": "<=", "≥": ">=", "≠": "!=",
+}
+SAME = {
+    "‐": "-", "‑": "-", "‒": "-", "―": "—", "−": "-", "′": "'", "″": '"', "‵": "'", "‶": '"', "ʼ": "'",
+    "⁄": "/", "∕": "/", "∶": ":", "≈": "~", "●": "•", "▪": "•", "◦": "•", "⁃": "•",
+    " ": " ", " ": " ", "　": " ", **{chr(c): " " for c in range(0x2000, 0x200B)},
+}
+GONE = "​‌‍﻿­"
+NATIVE = rf"[\x20-\x7e -ÿ{HIGH}]"
+
+
+def folded(text: Column) -> Column:
+    """With stand-ins for what a font of one byte a character can't spell; tabs as four spaces, no controls."""
+    text = F.translate(text, "".join(SAME) + GONE, "".join(SAME.values()))
+    for char, spelled in SPELLED.items():
+        text = F.replace(text, F.lit(char), F.lit(spelled))
+    return F.regexp_replace(F.replace(text, F.lit("\t"), F.lit("    ")), r"[\x00-\x1f\x7f-\x9f]", "")
+
+
+def needs_fallback(text: Column) -> Column:
+    return folded(text).rlike(NATIVE.replace("[", "[^", 1))
+
+
+def segments(text: Column) -> Column:
+    """The folded text in runs that a font can spell and runs that it can't: text and native."""
+    other = NATIVE.replace("[", "[^", 1)
+    found = F.regexp_extract_all(folded(text), F.lit(f"({NATIVE}+|{other}+)"), F.lit(1))
+    return F.transform(found, lambda s: F.struct(s.alias("text"), s.rlike(f"^{NATIVE}").alias("native")))
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of at most `width` characters of one width, cut after the last space or else anywhere; together they are the
+    text, but for its newlines. Short of a fold over characters: a line is what a pattern matches from where it begins."""
+    paragraphs = F.split(F.replace(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\t"), F.lit("    ")), "\n", -1)
+    return F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= width, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(rf"(?s)(.{{1,{width}}}$|.{{0,{width - 1}}} (?!$)|.{{1,{width}}})"), F.lit(1)))))

@@ -178,3 +178,63 @@ def feed(entries: DataFrame) -> DataFrame:
     entry = F.concat(F.lit("<entry><title>"), escaped(F.col("title")), F.lit('</title><link href="'), escaped(F.col("url")), F.lit('"/><updated>'), F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>"))
     rows = entries.select(F.struct((-F.unix_micros(F.col("updated").cast("timestamp"))).alias("age"), "url", entry.alias("entry")).alias("e"))
     return rows.agg(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), ""), F.lit("</feed>")).alias("xml"))
+
+
+def blank_row(fields: Column) -> Column:
+    return F.forall(fields, lambda x: F.trim(x) == "")
+
+
+def worth_keeping(images: DataFrame, least: int = 32, masks: bool = False) -> DataFrame:
+    """Images (width, height, mask) whose shorter side is long enough; masks only if asked for."""
+    return images.where((F.least("width", "height") >= least) & (F.lit(masks) | ~F.col("mask")))
+
+
+def sure(tables: DataFrame, floor: float = 0.7) -> DataFrame:
+    """Tables (confidence) with `accepted`: whether they are sure enough to be written."""
+    return tables.withColumn("accepted", F.col("confidence") >= floor)
+
+
+def valid_message(id_: Column, files: Column) -> Column:
+    """Whether a request can be taken: a whole number as id, and files."""
+    return id_.isNotNull() & (id_ == F.floor(id_)) & files.isNotNull()
+
+
+def searched(catalogue: DataFrame, query: str, category: str | None = None, most: int = 7) -> DataFrame:
+    """The first entries (ord, category, search) that hold the query, within a category if one is named."""
+    rows = catalogue.where(F.contains(F.lower("search"), F.lit(query.strip().lower())))
+    return (rows if category is None else rows.where(F.col("category") == category)).orderBy("ord").limit(most)
+
+
+def mean_confidence(words: DataFrame) -> DataFrame:
+    """file, confidence: the mean over recognised words (file, confidence) that have one."""
+    return words.groupBy("file").agg(F.avg(F.when(~F.isnan("confidence"), F.col("confidence"))).alias("confidence"))
+
+
+def glyphs(shown: DataFrame, fonts: DataFrame) -> DataFrame:
+    """font, codes: the distinct codes (page, name, code) shown with each font (page, name, font)."""
+    return shown.join(fonts, ["page", "name"]).groupBy("font").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
+def missing_fonts(fonts: DataFrame) -> DataFrame:
+    """file, fonts: the base names, without the tags of subsets, of fonts (file, name, embedded) that aren't embedded."""
+    name = F.regexp_replace("name", r"^[A-Z]{6}\+", "")
+    return fonts.where("not embedded").groupBy("file").agg(F.array_sort(F.collect_set(name)).alias("fonts"))
+
+
+def probe(pages: DataFrame) -> DataFrame:
+    """file, n_pages, max_dpi of pages (file, width, height): how finely all of them can be drawn."""
+    from ..functions.media import dpi_ceiling
+
+    return pages.groupBy("file").agg(F.count("*").alias("n_pages"), F.min(dpi_ceiling(F.col("width"), F.col("height"))).alias("max_dpi"))
+
+
+def progress(messages: DataFrame, job: int) -> DataFrame:
+    """The latest progress (job, seq, done, total, label) of one job; messages of other jobs are stale."""
+    return messages.where(F.col("job") == job).groupBy("job").agg(F.max_by(F.struct("done", "total", "label"), "seq").alias("p")).select("job", "p.done", "p.total", "p.label")
+
+
+def open_documents(events: DataFrame) -> DataFrame:
+    """session, file: what each session has open after its events (session, seq, kind, file): open, close, end."""
+    ends = events.where("kind = 'end'").groupBy("session").agg(F.max("seq").alias("end"))
+    last = events.where("kind <> 'end'").groupBy("session", "file").agg(F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq"))
+    return last.join(ends, "session", "left").where("kind = 'open' and (end is null or seq > end)").select("session", "file")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cells, dates, formats, media, names, secure
+from ..functions import cells, dates, formats, media, names, secure, xmp
 from ..functions import geometry as G
 from ..functions import markdown as M
 from ..functions import text as T
-from ..operators import compare, delimited, outline, records, structure
+from ..operators import compare, delimited, grids, outline, records, structure
+from ..sources import office
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -491,6 +495,167 @@ def _(spark, sf_dir):
     return records.with_pages(made(spark, "page long, t string", [(3, "a"), (1, "a"), (1, "a"), (2, "b")]).select("page", media.fingerprint(F.col("t").cast("binary")).alias("hash")), "hash", "page")
 
 
+
+#: Small packages as other programs write them.
+_REL = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+SHEET = office.zipped({
+    "xl/workbook.xml": f'<workbook {_REL}><workbookPr date1904="1"/><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
+    "xl/sharedStrings.xml": "<sst><si><r><t>sha</t></r><r><t>red</t></r></si></sst>", "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="200" formatCode="0&quot; kg&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="200"/></cellXfs></styleSheet>',
+    "xl/worksheets/s.xml": '<worksheet><cols><col min="5" max="5" hidden="1"/></cols><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>0</v></c><c r="C1" t="b"><v>1</v></c><c r="D1" t="e"><v>#DIV/0!</v></c><c r="E1"><v>5</v></c><c r="F1" t="s"><v>9</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>inline</t></is></c><c r="B2" s="0"><f>0.1+0.2</f><v>0.30000000000000004</v></c><c r="C2" s="1"><v>1</v></c><c r="D2" s="2"><v>7</v></c></row><row r="3" hidden="1"><c r="A3"><v>1</v></c></row></sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>',
+})
+_SLIDE = '<p:sld xmlns:p="p" xmlns:a="a">{0}</p:sld>'
+SLIDES = office.zipped({
+    "ppt/presentation.xml": f'<p:presentation xmlns:p="p" {_REL}><p:sldIdLst><p:sldId r:id="r2"/><p:sldId r:id="r1"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="r1" Target="slides/b.xml"/><Relationship Id="r2" Target="/ppt/slides/a.xml"/></Relationships>',
+    "ppt/slides/a.xml": _SLIDE.format("<a:p><a:r><a:t>Ti</a:t></a:r><a:r><a:t>tle</a:t></a:r></a:p><a:tc><a:p><a:r><a:t>in a table</a:t></a:r></a:p></a:tc>"), "ppt/slides/b.xml": _SLIDE.format("<a:p><a:r><a:t>Second</a:t></a:r></a:p>"),
+})
+
+# more of text, geometry and office files ------------------------------------------------------------------------
+
+scalar("folded_text", "t string", "plain fallback segments", [
+    ("ﬁt – a→b", "fit – a->b", False, ["fit – a->b"]), ("x\ty\x07", "x    y", False, ["x    y"]), ("a​b", "ab", False, ["ab"]), ("日本 ok 語", "日本 ok 語", True, ["日本", " ok ", "語"]), ("● ‑ ″", '• - "', False, ['• - "']), ("", "", False, []),
+], lambda t: [T.folded(t), T.needs_fallback(t), F.transform(T.segments(t), lambda s: s["text"])])
+scalar("wrapped_lines", "t string", "lines", [
+    ("one two three", ["one two ", "three"]), ("abcdefghijklmno", ["abcdefgh", "ijklmno"]), ("short", ["short"]), ("a\nb", ["a", "b"]), ("", [""]), ("exactly8 x", ["exactly8", " x"]), ("ab cdefghijkl", ["ab ", "cdefghij", "kl"]),
+], lambda t: T.wrapped(t, 8))
+scalar("xmp_fields", "t string", "fields found", [
+    ('<x:xmpmeta><rdf:Description xmp:CreatorTool="Word" pdf:Producer=\'P &amp; Q\'><dc:title><rdf:Alt><rdf:li xml:lang="x">My  title</rdf:li></rdf:Alt></dc:title><dc:creator><rdf:Seq><rdf:li>Ann</rdf:li><rdf:li>Bob</rdf:li><rdf:li>An</rdf:li></rdf:Seq></dc:creator><xmp:Note>n</xmp:Note></rdf:Description></x:xmpmeta>', ["dc:title", "dc:creator", "xmp:Note", "xmp:CreatorTool", "pdf:Producer"], ["My title", "Ann, Bob", "n", "Word", "P & Q"]), ("none", [], []),
+], lambda t: [F.transform(xmp.packet_fields(t), lambda f: f["field"]), F.transform(xmp.packet_fields(t), lambda f: f["value"])])
+_CLOUD = "x array<double>, y array<double>"
+_points = lambda x, y: F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+scalar("page_quads", _CLOUD, "xs area problem plausible width height", [
+    ([0.0, 100.0, 100.0, 0.0, 50.0, 3.0], [0.0, 0.0, 200.0, 200.0, 100.0, 9.0], [0.0, 100.0, 100.0, 0.0], 20000.0, None, True, 100, 200), ([0.0, 1.0, 2.0], [0.0, 5.0, 1.0], None, None, "count", False, None, None), ([0.0, 6.0, 6.0, 0.0], [0.0, 0.0, 5.0, 5.0], [0.0, 6.0, 6.0, 0.0], 30.0, "small", False, 6, 5),
+    ([0.0, 4400.0, 4400.0, 0.0], [0.0, 0.0, 2200.0, 2200.0], [0.0, 4400.0, 4400.0, 0.0], 9680000.0, None, True, 2200, 1100), ([0.0, 1000.0, 1000.0, 0.0], [0.0, 0.0, 100.0, 100.0], [0.0, 1000.0, 1000.0, 0.0], 100000.0, None, False, 1000, 100),
+], lambda x, y: (lambda q: [F.transform(q["corners"], lambda c: c["x"]), *parts(q, "area problem plausible width height")])(G.page_quad(_points(x, y))))
+scalar("quad_maps", _CLOUD, "m", [([0.0, 1.0, 1.0, 0.0], [0.0, 0.0, 1.0, 1.0], [2.0, 0.0, 5.0, 0.0, 3.0, 7.0, 0.0, 0.0]), ([0.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0], None)], lambda x, y: F.transform(G.quad_map(_points(x, y), F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((5.0, 7.0), (7.0, 7.0), (7.0, 10.0), (5.0, 10.0))))), lambda v: F.round(v, 6) + 0.0))
+scalar("blank_rows", "f array<string>", "blank", [(["", "  "], True), (["", "x"], False), ([], True)], records.blank_row)
+scalar("message_guard", "n double, f array<string>", "ok", [(1.0, ["a"], True), (1.5, ["a"], False), (None, ["a"], False), (2.0, None, False)], records.valid_message)
+
+
+@rows_of("line_cells", "doc line cell x text", [(1, 1, 0, 10.0, "Item name"), (1, 1, 1, 100.0, "Total"), (1, 2, 0, 10.0, "only one"), (1, 3, 0, 10.0, "a"), (1, 3, 1, 40.0, "b")])
+def _(spark, sf_dir):
+    rows = [(1, 1, 1, "Item", 10.0, 30.0, False), (1, 1, 2, "name", 33.0, 60.0, False), (1, 1, 3, "Total", 100.0, 130.0, False), (1, 2, 4, "only", 10.0, 30.0, False), (1, 2, 5, "one", 32.0, 50.0, False), (1, 3, 6, "a", 10.0, 15.0, False), (1, 3, 7, " ", 15.0, 40.0, True), (1, 3, 8, "b", 40.0, 45.0, False)]
+    return grids.cells(made(spark, "doc long, line long, run long, text string, x double, right double, spacer boolean", rows).withColumn("size", F.lit(10.0)))
+
+
+@rows_of("table_rows", "doc table row cell text", [(1, 0, 0, 0, "Item"), (1, 0, 0, 1, "Total"), (1, 0, 1, 0, "a wrapped"), (1, 0, 1, 1, "1"), (1, 0, 2, 0, "b"), (1, 0, 2, 1, "2"), (2, 0, 0, 0, "p"), (2, 0, 0, 1, "q"), (2, 0, 1, 0, "p"), (2, 0, 1, 1, "q"), (2, 0, 2, 0, "p"), (2, 0, 2, 1, "q")])
+def _(spark, sf_dir):
+    lines, cells_ = [], []
+
+    def line(doc, n, top, *own):
+        lines.append((doc, n, top, top + 10.0))
+        cells_.extend((doc, n, c, x, t) for c, (x, t) in enumerate(own))
+
+    for n, own in enumerate([[(10.0, "Item"), (100.0, "Total")], [(10.0, "a"), (100.0, "1")], [(10.5, "wrapped")], [(10.0, "b"), (100.0, "2")], [(50.0, "prose")], [(10.0, "c"), (100.0, "3")]]):
+        line(1, n, 14.0 * n, *own)
+    for n, top in enumerate([0.0, 14.0, 28.0, 80.0, 94.0]):
+        line(2, n, top, (10.0, "p"), (100.0, "q"))
+    return grids.tables(made(spark, "doc long, line long, top double, bottom double", lines), made(spark, "doc long, line long, cell long, x double, text string", cells_), 10.0)
+
+
+@rows_of("column_cut", "page run column", [(1, n, n % 2) for n in range(24)] + [(2, n, 0) for n in range(12)])
+def _(spark, sf_dir):
+    run = lambda page, n, x, right, base: (1, page, n, x, right, base - 10, base, base, 10.0, False)
+    rows = [run(1, n, 50.0 + n % 2 * 250, 270.0 + n % 2 * 250, 20.0 + n // 2 * 14) for n in range(24)] + [run(2, n, 50.0, 500.0, 20.0 + n * 14) for n in range(12)]
+    return grids.columns(made(spark, "doc long, page long, run long, x double, right double, top double, bottom double, baseline double, size double, spacer boolean", rows), 10.0, 600.0)
+
+
+@rows_of("page_margins", "doc width height left right top bottom varies", [(1, 600.0, 800.0, 72, 50, 108, 18, True)])
+def _(spark, sf_dir):
+    pages_ = made(spark, "doc long, page long, width double, height double", [(1, 1, 600.0, 800.0), (1, 2, 600.2, 800.0), (1, 3, 300.0, 300.0)])
+    blocks = made(spark, "doc long, page long, x double, right double, top double, bottom double, running boolean", [(1, 1, 70.0, 550.0, 120.0, 790.0, False), (1, 1, 5.0, 550.0, 2.0, 10.0, True), (1, 2, 74.0, 550.2, 300.0, 790.0, False), (1, 3, 1.0, 299.0, 1.0, 299.0, False)])
+    return grids.margins(pages_, blocks)
+
+
+@rows_of("histogram_quantile", "k quantile", [(1, 50.048828125), (2, 0.0)])
+def _(spark, sf_dir):
+    rows = [(1, float(v)) for v in range(101)] + [(2, 0.0)]
+    return grids.quantile(made(spark, "k long, v double", rows), "k", "v", 0.5)
+
+
+@rows_of("office_documents", "file ord kind level text error", [("a.docx", 0, "heading", 1, "T", None), ("a.docx", 1, "para", 0, "x\ny & z", None), ("a.docx", 2, "item", 0, "i", None), ("a.docx", 3, "cell", 0, "a", None), ("a.docx", 4, "cell", 0, "b", None), ("bad.docx", 0, None, None, None, "BadZipFile")])
+def _(spark, sf_dir):
+    blocks = made(spark, "file string, ord long, kind string, level long, text string", [("a.docx", 2, "item", 0, "i"), ("a.docx", 0, "heading", 1, "T"), ("a.docx", 1, "para", 0, "x\ny & z"), ("a.docx", 3, "table", 1, "a\tb")])
+    bad = made(spark, "file string, content string", [("bad.docx", "junk")]).select("file", F.col("content").cast("binary").alias("content"))
+    return office.read(office.write_documents(blocks).union(bad), "docx")
+
+
+@rows_of("office_sheets", "file sheet name row col text numeric", [("a.xlsx", 0, "One", 0, 0, "Item", False), ("a.xlsx", 0, "One", 0, 1, "Total", False), ("a.xlsx", 0, "One", 1, 0, "a<b", False), ("a.xlsx", 0, "One", 1, 1, "1,234.50", True), ("a.xlsx", 0, "One", 2, 1, "2023-03-15", False), ("a.xlsx", 0, "One", 3, 1, "25%", True), ("a.xlsx", 1, "Two", 5, 27, "x", False)])
+def _(spark, sf_dir):
+    rows = [("One", 0, 0, 0, "Item", None, "text"), ("One", 0, 0, 1, "Total", None, "text"), ("One", 0, 1, 0, "a<b", None, "general"), ("One", 0, 1, 1, None, 1234.5, "decimal"), ("One", 0, 2, 1, None, 45000.0, "date"), ("One", 0, 3, 1, None, 0.25, "percent"), ("Two", 1, 5, 27, "x", None, "general")]
+    cells_ = made(spark, "name string, sheet long, row long, col long, text string, number double, format string", rows).withColumn("file", F.lit("a.xlsx"))
+    return office.read(office.write_workbooks(cells_), "xlsx")
+
+
+@rows_of("sheet_features", "row col text numeric", [(0, 0, "shared", False), (0, 2, "TRUE", False), (0, 3, "#DIV/0!", False), (1, 0, "inline", False), (1, 1, "0.3", True), (1, 2, "1904-01-02", False), (1, 3, "7 kg", True)])
+def _(spark, sf_dir):
+    return office.read(made(spark, "file string, content binary", [("f.xlsx", bytearray(SHEET))]), "xlsx")
+
+
+@rows_of("office_slides", "slide nth kind text", [(1, 1, "para", "Title"), (1, 2, "cell", "in a table"), (2, 1, "para", "Second")])
+def _(spark, sf_dir):
+    return office.read(made(spark, "file string, content binary", [("f.pptx", bytearray(SLIDES))]), "pptx")
+
+
+@rows_of("result_archives", "job names sizes", [(1, ["a.txt", "2 - A.txt"], [3, 2])])
+def _(spark, sf_dir):
+    files = made(spark, "job long, ord long, name string, content string", [(1, 2, "A.txt", "xy"), (1, 1, "a.txt", "abc")]).withColumn("content", F.col("content").cast("binary"))
+
+    def entries(batches):
+        for b in batches:
+            for job, content in zip(b.job, b.content):
+                found = zipfile.ZipFile(io.BytesIO(bytes(content))).infolist()
+                yield pd.DataFrame({"job": [job], "names": [[x.filename for x in found]], "sizes": [[x.compress_size for x in found]]})
+
+    return office.archives(files).mapInPandas(entries, "job long, names array<string>, sizes array<long>")
+
+
+@rows_of("image_filter", "id plain masked", [(1, True, True), (2, False, False), (3, False, True)])
+def _(spark, sf_dir):
+    images = made(spark, "id long, width long, height long, mask boolean", [(1, 32, 100, False), (2, 31, 100, False), (3, 64, 64, True)])
+    kept = lambda masks, c: records.worth_keeping(images, masks=masks).select("id", F.lit(True).alias(c))
+    return images.join(kept(False, "plain"), "id", "left").join(kept(True, "masked"), "id", "left").select("id", F.coalesce("plain", F.lit(False)).alias("plain"), F.coalesce("masked", F.lit(False)).alias("masked"))
+
+
+@rows_of("confidence_gate", "id accepted", [(1, True), (2, False), (3, True)])
+def _(spark, sf_dir):
+    return records.sure(made(spark, "id long, confidence double", [(1, 0.7), (2, 0.699), (3, 0.95)]))
+
+
+@rows_of("category_search", "ord search", [(2, "Merge files"), (4, "merge again")])
+def _(spark, sf_dir):
+    return records.searched(made(spark, "ord long, category string, search string", [(4, "a", "merge again"), (2, "a", "Merge files"), (1, "b", "merge other"), (3, "a", "split")]), " MERGE ", "a")
+
+
+@rows_of("recognition_confidence", "file confidence", [(1, 85.0), (2, None)])
+def _(spark, sf_dir):
+    return records.mean_confidence(made(spark, "file long, confidence double", [(1, 80.0), (1, 90.0), (1, None), (2, None), (1, float("nan"))]))
+
+
+@rows_of("glyph_usage", "font codes", [("A", [1, 2, 3]), ("B", [1])])
+def _(spark, sf_dir):
+    return records.glyphs(made(spark, "page long, name string, code long", [(1, "F1", 2), (1, "F1", 1), (2, "F9", 3), (2, "F1", 1), (3, "F1", 7)]), made(spark, "page long, name string, font string", [(1, "F1", "A"), (2, "F9", "A"), (2, "F1", "B")]))
+
+
+@rows_of("missing_fonts", "file fonts", [(1, ["Arial", "Times"])])
+def _(spark, sf_dir):
+    return records.missing_fonts(made(spark, "file long, name string, embedded boolean", [(1, "ABCDEF+Arial", False), (1, "Arial", False), (1, "Times", False), (1, "Inter", True), (2, "X", True)]))
+
+
+@rows_of("geometry_probe", "file n_pages max_dpi", [(1, 2, 249), (2, 1, 358)])
+def _(spark, sf_dir):
+    return records.probe(made(spark, "file long, width double, height double", [(1, 612.0, 792.0), (1, 1000.0, 1000.0), (2, 612.0, 792.0)]))
+
+
+@rows_of("job_progress", "job done total label", [(2, 3, 9, "late")])
+def _(spark, sf_dir):
+    return records.progress(made(spark, "job long, seq long, done long, total long, label string", [(1, 9, 9, 9, "stale"), (2, 1, 1, 9, "early"), (2, 2, 3, 9, "late")]), 2)
+
+
+@rows_of("open_documents", "session file", [(1, "b"), (2, "c")])
+def _(spark, sf_dir):
+    return records.open_documents(made(spark, "session long, seq long, kind string, file string", [(1, 1, "open", "a"), (1, 2, "open", "b"), (1, 3, "close", "a"), (2, 1, "open", "x"), (2, 2, "end", None), (2, 3, "open", "c")]))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
