@@ -11,8 +11,10 @@ Shots: between neighbouring frames the difference of 16-bin luminance histograms
 least FLOOR and above the lower median of those within WINDOW frames on either side by SIGMAS deviations, as the lower
 median deviation tells them; so cuts stand beside cuts, as long as half of the frames around are still.
 
-Rows of clips(): one for each shot of each document. Null text: empty, that is one frame of filling. Repeated rows:
-repeated results. Very long texts go through in groups of FRAMES frames.
+Rows of stored(): one for each row of the input, with its clips. Null text: empty, that is one frame of filling. Null
+ids: kept. Repeated rows: repeated results. Very long texts go through in groups of FRAMES frames. Empty table: no rows.
+Further columns, whatever their names, are left out. Rows of clips(): one for each shot of each file; null, empty and
+damaged files have none.
 """
 
 from __future__ import annotations
@@ -438,11 +440,16 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * ((-len(raw)) % SAMPLES if raw else SAMPLES)
 
 
+def timed_clips(found: list[tuple[int, int, float]], seconds: float) -> list[dict]:
+    return [{"start_ms": round(a * seconds * 1000), "end_ms": round((b + 1) * seconds * 1000), "difference": step} for a, b, step in found]
+
+
 def stored(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """One row a document: its text stored as AVI, read back, with digests and features; the file with keep_media."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_shots"]
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long"
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_shots", "clips"]
+    timed = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("difference", pa.float64())]))
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), timed]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long, clips array<struct<start_ms:long,end_ms:long,difference:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, most=1 << 20):
@@ -452,12 +459,12 @@ def stored(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 size, payload = payload_of(text)
                 sizes.append(size)
                 files.append(write_avi(payload))
-            for size, media, (_, frames) in zip(sizes, files, decode(files)):
+            for size, media, (seconds, frames) in zip(sizes, files, decode(files)):
                 back = b"".join(f.tobytes() for f in frames)
                 found = shots(frames)
                 mean = ",".join(str(int(f.mean())) for f in (frames[a] for a, _, _ in found))
                 feature = f"frames={len(frames)};shots={','.join(f'{a}-{b}' for a, b, _ in found)};mean={mean}"
-                row = (size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), len(found))
+                row = (size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), len(found), timed_clips(found, seconds))
                 rows.append((*row, media) if keep_media else row)
             columns = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), [*kinds[1:], pa.binary()]))]
             yield pa.RecordBatch.from_arrays(columns, names + ["media"] * keep_media)
@@ -466,17 +473,19 @@ def stored(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
 
 def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Timed clip rows of AVI files: key, clip, first_frame, last_frame, start_ms, end_ms, difference. Null media: none."""
+    """Timed clip rows of AVI files: key, clip, first_frame, last_frame, start_ms, end_ms, difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for k, data in zip(batch.column("k").to_pylist(), batch.column("media").to_pylist()):
-                if not data:
+                try:
+                    ((seconds, frames),) = decode([data]) if data else ((0, []),)
+                except (ValueError, LookupError, ArithmeticError, struct.error):  # damaged
                     continue
-                ((seconds, frames),) = decode([data])
-                for i, (a, b, step) in enumerate(shots(frames) if frames else []):
-                    rows.append((k, i, a, b, round(a * seconds * 1000), round((b + 1) * seconds * 1000), step))
+                found = shots(frames) if frames else []
+                for i, ((a, b, _), c) in enumerate(zip(found, timed_clips(found, seconds))):
+                    rows.append((k, i, a, b, *c.values()))
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [key, "clip", "first_frame", "last_frame", "start_ms", "end_ms", "difference"])

@@ -6,7 +6,8 @@ adjacent tokens would not survive the merges, and go on. Whether two tokens may
 undoing their merges from the highest rank down, and remembered. The result equals the greedy merge order; the
 time is linear in the text, as each position fails at most once.
 
-Rows: one out for one in, also for null ids. Null text: empty, no tokens. Repeated rows: repeated results.
+Rows: one out for one in, also for null ids. Null text: empty, no tokens. Repeated rows: repeated results. Very long
+texts: whole. Empty table: no rows. Further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

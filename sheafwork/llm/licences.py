@@ -7,7 +7,9 @@ WITH binding tightest and OR loosest. Each expression is evaluated to a permissi
 freest side, AND the strictest, WITH lifts its licence half-way to 1. The score is that of the strictest notice or
 expression in the document, 0 where there is none.
 
-Rows: one out for one in. Null or empty text: no words, no labels, score 0, null positions.
+Rows: one out for one in. Null or empty text: no words, no labels, score 0, null positions. Null ids: kept. Repeated
+rows: repeated results. Very long texts: whole, expressions too. Ties between labels: all are named. Empty table: no
+rows. Further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ too large for one task are cut into blocks, and each pair of blocks is a task of
 
 Rows of near_duplicates(): one for each row of the input. Null or empty text, or white space alone: n_shingles 0,
 linked with nothing. Null doc_id: linked with nothing, component_id null, not kept. Rows that repeat an id are one
-document; with different texts, each text is linked by itself.
+document; with different texts, each text is linked by itself. Very long texts: whole. Empty table: no rows. Further
+columns, whatever their names, aren't read; stage() gives them back.
 """
 
 from __future__ import annotations

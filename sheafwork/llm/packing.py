@@ -10,7 +10,9 @@ Blocks lie within a partition of the input, so nothing is shuffled and one sourc
 Sequence ids are the partition's number times 2**32 and a count.
 
 Rows: one for each piece, at least one a document, as the end token is always there. Null text: empty, the end token
-alone. Repeated rows: each is packed.
+alone. Null ids: kept. Repeated rows: each is packed. Very long texts: whole, tokenised at once. Strings of special
+tokens in a text are those tokens, as the library has it. Empty table: no rows. Further columns, whatever their names,
+are left out.
 """
 
 from __future__ import annotations
@@ -66,7 +68,6 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a character is a byte

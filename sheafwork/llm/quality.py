@@ -10,9 +10,10 @@ first four and five letters, the share of words of each shape (runs of capitals,
 fit() takes a bounded sample: at most `sample` rated documents, those of the smallest hashed ids. Only they are
 collected, as feature lists. It is proximal gradient descent with an L1 penalty. score() is one pass over whole texts.
 
-Rows of score(): one out for one in. Null text: empty, which has no words and scores like the junk it is. Without any
-ratings every document is kept. Repeated rows: repeated results. Ratings that are null are left out; a document with
-several ratings takes each of them.
+Rows of score(): one out for one in. Null text: empty, which has no words and scores like the junk it is. Null ids: kept.
+Without any ratings every document is kept. Repeated rows: repeated results; in the sample an id that is repeated
+counts once, by its first text. Ratings that are null are left out; a document with several ratings takes each of them.
+Very long texts: whole. Empty table: no rows. Further columns are given back by stage(), whatever their names.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def descend(rows: np.ndarray, places: np.ndarray, values: np.ndarray, grades: np
     return Model(used[kept], w[kept], tuple(t.tolist()))
 
 
-FEATURES = "grade int, places array<int>, values array<float>"
+FEATURES = "rated_id long, grade int, times long, places array<int>, values array<float>"
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -164,12 +165,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         use(KNOWN)
         for batch in by_bytes(batches):
             found = [summed(*features(t, KNOWN)) for t in texts(batch)]
-            columns = [batch.column("grade"), pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["grade", "places", "values"])
-
-    # the sample is bounded, so it may be broadcast
-    joined = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("rated_id")).select("text", "grade")
-    table = joined.mapInArrow(run, FEATURES).toArrow()
+            columns = [*(batch.column(c) for c in ("rated_id", "grade", "times")), pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rated_id", "grade", "times", "places", "values"])
+
+    # the sample is bounded, so it may be broadcast; one text for each of its ids
+    chosen = chosen.groupBy("rated_id", "grade").agg(F.count("*").alias("times"))
+    joined = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("rated_id"))
+    once = joined.groupBy("rated_id", "grade", "times").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    # in one order, so that the sums are the same at any partitioning
+    table = once.mapInArrow(run, FEATURES).toArrow().sort_by([("rated_id", "ascending"), ("grade", "ascending")])
+    table = table.take(np.repeat(np.arange(table.num_rows), table["times"].to_numpy()))
     if not table.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), (-35.0,))
     grades = table["grade"].to_numpy().astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, hpy, licences, neardup, packing, quality, sketch, suffixes, warc
+from . import avi, hpy, licences, neardup, packing, quality, sketch, suffixes, twins, warc
 from .bpe import encode_decode
 from .common import documents, materialise
 
@@ -61,9 +61,41 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited(documents(spark, sf_dir))
 
 
+# what SQL can express of the above
+
+def payload_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_avi_mjpeg(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_sparse_suffixes(spark, sf_dir).drop("first_doc_id")
+
+
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_hierarchical_pitman_yor(spark, sf_dir).selectExpr("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "round(base_score, 4) base_score")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_scaled_sketch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+TWINS = {
+    "op5_chosen_path": twins.near_duplicates(neardup.PERCENT),
+    "payload_digests": twins.PAYLOADS,
+    "licence_phrases": twins.licences(licences.BASE),
+    "repeated_spans": twins.REPEATED,
+    "base_scores": twins.BASE_SCORES,
+    "edited_texts": twins.EDITED,
+}
+
+
 def queries() -> dict[str, Query]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k in TWINS or k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(TWINS)

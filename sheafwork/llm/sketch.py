@@ -12,7 +12,8 @@ edited(): each document's text with its second half replaced by the beginning of
 doc_id (then text, for repeated ids), the first following the last; null ids come last. The order is a range
 partitioning; the head of each range is also dealt to the range before it, so no range needs more than its own rows.
 
-Rows: one out for one in. Null text: empty; empty text: no shingles, empty fingerprint.
+Rows: one out for one in. Null text: empty; empty text: no shingles, empty fingerprint. Very long texts: whole, piece by
+piece. Empty table: no rows. Further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
