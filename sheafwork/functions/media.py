@@ -236,3 +236,40 @@ def relationships(xml: Column, base: Column) -> Column:
     rows = F.transform(tags, lambda t: F.struct(value(t, "Id").alias("id"), value(t, "Target").alias("target")))
     rows = F.filter(rows, lambda r: (r["id"] != "") & (r["target"] != "") & ~r["target"].rlike("(?i)^[a-z]+:"))
     return F.map_from_entries(F.transform(rows, lambda r: F.struct(r["id"], resolved(base, r["target"]))))
+
+
+TAG = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[?!][^>]*>|<(/?)(?:[\w.-]+:)?([\w.-]+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*?)(/?)>", re.S)
+
+
+def outermost(xml: str, name: str) -> list[tuple[str, str]]:
+    """(attributes, inner text) of the elements of a name that aren't within another such one, whatever their prefix."""
+    out, depth, start, attributes = [], 0, 0, ""
+    for m in TAG.finditer(xml):
+        if m[2] != name:
+            continue
+        if m[1]:
+            depth -= 1
+            if not depth:
+                out.append((attributes, xml[start : m.start()]))
+            depth = max(depth, 0)
+        elif not m[4]:
+            depth += 1
+            if depth == 1:
+                start, attributes = m.end(), m[3].strip()
+        elif not depth:
+            out.append((m[3].strip(), ""))
+    return out
+
+
+ELEMENT = ArrayType(StructType([StructField("attributes", StringType()), StructField("inner", StringType())]))
+
+
+@F.pandas_udf(ELEMENT)
+def elements(xml: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("attributes", "inner"), e)) for e in outermost(x or "", n)] for x, n in zip(xml, name)])
+
+
+def attribute(attributes: Column, name: str) -> Column:
+    """The value of an attribute in double quotes; null without it."""
+    p = rf'(?:^|\s){name}\s*=\s*"([^"]*)"'
+    return F.when(attributes.rlike(p), F.regexp_extract(attributes, p, 1))

@@ -232,3 +232,37 @@ def ink_box(pixels: DataFrame) -> DataFrame:
         found = counts.where(F.col("n") >= F.greatest(F.lit(4), F.ceil(F.col("across") * 0.0015))).groupBy("doc").agg(F.min(axis).alias(low), F.max(axis).alias(high))
         out = found if out is None else out.join(found, "doc")
     return out
+
+
+def document(runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Lines of documents with what the whole document says of them: doc, page, line, text, ratio (their size against that
+    of most text), running, level. In two passes: first lines, then the statistics over all pages."""
+    found = lines(runs)
+    size = F.floor(2 * F.col("size") + 0.5) / 2
+    weights = found.groupBy("doc", size.alias("body")).agg(F.sum(F.length("text")).alias("w"), F.min(F.struct("page", "line")).alias("first"))
+    body = weights.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("w"), "first"))).where("k = 1").select("doc", "body")
+    rows = flagged(found.withColumn("baseline", F.col("bottom")), pages).join(body, "doc")
+    ratio = F.col("size") / F.col("body")
+    level = F.when(F.col("running"), 0).otherwise(T.heading_level(F.col("text"), ratio, F.col("bold")))
+    return rows.select("doc", "page", "line", "text", F.round(ratio, 6).alias("ratio"), "running", level.alias("level"))
+
+
+def written_pages(blocks: DataFrame) -> DataFrame:
+    """doc, text: the blocks (doc, page, block, kind, level, text) as Markdown, pages parted by rules."""
+    from ..functions.markdown import written
+
+    text = written(F.col("kind"), F.col("level"), F.col("text"))
+    pages = blocks.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("block", text.alias("text")))).alias("b"))
+    joined = pages.select("doc", "page", F.array_join(F.transform("b", lambda b: b["text"]), "\n\n").alias("text"))
+    whole = joined.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return whole.select("doc", F.array_join(F.transform("p", lambda p: p["text"]), "\n\n---\n\n").alias("text"))
+
+
+def picture_plan(pages: DataFrame, wanted: Column, dpi: int, ending: str = "png") -> DataFrame:
+    """file, page, name, dpi of the pictures to be made of the wanted pages (file, stem, page, n_pages, width, height): as
+    fine as asked for, as far as the page's size allows."""
+    from ..functions.media import dpi_ceiling
+
+    digits = F.length(F.col("n_pages").cast("string"))
+    name = F.concat(F.col("stem"), F.lit("-"), F.lpad(F.col("page").cast("string"), digits, "0"), F.lit(f".{ending}"))
+    return pages.where(wanted).select("file", "page", name.alias("name"), F.least(F.lit(dpi), dpi_ceiling(F.col("width"), F.col("height"))).alias("dpi"))

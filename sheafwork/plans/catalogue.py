@@ -206,6 +206,11 @@ def bullet_glyphs(spark, sf_dir):
     return stats.bullets(lines(spark, sf_dir))
 
 
+@query(f"select file, page, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) as text from {P}")
+def page_texts(spark, sf_dir):
+    return pages(spark, sf_dir).select("file", "page", text.collapsed(F.col("text")).alias("text"))
+
+
 @query(f"select doc, bucket, weight from (select doc, bucket, sum(w) as weight, row_number() over (partition by doc order by sum(w) desc, min(line)) as k from (select doc, line, round(length(text) / 20.0) / 2 as bucket, length(text) as w from {L}) group by doc, bucket) where k = 1")
 def weighted_mode(spark, sf_dir):
     rows = lines(spark, sf_dir).select("doc", "line", (F.round(F.length("text") / 20.0) / 2).alias("bucket"), F.length("text").cast("long").alias("w"))

@@ -566,7 +566,7 @@ def _(spark, sf_dir):
     return grids.margins(pages_, blocks)
 
 
-@rows_of("histogram_quantile", "k quantile", [(1, 50.048828125), (2, 0.0)])
+@rows_of("histogram_quantile", "k quantile", [(1, 50.09765625), (2, 0.0)])
 def _(spark, sf_dir):
     rows = [(1, float(v)) for v in range(101)] + [(2, 0.0)]
     return grids.quantile(made(spark, "k long, v double", rows), "k", "v", 0.5)
@@ -656,6 +656,33 @@ def _(spark, sf_dir):
     return records.open_documents(made(spark, "session long, seq long, kind string, file string", [(1, 1, "open", "a"), (1, 2, "open", "b"), (1, 3, "close", "a"), (2, 1, "open", "x"), (2, 2, "end", None), (2, 3, "open", "c")]))
 
 
+
+scalar("xml_elements", "t string, n string", "inners ids", [
+    ('<a><w:b id="1">x<b>y</b></w:b><b id="2"/><c><b k=">" id="3">z</b></c><!-- <b>no</b> --></a>', "b", ["x<b>y</b>", "", "z"], ["1", "2", "3"]), ("<a/>", "b", [], []), ('<b z="1">q</b>', "b", ["q"], [None]),
+], lambda t, n: [F.transform(media.elements(t, n), lambda e: e["inner"]), F.transform(media.elements(t, n), lambda e: media.attribute(e["attributes"], "id"))])
+
+
+@rows_of("read_documents", "doc page line text ratio running level", [(1, p, 0, "Report 1" if p == 1 else f"Report {p}", 1.0, True, 0) for p in (1, 2, 3)] + [(1, 1, 1, "Big title", 1.6, False, 1), (1, 1, 2, "body text of many words here", 1.0, False, 0), (1, 2, 1, "more body text of many words", 1.0, False, 0), (1, 3, 1, "LABEL", 1.0, False, 4)])
+def _(spark, sf_dir):
+    run = lambda page, n, text, base, size=10.0: (1, page, n, text, 50.0, 300.0, base - size, base, base, size, False, False, False)
+    rows = [run(p, 1, f"Report {p}", 30.0) for p in (1, 2, 3)] + [run(1, 2, "Big title", 120.0, 16.0), run(1, 3, "body text of many words here", 200.0), run(2, 2, "more body text of many words", 200.0), run(3, 2, "LABEL", 200.0)]
+    ddl = "doc long, page long, run long, text string, x double, right double, top double, bottom double, baseline double, size double, bold boolean, italic boolean, spacer boolean"
+    return structure.document(made(spark, ddl, rows), made(spark, "doc long, page long, height double", [(1, p, 800.0) for p in (1, 2, 3)]))
+
+
+@rows_of("markdown_pages", "doc text", [(1, "# T\n\n- i\n\n---\n\npara\n\n```\nx\n```"), (2, "1. n")])
+def _(spark, sf_dir):
+    rows = [(1, 1, 2, "item", 0, "i"), (1, 1, 1, "heading", 1, "T"), (1, 2, 1, "para", 0, "para"), (1, 2, 2, "code", 0, "x"), (2, 1, 1, "numbered", 0, "n")]
+    return structure.written_pages(made(spark, "doc long, page long, block long, kind string, level int, text string", rows))
+
+
+@rows_of("picture_plan", "file page name dpi", [(1, 2, "scan-02.png", 300), (1, 4, "scan-04.png", 249), (1, 10, "scan-10.png", 300)])
+def _(spark, sf_dir):
+    rows = [(1, "scan", p, 10, 1000.0 if p == 4 else 612.0, 1000.0 if p == 4 else 792.0) for p in (1, 2, 4, 10)]
+    pages_ = made(spark, "file long, stem string, page long, n_pages long, width double, height double", rows)
+    return structure.picture_plan(pages_, F.col("page") % 2 == 0, 300)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
