@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame
 def edits(before: list[str], after: list[str]) -> list[tuple[str, str]]:
     """(same, removed or added; words) runs; removed words come first where either would do."""
     n, m = len(before), len(after)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    right = np.array(after, dtype=object)
-    for i in range(n - 1, -1, -1):
-        match = right == before[i] if m else np.zeros(0, bool)
-        row, below = table[i], table[i + 1]
-        best = np.where(match, below[1:] + 1, below[:-1])
+    first = next((k for k, (a, b) in enumerate(zip(before, after)) if a != b), min(n, m))  # the common beginning is the same
+    numbers: dict[str, int] = {}
+    left, right = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (before, after))
+    # whether the words to come have as much in common without this one: a bit for each pair, and two rows of lengths
+    rest = m - first
+    down: list[np.ndarray] = [np.empty(0, np.uint8)] * n
+    below = np.zeros(rest + 1, np.int32)
+    for i in range(n - 1, first - 1, -1):
+        row = np.zeros(rest + 1, np.int32)
+        best = np.where(right[first:] == left[i], below[1:] + 1, below[:-1])
         # the longest to the right: a running maximum from the end
         row[:-1] = np.maximum.accumulate(best[::-1])[::-1]
+        down[i] = np.packbits(below[:-1] >= row[1:])
+        below = row
     out: list[tuple[str, list[str]]] = []
 
     def put(kind: str, word: str) -> None:
@@ -33,7 +39,7 @@ def edits(before: list[str], after: list[str]) -> list[tuple[str, str]]:
         if i < n and j < m and before[i] == after[j]:
             put("same", before[i])
             i, j = i + 1, j + 1
-        elif i < n and (j == m or table[i + 1, j] >= table[i, j + 1]):
+        elif i < n and (j == m or down[i][(j - first) >> 3] >> (7 - (j - first & 7)) & 1):
             put("removed", before[i])
             i += 1
         else:

@@ -50,6 +50,33 @@ def test_same_and_removed_words_rebuild_the_page():
     assert " ".join(t for k, t in found if k != "removed") == "a x c e d"
 
 
+def test_edits_equal_a_plain_table():
+    import random
+
+    from sheafwork.operators.diff import edits
+
+    def plain_edits(a, b):
+        common = {}
+        for i in reversed(range(len(a) + 1)):
+            for j in reversed(range(len(b) + 1)):
+                inside = i < len(a) and j < len(b)
+                common[i, j] = common[i + 1, j + 1] + 1 if inside and a[i] == b[j] else max(common.get((i + 1, j), 0), common.get((i, j + 1), 0))
+        out, i, j = [], 0, 0
+        while i < len(a) or j < len(b):
+            if i < len(a) and j < len(b) and a[i] == b[j]:
+                out, i, j = [*out, ("same", a[i])], i + 1, j + 1
+            elif i < len(a) and (j == len(b) or common[i + 1, j] >= common[i, j + 1]):
+                out, i = [*out, ("removed", a[i])], i + 1
+            else:
+                out, j = [*out, ("added", b[j])], j + 1
+        return out
+
+    r = random.Random(1)
+    for _ in range(400):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 20))] for _ in range(2))
+        assert [(k, w) for k, t in edits(a, b) for w in t.split()] == plain_edits(a, b)
+
+
 def test_delimited_is_lenient():
     from sheafwork.operators.delimited import parse, sniff
 
