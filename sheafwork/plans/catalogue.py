@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, dates, formats, markdown, media, names, secure, text
 from ..operators import layout, paging, records, stats, structure
 from ..sources.tables import SQL, lines, pages, signal, table
+from ..streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -434,7 +435,7 @@ def catalogue_search(spark, sf_dir):
 @query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events where ts between timestamp '2024-01-15 00:00:00' and timestamp '2024-01-15 12:00:00') where k = 1")
 def handoff_ttl(spark, sf_dir):
     rows = table(spark, sf_dir, "events").selectExpr("user_id key", "event_id id", "ts at")
-    return records.claimed(rows, "2024-01-15 12:00:00", 12).selectExpr("key user_id", "id event_id", "at ts")
+    return state.claimed(rows, "2024-01-15 12:00:00", 12).selectExpr("key user_id", "id event_id", "at ts")
 
 
 @query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")

@@ -17,6 +17,7 @@ from ..functions import markdown as M
 from ..functions import text as T
 from ..operators import compare, delimited, grids, outline, records, structure
 from ..sources import office
+from ..streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -454,13 +455,13 @@ def _(spark, sf_dir):
 @rows_of("claims", "key id", [("a", 3), ("b", 5)])
 def _(spark, sf_dir):
     t = lambda h, m: datetime(2026, 1, 1, h, m)
-    return records.claimed(made(spark, "key string, id long, at timestamp_ntz", [("a", 1, t(11, 10)), ("a", 2, t(11, 30)), ("a", 3, t(11, 30)), ("b", 4, t(10, 59)), ("b", 5, t(11, 0)), ("c", 6, t(10, 0)), ("d", 7, t(12, 1))]), "2026-01-01 12:00:00")
+    return state.claimed(made(spark, "key string, id long, at timestamp_ntz", [("a", 1, t(11, 10)), ("a", 2, t(11, 30)), ("a", 3, t(11, 30)), ("b", 4, t(10, 59)), ("b", 5, t(11, 0)), ("c", 6, t(10, 0)), ("d", 7, t(12, 1))]), "2026-01-01 12:00:00")
 
 
 @rows_of("live_preferences", "key value", [("a", "x")])
 def _(spark, sf_dir):
     rows = [("a", datetime(2025, 6, 1), 2, "x"), ("b", datetime(2024, 12, 31), 2, "y"), ("c", datetime(2025, 6, 1), 1, "z")]
-    return records.live(made(spark, "key string, saved timestamp_ntz, version long, value string", rows), "2026-01-01 00:00:00", 2)
+    return state.live(made(spark, "key string, saved timestamp_ntz, version long, value string", rows), "2026-01-01 00:00:00", 2)
 
 
 @rows_of("keyword_union", "id keywords", [(1, ["a", "b", "c"]), (2, [])])
@@ -648,12 +649,12 @@ def _(spark, sf_dir):
 
 @rows_of("job_progress", "job done total label", [(2, 3, 9, "late")])
 def _(spark, sf_dir):
-    return records.progress(made(spark, "job long, seq long, done long, total long, label string", [(1, 9, 9, 9, "stale"), (2, 1, 1, 9, "early"), (2, 2, 3, 9, "late")]), 2)
+    return state.progress(made(spark, "job long, seq long, done long, total long, label string", [(1, 9, 9, 9, "stale"), (2, 1, 1, 9, "early"), (2, 2, 3, 9, "late")]), 2)
 
 
 @rows_of("open_documents", "session file", [(1, "b"), (2, "c")])
 def _(spark, sf_dir):
-    return records.open_documents(made(spark, "session long, seq long, kind string, file string", [(1, 1, "open", "a"), (1, 2, "open", "b"), (1, 3, "close", "a"), (2, 1, "open", "x"), (2, 2, "end", None), (2, 3, "open", "c")]))
+    return state.open_documents(made(spark, "session long, seq long, kind string, file string", [(1, 1, "open", "a"), (1, 2, "open", "b"), (1, 3, "close", "a"), (2, 1, "open", "x"), (2, 2, "end", None), (2, 3, "open", "c")]))
 
 
 
