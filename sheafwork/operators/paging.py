@@ -79,6 +79,20 @@ def extract(pages: DataFrame, wanted: list[int]) -> DataFrame:
     return pages.join(F.broadcast(plan), "page").select("file", "pos", "page", "text", "n")
 
 
+def deleted(pages: DataFrame, spec: str) -> DataFrame:
+    """Pages of each file without those of a selection; a file of which nothing is left gives one row with an error."""
+    rows = counted(pages)
+    gone = page_set(spec, F.col("n_pages"), F.col("page"))
+    left = rows.where(~gone).select("file", "page", F.lit(None).cast("string").alias("error"))
+    empty = rows.groupBy("file").agg(F.min(gone.cast("int")).alias("all")).where("all = 1")
+    return left.union(empty.select("file", F.lit(None).cast("bigint"), F.lit("nothing left")))
+
+
+def missing(plan: DataFrame, pages: DataFrame) -> DataFrame:
+    """Entries of a plan (pos, file, page) whose source has no such page; a plan must have none."""
+    return plan.join(pages.select("file", "page").distinct(), ["file", "page"], "left_anti").select("pos", "file", "page")
+
+
 def compose(pages: DataFrame, plan: DataFrame, cuts: list[int]) -> DataFrame:
     """A plan (pos, file, page, rotate) resolved against its sources, in groups cut after the given positions; missing
     says that the source has no such page."""

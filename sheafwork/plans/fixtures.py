@@ -15,9 +15,10 @@ from ..functions import cells, dates, formats, media, names, secure, xmp
 from ..functions import geometry as G
 from ..functions import markdown as M
 from ..functions import text as T
-from ..operators import compare, delimited, grids, outline, records, structure
+from ..operators import compare, delimited, grids, outline, paging, records, structure
 from ..sources import office
 from ..streaming import state
+from . import dispatch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -684,6 +685,31 @@ def _(spark, sf_dir):
     return structure.picture_plan(pages_, F.col("page") % 2 == 0, 300)
 
 
+
+@rows_of("deleted_pages", "file page error", [(1, 1, None), (1, 4, None), (2, None, "nothing left")])
+def _(spark, sf_dir):
+    return dispatch.run("delete", made(spark, "file long, page long", [(1, p) for p in range(1, 5)] + [(2, 1)]), spec="2-3")
+
+
+@rows_of("missing_sources", "pos file page", [(2, 1, 9), (3, 7, 1)])
+def _(spark, sf_dir):
+    return paging.missing(made(spark, "pos long, file long, page long", [(1, 1, 1), (2, 1, 9), (3, 7, 1)]), made(spark, "file long, page long", [(1, 1), (1, 2)]))
+
+
+@rows_of("operations_by_name", "op n", [("extract", 4), ("merge", 6), ("reorder", 3), ("rotate", 2), ("split", 4)])
+def _(spark, sf_dir):
+    rows = made(spark, "file long, page long, text string, n long", [(f, p, "t", 1) for f, k in ((1, 3), (2, 2), (3, 1)) for p in range(1, k + 1)])
+    counts = {
+        "merge": dispatch.run("merge", rows).agg(F.max("sequence").alias("n")), "split": dispatch.run("split", rows, every=2).select("file", "part").distinct().agg(F.count("*").alias("n")),
+        "rotate": dispatch.run("rotate", rows, turn=90, spec="even").where("rotate = 90").agg(F.count("*").alias("n")), "reorder": dispatch.run("reorder", rows, order=[2, 3, 1]).agg(F.count("*").alias("n")), "extract": dispatch.run("extract", rows, wanted=[3, 1]).agg(F.count("*").alias("n")),
+    }
+    out = None
+    for op, df in counts.items():
+        own = df.select(F.lit(op).alias("op"), F.col("n").cast("long").alias("n"))
+        out = own if out is None else out.union(own)
+    return out
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -82,3 +82,10 @@ def test_delimited_is_lenient():
 
     assert list(parse('a,"b ""c"", d"\ne,f"g\n"h\ni",', ",")) == [["a", 'b "c", d'], ["e", 'f"g'], ["h\ni", ""]]
     assert sniff("a;b;c\n1;2;3\n") == ";"
+
+
+def test_unknown_operations_are_errors(spark):
+    from sheafwork.plans import dispatch
+
+    with pytest.raises(ValueError):
+        dispatch.run("compress", spark.range(1))
