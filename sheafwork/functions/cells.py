@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,15 @@ def rounded(x: Column, places: int = 0) -> Column:
 CURRENCY = "$€£¥₹₩₪₫₽₴₺₦₱฿"
 DIGITS, BARE = 15, 12
 
-#: Shapes of numbers: how they are grouped, and the decimal mark.
-SHAPES = [(rf"^\d{{1,3}}({g}\d{{3}})+({d}\d+)?$", g, d) for g, d in ((" ", r"\."), (",", r"\."), (r"\.", ","))]
-MANY_DOTS = r"^\d{1,3}(\.\d{3}){2,}$"
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: as the variable of a lambda it can't be copied to each place."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Digits grouped by spaces; by commas, with a decimal dot; by dots, with a decimal comma or without any; not at all.
+SPACED = r"^\d{1,3}( \d{3})+([.,]\d+)?$"
+COMMAS = r"^\d{1,3}(,\d{3})+(\.\d+)?$"
+DOTS = r"^\d{1,3}(\.\d{3})+,\d+$|^\d{1,3}(\.\d{3}){2,}$"
 PLAIN = r"^\d+(\.\d+)?$"
 
 
@@ -25,53 +33,71 @@ def number(body: Column) -> Column:
     """value, decimals and grouped of digits as they are written, null for what isn't a number: a single comma groups
     (1,234) or isn't one (12,5), leading zeros and long bare runs of digits are identifiers, and more digits than a
     double holds aren't read at all."""
-    spaced = body.rlike(r"^\d{1,3}( \d{3})+([.,]\d+)?$")
-    text = F.when(spaced, F.replace(body, F.lit(" "), F.lit(""))).otherwise(body)
-    commas = text.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$")
-    dots = text.rlike(r"^\d{1,3}(\.\d{3})+,\d+$") | text.rlike(MANY_DOTS)
-    plain = text.rlike(PLAIN)
-    digits = F.when(dots, F.translate(text, ".,", "\0.")).when(commas, F.replace(text, F.lit(","), F.lit(""))).when(plain, text)
-    digits = F.replace(digits, F.lit("\0"), F.lit(""))
-    whole, fraction = F.regexp_extract(digits, r"^(\d+)", 1), F.regexp_extract(digits, r"\.(\d+)$", 1)
-    significant = F.length(F.regexp_replace(whole, "^0+", "")) + F.length(fraction)
-    bare = plain & (fraction == "") & (F.length(whole) >= BARE)
-    good = digits.isNotNull() & ~whole.rlike("^0\\d") & (significant <= DIGITS) & ~bare
-    return F.when(good, F.struct(digits.try_cast("double").alias("value"), F.length(fraction).cast("long").alias("decimals"), (spaced | commas | dots).alias("grouped")))
 
+    def spaced(b: Column) -> Column:
+        grouped = b.rlike(SPACED)
+        return bound(F.struct(F.when(grouped, F.replace(b, F.lit(" "), F.lit(""))).otherwise(b).alias("t"), grouped.alias("s")), shaped)
+
+    def shaped(x: Column) -> Column:
+        t = x["t"]
+        shape = F.when(t.rlike(PLAIN), "plain").when(t.rlike(COMMAS), "commas").when(t.rlike(DOTS), "dots")
+        return bound(F.struct(t.alias("t"), x["s"].alias("s"), shape.alias("k")), parted)
+
+    def parted(x: Column) -> Column:
+        t = F.when(x["k"] == "dots", F.replace(F.replace(x["t"], F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(x["k"] == "commas", F.replace(x["t"], F.lit(","), F.lit(""))).when(x["k"] == "plain", x["t"])
+        return bound(F.struct(t.alias("t"), x["s"].alias("s"), (x["k"] != "plain").alias("g"), F.substring_index(t, ".", 1).alias("whole"), F.when(t.contains("."), F.substring_index(t, ".", -1)).otherwise("").alias("rest")), read)
 
-#: What stands before a number: a sign and a currency in either order; within brackets too.
-SIGN, MONEY = "[-+\u2212]", f"[A-Za-z]{{0,3}}[{CURRENCY}]"
-FRONT = rf"^(?:({SIGN})\s*({SIGN})?\s*|({SIGN})?\s*(?:{MONEY})\s*({SIGN})?\s*(?:{MONEY})?\s*)"
+    def read(x: Column) -> Column:
+        significant = F.length(F.ltrim(x["whole"], F.lit("0"))) + F.length(x["rest"])
+        bare = ~x["g"] & (x["rest"] == "") & (F.length(x["whole"]) >= BARE)
+        zeros = x["whole"].startswith("0") & (F.length(x["whole"]) > 1)
+        good = x["t"].isNotNull() & ~zeros & (significant <= DIGITS) & ~bare
+        return F.when(good, F.struct(x["t"].try_cast("double").alias("value"), F.length(x["rest"]).cast("long").alias("decimals"), (x["s"] | x["g"]).alias("grouped")))
+
+    return bound(body, spaced)
+
+
+#: What stands before a number, at most twice: a sign or a currency.
+FRONT = f"^(?:(?:[-+\u2212]|[A-Za-z]{{0,3}}[{CURRENCY}])\\s*){{0,2}}"
 
 
 def cell(raw: Column) -> Column:
     """kind (empty, date, ambiguous-date, number, percent, text), value (of dates the day number) and format (date,
     decimal, thousands, percent, general) of a cell. Dates with slashes could be read two ways and stay text."""
-    text = F.trim(F.regexp_replace(raw, r"[\s\u00a0\u2007\u202f]+", " "))
-    iso = F.try_to_date(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text), "yyyy-MM-dd")
-    slashed = text.rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{2,4}$")
-    bracket = text.rlike(r"^\(.+\)$")
-    core = F.trim(F.regexp_replace(text, r"^\((.+)\)$", "$1"))
-    # at most two passes, each takes a sign or a currency
-    one, two = rf"^(?:{SIGN}|{MONEY})\s*", rf"^(?:(?:{SIGN}|{MONEY})\s*){{0,2}}"
-    front = F.regexp_extract(core, two, 0)
-    minus = F.length(F.regexp_replace(front, "[^-\u2212]", "")) + F.when(bracket, 1).otherwise(0)
-    body = F.regexp_replace(core, two, "")
-    percent = body.endswith("%")
-    body = F.trim(F.regexp_replace(F.trim(F.regexp_replace(body, "%$", "")), rf"\s*[{CURRENCY}]$", ""))
-    parsed = number(body)
-    staged = F.struct(text.alias("text"), iso.alias("iso"), slashed.alias("slashed"), (minus % 2 == 1).alias("minus"), percent.alias("percent"), parsed.alias("n"))
-    # bound once as an element of an array: the optimizer would repeat each part for each use
-    return F.transform(F.array(staged), _typed)[0]
-
-
-def _typed(c: Column) -> Column:
-    signed = F.when(c["minus"], -c["n"]["value"]).otherwise(c["n"]["value"])
-    kind = F.when(c["text"] == "", "empty").when(c["iso"].isNotNull(), "date").when(c["slashed"], "ambiguous-date").when(c["n"].isNull(), "text").when(c["percent"], "percent").otherwise("number")
-    value = F.when(kind == "date", serial(c["iso"]).cast("double")).when(kind == "percent", signed / 100).when(kind == "number", signed)
-    shown = F.when(c["n"]["decimals"] == 2, "decimal").when((c["n"]["decimals"] == 0) & c["n"]["grouped"], "thousands").otherwise("general")
-    form = F.when(kind == "date", "date").when(kind == "percent", F.when(signed == F.floor(signed), "percent").otherwise("general")).when(kind == "number", shown)
-    return F.struct(kind.alias("kind"), value.alias("value"), form.alias("format"))
+
+    def opened(t: Column) -> Column:
+        bracket = t.rlike(r"^\(.+\)$")
+        core = F.when(bracket, F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+        return bound(F.struct(t.alias("text"), bracket.alias("bracket"), core.alias("core")), fronted)
+
+    def fronted(x: Column) -> Column:
+        return bound(F.struct(x["text"], x["bracket"], x["core"], F.regexp_extract(x["core"], FRONT, 0).alias("front")), bodied)
+
+    def bodied(x: Column) -> Column:
+        minus = F.length(x["front"]) - F.length(F.translate(x["front"], "-\u2212", "")) + x["bracket"].cast("int")
+        body = F.substring(x["core"], F.length(x["front"]) + 1, F.length(x["core"]))
+        return bound(F.struct(x["text"], (minus % 2 == 1).alias("minus"), body.alias("body")), parsed)
+
+    def parsed(x: Column) -> Column:
+        percent = x["body"].endswith("%")
+        body = F.trim(F.regexp_replace(F.trim(F.regexp_replace(x["body"], "%$", "")), rf"\s*[{CURRENCY}]$", ""))
+        iso = F.when(x["text"].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x["text"], "yyyy-MM-dd"))
+        slashed = x["text"].rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{2,4}$")
+        return bound(F.struct(x["text"], x["minus"], percent.alias("percent"), iso.alias("iso"), slashed.alias("slashed"), number(body).alias("n")), signed)
+
+    def signed(x: Column) -> Column:
+        value = F.when(x["minus"], -x["n"]["value"]).otherwise(x["n"]["value"])
+        kind = F.when(x["text"] == "", "empty").when(x["iso"].isNotNull(), "date").when(x["slashed"], "ambiguous-date").when(x["n"].isNull(), "text").when(x["percent"], "percent").otherwise("number")
+        return bound(F.struct(kind.alias("kind"), value.alias("value"), x["iso"], x["n"]), typed)
+
+    def typed(x: Column) -> Column:
+        value = F.when(x["kind"] == "date", serial(x["iso"]).cast("double")).when(x["kind"] == "percent", x["value"] / 100).when(x["kind"] == "number", x["value"])
+        shown = F.when(x["n"]["decimals"] == 2, "decimal").when((x["n"]["decimals"] == 0) & x["n"]["grouped"], "thousands").otherwise("general")
+        whole = F.when(x["value"] == F.floor(x["value"]), "percent").otherwise("general")
+        form = F.when(x["kind"] == "date", "date").when(x["kind"] == "percent", whole).when(x["kind"] == "number", shown)
+        return F.struct(x["kind"], value.alias("value"), form.alias("format"))
+
+    return bound(F.trim(F.regexp_replace(raw, r"[\s\u00a0\u2007\u202f]+", " ")), opened)
 
 
 # Fixed value: headings of columns that hold identifiers.
