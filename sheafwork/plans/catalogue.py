@@ -421,6 +421,22 @@ def edge_clusters(spark, sf_dir):
     return layout.clusters(layout.placed(lines(spark, sf_dir)).select("doc", "line", "w"), 9)
 
 
+#: Lines set on a pitch of 14 with a gap after six, every fifth indented, every eleventh bold.
+SET = f"(select doc, 0 as col, line, text, (line % 5 = 0)::int * 8.0 as x, (line % 5 = 0)::int * 8.0 + length(text) * 6.0 as edge, line * 14.0 + (line // 6) * 30 as baseline, line % 11 = 0 as bold from {L})"
+ITEM = r"regexp_matches(trim({0}, ' '), '^\s*([0-9]{{1,3}}|[A-Za-z]|[IVXLCDMivxlcdm]{{1,5}})[.)]\s+')"
+
+
+@query(f"""with a as (select *, baseline - lag(baseline) over w as gap, lag(x) over w as was_x, lag(edge) over w as was_edge, lag(text) over w as was_text, lag(bold) over w as was_bold, row_number() over w as k from {SET} window w as (partition by doc order by line)),
+e as (select doc, min(x) as low, max(edge) as high, coalesce(median(case when gap > 0 and gap < 30 then gap end), 12.0) as pitch, count(*) as n from a group by doc),
+j as (select a.*, low, high, pitch, n >= 4 and avg((high - edge <= greatest(2.0, 0.02 * (high - low)))::int) over (partition by a.doc) >= 0.6 as justified from a join e on a.doc = e.doc)
+select doc, line, sum(starts) over (partition by doc order by line)::bigint as para from (select doc, line, (k > 1 and (gap > 1.35 * pitch or (x - was_x > 5 and was_x - low <= 5 and not {ITEM.format('was_text')}) or (justified and high - was_edge > 15)
+or (not justified and high - was_edge > 0.25 * (high - low) and regexp_matches(was_text, '[.!?:;”"''’]\\s*$') and not regexp_matches(trim(text, ' '), '^[a-z]')) or bold <> was_bold or {ITEM.format('text')}))::int as starts from j)""")
+def doc_paragraphs(spark, sf_dir):
+    rows = lines(spark, sf_dir).withColumn("column", F.lit(0).cast("long")).withColumn("x", F.when(F.col("line") % 5 == 0, 8.0).otherwise(0.0))
+    rows = rows.withColumn("right", F.col("x") + F.length("text") * 6.0).withColumn("baseline", F.col("line") * 14.0 + F.floor(F.col("line") / 6) * 30).withColumn("size", F.lit(10.0)).withColumn("bold", F.col("line") % 11 == 0)
+    return structure.paragraphs(rows, 10.0).select("doc", "line", "para")
+
+
 @query("select p_partkey, c.col as col from part, lateral (select col from (values (0, 0, 900), (1, 950, 1200), (2, 1500, 1800)) v(col, x, r) order by case when p_retailprice >= x - 0.5 and p_retailprice < r then -1 else abs(p_retailprice - x) end, col limit 1) c")
 def nearest_column(spark, sf_dir):
     return layout.nearest(table(spark, sf_dir, "part").selectExpr("p_partkey", "p_retailprice x"), [(0, 0.0, 900.0), (1, 950.0, 1200.0), (2, 1500.0, 1800.0)])

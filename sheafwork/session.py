@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -20,7 +22,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(), "sheafwork.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may ask for it until the end
+    path = os.path.join(folder, "sheafwork.zip")
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, f"{here.name}/{p.relative_to(here)}")
