@@ -32,14 +32,6 @@ def unit(v: Column) -> Column:
     return F.when(finite(v), clamped(v, 0, 1)).otherwise(0.0)
 
 
-def rect(row: str) -> Rect:
-    return tuple(F.col(f"{row}.{c}") for c in ("x", "y", "width", "height"))
-
-
-def struct(r: Rect) -> Column:
-    return F.struct(*(v.alias(n) for v, n in zip(r, ("x", "y", "width", "height"))))
-
-
 def clamp(r: Rect, least: float = 0.01) -> Rect:
     """Within the unit square, at least `least` wide and high."""
     m = max(0.001, min(1.0, least))
