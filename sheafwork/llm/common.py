@@ -36,15 +36,17 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     path = f"{shared_dir(spark)}/sheafwork-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
+    out._shared_paths = [path]
     return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table that materialise() wrote and that nothing reads any more."""
-    spark, path = df.sparkSession, df._shared_path
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete the tables behind it that materialise() wrote, when nothing reads them any more: what was computed from them
+    is in the shared folder itself."""
+    spark = df.sparkSession
+    for path in df._shared_paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -34,4 +34,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = tuple(now)
     # a star around each root
-    return state.selectExpr("u node", "v root").union(state.selectExpr("v", "v").distinct())
+    out = state.selectExpr("u node", "v root").union(state.selectExpr("v", "v").distinct())
+    out._shared_paths = state._shared_paths
+    return out

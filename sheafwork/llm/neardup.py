@@ -278,6 +278,7 @@ def candidates(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
+    out._shared_paths = [p for x in links for p in x._shared_paths]
     return out
 
 
@@ -349,12 +350,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("paths").alias("paths"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"))
     sets = materialise(sets, "sets")
     free_shuffles(spark)
-    groups = components(candidates(sets, percent))
+    met = candidates(sets, percent)
+    groups = components(met)
+    discard(met)
     members = materialise(sets.drop("paths").join(groups, F.col("set_id") == F.col("node")).drop("node"), "members")
     free_shuffles(spark)
+    discard(groups)
     links = materialise(confirmed(docs, members, percent), "confirmed")
+    discard(members)
     free_shuffles(spark)
     joined = components(links)
+    discard(links)
     roots = joined.join(sets.select("set_id", "doc_id"), F.col("node") == F.col("set_id"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("least"))
     named = roots.join(least, "root").select("set_id", "least")
