@@ -5,9 +5,9 @@ words or more that an earlier document has are cut, documents left without words
 
 All stages but the last give back the columns of documents, whatever their names, and count n_chars anew where a text is
 cut. Null text: empty, which the classifier rejects where it has ratings to learn from; else it stays and is packed as
-its end token alone. Null ids: never deduplicated, packed. Repeated rows of one id: each is rated; one text is kept as
-each packed. Ties: of equal documents the smallest id stays. Very long texts: whole. Empty table: no rows at every
-stage.
+its end token alone. Null ids: never deduplicated, packed. Rows that repeat an id: each is rated, they stay or go together
+in near-dedup, each is packed. Ties: of equal documents the smallest id stays. Very long texts: whole. Empty table: no
+rows at every stage.
 """
 
 from __future__ import annotations
