@@ -649,3 +649,20 @@ def test_pipeline(spark):
     none = spark.createDataFrame([], docs.schema)
     for _, stage in c.STAGES:
         assert stage(spark, none, data).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, docs, tmp_path):
+    """Nulls in any column, repeated rows, clashing names; without ratings every document passes the first stage."""
+    import corpus_pipeline as c
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs.union(spark.createDataFrame([(20_000, "a few words", *[None] * (len(docs.columns) - 2)), (20_000, "a few words", *[None] * (len(docs.columns) - 2))], docs.schema))
+    df = odd
+    for _, stage in c.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == docs.columns
+        kept = df.collect()
+        df = spark.createDataFrame(kept, docs.schema)
+    assert [r.doc_id for r in kept].count(20_000) == 2 and [r.doc_id for r in kept].count(None) == 1
+    packed = c.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in kept}
