@@ -37,20 +37,28 @@ def is_date(code: Column) -> Column:
 
 @dataclass(frozen=True)
 class Section:
+    """What stands before and after the digits; what the number is multiplied and divided by; its decimals, least digits, groups, and
+    whether zeros at the end are shown."""
+
     before: str
     after: str
-    places: str
-    percents: int
+    factor: float
+    divisor: float
+    decimals: int
+    least: int
+    grouped: bool
+    full: bool
 
 
-def sections(code: str) -> list[str]:
+@functools.lru_cache(maxsize=4096)
+def sections(code: str) -> tuple[str, ...]:
     """At semicolons outside literals and brackets."""
     out = []
     for text, end in re.findall(r'((?:"[^"]*"?|\[[^\]]*\]?|[^;"\[])*)(;|$)', code):
         out.append(text)
         if not end:
             break
-    return out
+    return tuple(out)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -66,7 +74,21 @@ def compiled(section: str) -> Section | None:
         percents += other == "%"
         money = bracket[1:].split("-")[0] if bracket.startswith("$") else ""
         sides[bool(places)] += literal or money or escaped or other
-    return Section(*sides, places, percents) if places else None
+    if not places:
+        return None
+    thousands = re.search(r",+(?=\.|$)", places)  # each at the end scales
+    whole, _, rest = re.sub(r",+(?=\.|$)", "", places, count=1).partition(".")
+    rest = rest.split(".")[0]
+    divisor = 1000.0 ** (len(thousands[0]) if thousands else 0)
+    return Section(*sides, 100.0**percents, divisor, len(re.findall("[0#]", rest)), whole.count("0"), "," in whole, "0" in rest)
+
+
+def rounded(x: float, decimals: int) -> str:
+    """Fixed decimals of a number that isn't negative; halves, where a double can hold one, go up."""
+    twice = x * 2 * 10**decimals
+    if twice < 2**53 and twice % 2 == 1:
+        return str(Decimal(x).quantize(Decimal(1).scaleb(-decimals), ROUND_HALF_UP))
+    return f"{x:.{decimals}f}"
 
 
 def shown(value: float | None, code: str | None) -> str | None:
@@ -74,22 +96,14 @@ def shown(value: float | None, code: str | None) -> str | None:
     parts = sections(code or "")
     if value is None or not math.isfinite(value) or not parts:
         return None
-    own = parts[1] if value < 0 and len(parts) > 1 else parts[2] if value == 0 and len(parts) > 2 else parts[0]
-    s = compiled(own)
+    s = compiled(parts[1] if value < 0 and len(parts) > 1 else parts[2] if value == 0 and len(parts) > 2 else parts[0])
     if s is None:
         return None
-    thousands = re.search(r",+(?=\.|$)", s.places)
-    places = re.sub(r",+(?=\.|$)", "", s.places, count=1)
-    scaled = value * 100**s.percents / 1000 ** (len(thousands[0]) if thousands else 0)
-    whole_places, _, rest = places.partition(".")
-    rest = rest.split(".")[0]
-    decimals, least = len(re.findall("[0#]", rest)), whole_places.count("0")
-    text = str(Decimal(abs(scaled)).quantize(Decimal(1).scaleb(-decimals), ROUND_HALF_UP))
-    whole, _, fraction = text.partition(".")
-    whole = "" if not least and whole == "0" and decimals else whole.rjust(least, "0")
-    if "," in whole_places and whole:
+    whole, _, fraction = rounded(abs(value * s.factor / s.divisor), s.decimals).partition(".")
+    whole = "" if not s.least and whole == "0" and s.decimals else whole.rjust(s.least, "0")
+    if s.grouped:
         whole = re.sub(r"\B(?=(\d{3})+$)", ",", whole)
-    fraction = fraction if "0" in rest else fraction.rstrip("0")
+    fraction = fraction if s.full else fraction.rstrip("0")
     sign = "-" if value < 0 and len(parts) == 1 else ""
     return f"{sign}{s.before}{whole}{'.' + fraction if fraction else ''}{s.after}"
 
